@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quarryloom.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quarryloom.llm.sharding import op7_sharding
 
 QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
     "op7_sharding": op7_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": OP5_SQL,
+}
