@@ -30,6 +30,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fold(column: str, doc_id: str, mod: int) -> F.Column:
+def fold(id_column: str, mod: int) -> F.Column:
     """crc32 of the id's decimal text, modulo; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % F.lit(mod)
+    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % F.lit(mod)

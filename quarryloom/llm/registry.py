@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from quarryloom.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quarryloom.llm.sharding import op7_sharding
+from quarryloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op7_sharding": op7_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
