@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from quarryloom.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quarryloom.llm.sharding import op7_sharding
+from quarryloom.llm.simhash import op9_simhash
 from quarryloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op7_sharding": op7_sharding,
+    "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
 
