@@ -6,8 +6,10 @@ from quarryloom.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quarryloom.llm.sharding import op7_sharding
 from quarryloom.llm.simhash import op9_simhash
 from quarryloom.llm.toxicity import op10_toxicity
+from quarryloom.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op5_decontaminate": op5_decontaminate,
     "op7_sharding": op7_sharding,
     "op9_simhash": op9_simhash,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op5_decontaminate": OP5_SQL,
 }
