@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarryloom.llm.decontaminate import OP5_SQL, op5_decontaminate
+from quarryloom.llm.quality import op3_quality
 from quarryloom.llm.sharding import op7_sharding
 from quarryloom.llm.simhash import op9_simhash
 from quarryloom.llm.toxicity import op10_toxicity
@@ -10,6 +11,7 @@ from quarryloom.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_quality": op3_quality,
     "op5_decontaminate": op5_decontaminate,
     "op7_sharding": op7_sharding,
     "op9_simhash": op9_simhash,
