@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarryloom.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quarryloom.llm.pieces import op4_sentencepiece
 from quarryloom.llm.quality import op3_quality
+from quarryloom.llm.secrets import op2_secrets
 from quarryloom.llm.sharding import op7_sharding
 from quarryloom.llm.simhash import op9_simhash
 from quarryloom.llm.toxicity import op10_toxicity
@@ -12,6 +13,7 @@ from quarryloom.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontaminate": op5_decontaminate,
