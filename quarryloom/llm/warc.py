@@ -13,8 +13,7 @@ manifest is renamed to _manifest, whose presence makes the archive readable.  Re
 
 Executors write through Arrow's file systems, by the URI of the shared folder (local, HDFS or object store).
 
-Nulls: a null payload is empty, a null url too; a record with a null id is a response unless another row with its
-payload has an id.  Identical rows: the first is the response, the others revisit the same id.  An empty table gives an
+Nulls: a null payload is empty, a null url too; a record with a null id is a response.  Identical rows: the first is the response, the others revisit the same id.  An empty table gives an
 archive without files, and reading it gives no rows.  Other columns are ignored.
 """
 
@@ -36,7 +35,9 @@ from quarryloom.llm.common import fresh_dir
 ROLL_BYTES = 16 << 20
 LEAST_BYTES = 0
 DATE = "2020-01-01T00:00:00Z"
-LEVEL = 4
+LEVEL = 6
+#: Bytes that the reader inflates at once.
+CHUNK = 1 << 14
 #: Bytes of payload that a range is meant to hold.
 RANGE_BYTES = 128 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, names that are URLs
@@ -94,7 +95,9 @@ def _writer(root: str, roll_bytes: int):
         ids: tuple[int | None, int | None] = (None, None)
         size = count = 0
         digest = hashlib.sha256()
-        seen: tuple[int | None, set[str]] = (None, set())
+        current: int | None = None
+        marks: dict[str, int] = {}  # of the current id: payloads that a response with a smaller id, or a row before, has
+        own: set[str] = set()  # of the current id: payloads that it is the response of
 
         def close() -> None:
             nonlocal sink, size, count, digest, ids
@@ -105,15 +108,24 @@ def _writer(root: str, roll_bytes: int):
             sink, size, count, digest, ids = None, 0, 0, hashlib.sha256(), (None, None)
 
         for batch in batches:
-            for ident, url, payload, rep in zip(*(batch.column(c) for c in ("id", "url", "payload", "rep")), strict=True):
-                ident, rep, data = ident.as_py(), rep.as_py(), (payload.as_py() or "").encode("utf-8", "surrogatepass")
-                refers = rep if rep is not None and rep != ident else None
-                if rep is not None and rep == ident:  # of identical rows the first is the response
-                    if seen[0] != ident:
-                        seen = (ident, set())
-                    key = base32_sha1(data)
-                    refers = ident if key in seen[1] else None
-                    seen[1].add(key)
+            for ident, url, payload, mark, rep in zip(*(batch.column(c) for c in ("id", "url", "payload", "digest", "rep")), strict=True):
+                ident = ident.as_py()
+                if ident != current:
+                    current, marks, own = ident, {}, set()
+                if mark.as_py() is not None:
+                    if rep.as_py() == ident:
+                        own.add(mark.as_py())
+                    else:
+                        marks[mark.as_py()] = rep.as_py()
+                    continue
+                data = (payload.as_py() or "").encode("utf-8", "surrogatepass")
+                refers = None
+                if marks or own:
+                    key = hashlib.sha1(data).hexdigest()
+                    refers = marks.get(key)
+                    if key in own:  # of identical rows the first is the response
+                        own.discard(key)
+                        marks[key] = ident
                 made = record(ident, url.as_py(), data, refers)
                 if sink is None:
                     if not done:
@@ -151,12 +163,14 @@ def write_archive(df: DataFrame, root: str, *, id_column: str = "page_id", url_c
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.col(payload_column).alias("payload"))
     text = F.coalesce("payload", F.lit(""))
     # the digest alone is grouped and joined; payloads move once, to their range
+    # digests alone are grouped and joined; payloads move once, to their range, where the marks of their ids precede them
     keyed = rows.withColumn("digest", F.sha1(text.cast("binary")))
     reps = keyed.where(F.octet_length(text) >= least_bytes).groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
+    marks = keyed.where(F.col("id").isNotNull()).select("id", "digest").join(reps, "digest").select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "rep").distinct()
     total = rows.agg(F.sum(F.octet_length(text) + 400)).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-int(total) // range_bytes))
-    marked = keyed.join(reps, "digest", "left").select("id", "url", "payload", "rep")
-    placed = marked.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "url", "payload")
+    both = rows.select("id", "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("rep")).unionByName(marks)
+    placed = both.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_last(), "url", "payload")
     placed.mapInArrow(_writer(root, roll_bytes), MANIFEST).write.mode("overwrite").json(f"{root}/_manifest_pending")
     pending = spark.read.schema(MANIFEST).json(f"{root}/_manifest_pending")
     pending.mapInArrow(_mover(root), "final string").write.mode("overwrite").format("noop").save()
@@ -172,11 +186,17 @@ def parse(data: bytes) -> Iterator[tuple]:
     """The records of an archive file, digests checked."""
     import zlib
 
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
         member = zlib.decompressobj(31)
-        raw = member.decompress(memoryview(data)[at:])
-        at = len(data) - len(member.unused_data)
+        found = []
+        while not member.eof and at < len(data):
+            found.append(member.decompress(view[at : at + CHUNK]))
+            at += min(CHUNK, len(data) - at)
+        at -= len(member.unused_data)
+        if not member.eof:
+            raise ValueError("a record is cut off")
+        raw = b"".join(found)
         head, _, rest = raw.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
         block = rest[: int(fields["Content-Length"])]
