@@ -8,6 +8,7 @@ from quarryloom.llm.quality import op3_quality
 from quarryloom.llm.secrets import op2_secrets
 from quarryloom.llm.sharding import op7_sharding
 from quarryloom.llm.simhash import op9_simhash
+from quarryloom.llm.substrings import op6_substrings
 from quarryloom.llm.toxicity import op10_toxicity
 from quarryloom.llm.warc import OP1_SQL, op1_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontaminate": op5_decontaminate,
+    "op6_substrings": op6_substrings,
     "op7_sharding": op7_sharding,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
