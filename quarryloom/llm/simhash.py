@@ -33,6 +33,8 @@ BLOCKS = 5
 SEED = 42
 #: Fingerprints of a bucket that one task joins; larger buckets are split into cells of about half as many.
 BUCKET = 2048
+#: Rows of whole tasks that are joined at once.
+ROWS = 50_000
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
 
@@ -77,49 +79,38 @@ def fingerprints(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def trie_links(left: np.ndarray, right: np.ndarray | None = None, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sorted, distinct uint64 arrays that differ in at most `budget` bits; one array: with itself.
+def trie_links(keys: np.ndarray, roots: np.ndarray | None = None, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a uint64 array that differ in at most `budget` bits.
 
-    A trie node at a depth is a run [lo, hi) of the sorted array that shares so many first bits.  All live pairs of nodes go
-    down a bit together.  Where all pairs left are of single leaves, their remaining bits are compared at once.
+    roots: rows (a0, a1, b0, b1), each a pair of runs of the array, to be joined with each other or, if they are the same
+    run, with itself; a run is sorted, and distinct.  Without roots the whole array is one run.  A trie node at a depth is a
+    part [lo, hi) of a run whose keys share so many first bits.  All live pairs of nodes go down a bit together; where
+    both are single leaves, their remaining bits are compared at once.
     """
-    own = right is None
-    right = left if own else right
-    if not len(left) or not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a0, a1 = np.array([0]), np.array([len(left)])
-    b0, b1 = np.array([0]), np.array([len(right)])
-    errors = np.zeros(1, np.int64)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def middles(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
-        """Where the 1s of the bit begin in each run: the run's keys share all higher bits."""
-        prefix = (keys[lo] >> np.uint64(bit)) | np.uint64(1)
-        return np.clip(np.searchsorted(keys, prefix << np.uint64(bit)), lo, hi)
-
+    if roots is None:
+        roots = np.array([[0, len(keys), 0, len(keys)]])
+    a0, a1, b0, b1 = roots[(roots[:, 0] < roots[:, 1]) & (roots[:, 2] < roots[:, 3])].T
+    errors = np.zeros(len(a0), np.int64)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for bit in range(63, -1, -1):
         leaves = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaves.any():
             i, j = a0[leaves], b0[leaves]
-            near = np.bitwise_count(left[i] ^ right[j]) <= budget
-            if own:
-                near &= i < j
+            near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i < j)
             out.append((i[near], j[near]))
             a0, a1, b0, b1, errors = (x[~leaves] for x in (a0, a1, b0, b1, errors))
         if not len(a0):
             break
-        am, bm = middles(left, a0, a1, bit), middles(right, b0, b1, bit)
+        ones = np.concatenate(([0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)))
+        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])  # where the node's 1s of this bit begin
         parts = []
         for x0, x1, y0, y1, more in ((a0, am, b0, bm, 0), (am, a1, bm, b1, 0), (a0, am, bm, b1, 1), (am, a1, b0, bm, 1)):
-            live = (x0 < x1) & (y0 < y1) & (errors + more <= budget)
-            if own:
-                live &= x0 <= y0  # the mirrored pair is walked once
+            live = (x0 < x1) & (y0 < y1) & (errors + more <= budget) & (x0 <= y0)  # the mirror of a pair is not walked
             parts.append((x0[live], x1[live], y0[live], y1[live], errors[live] + more))
         a0, a1, b0, b1, errors = (np.concatenate(p) for p in zip(*parts, strict=True))
-    if len(a0):
-        live = (a0 < b0) if own else np.ones(len(a0), bool)
-        out.append((a0[live], b0[live]))
-    return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, np.int64),) * 2
+    live = a0 < b0
+    out.append((a0[live], b0[live]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -140,46 +131,46 @@ def _rotated(fp: F.Column, blocks: tuple[int, ...]) -> F.Column:
     return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
 
 
-def _join_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (bucket, cell pair); side says whether a row is of the first cell, the second, or both."""
-    group = None
-
-    def joined(part: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        fp, side = (np.concatenate([p[k] for p in part]) for k in (0, 1))
-        if (side == 0).all():
-            keys = np.sort(fp)
-            i, j = trie_links(keys)
-        else:
-            first, second = np.sort(fp[side == 0]), np.sort(fp[side == 1])
-            i, j = trie_links(first, second)
-            keys, j = np.concatenate((first, second)), j + len(first)
-        label = forest(len(keys), i, j)
-        child = np.flatnonzero(label != np.arange(len(keys)))
-        return keys[child].astype(np.int64), keys[label[child]].astype(np.int64)
-
-    part: list[tuple[np.ndarray, np.ndarray]] = []
-    made: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        code = batch.column("task").to_numpy(zero_copy_only=False)
-        fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.uint64)
-        side = batch.column("side").to_numpy(zero_copy_only=False)
-        heads = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)])) if len(code) else np.array([0])
-        for x, y in zip(heads[:-1], heads[1:], strict=True):
-            if part and code[x] != group:
-                if sum(len(p[0]) for p in part) > 1:
-                    made.append(joined(part))
-                    size += len(made[-1][0])
-                part = []
-            group = code[x]
-            part.append((fp[x:y], side[x:y]))
-        if size > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[k] for m in made])) for k in (0, 1)], ["a", "b"])
-            made, size = [], 0
-    if part and sum(len(p[0]) for p in part) > 1:
-        made.append(joined(part))
-    if made:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[k] for m in made])) for k in (0, 1)], ["a", "b"])
+def join_tasks(task: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges (child, root) of whole tasks' links; side 1 marks the rows of a task's second cell."""
+    order = np.lexsort((fp, side, task))
+    task, side, fp = task[order], side[order], fp[order]
+    heads = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
+    ends = np.append(heads[1:], len(task))
+    first = ends - np.add.reduceat(side, heads)  # where the second cell begins
+    one = first == ends
+    roots = np.stack([heads, first, np.where(one, heads, first), ends], 1)
+    i, j = trie_links(fp, roots, budget)
+    label = forest(len(fp), i, j)
+    child = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[child], fp[label[child]]
+
+
+def _joiner(budget: int):
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by task; whole tasks are joined together, about ROWS rows at once."""
+        held: list[np.ndarray] = []
+        rows = 0
+
+        def made(x: np.ndarray) -> pa.RecordBatch:
+            child, root = join_tasks(x[0], x[1], x[2].astype(np.uint64), budget)
+            return pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(root.astype(np.int64))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("task", "side", "fp")]))
+            rows += batch.num_rows
+            if rows >= ROWS:
+                x = np.concatenate(held, 1)
+                cut_at = int(np.searchsorted(x[0], x[0, -1]))
+                if cut_at:
+                    yield made(x[:, :cut_at])
+                held, rows = [x[:, cut_at:]], x.shape[1] - cut_at
+        if held and rows:
+            yield made(np.concatenate(held, 1))
+
+    return join
 
 
 def links(nodes: DataFrame, *, budget: int = BUDGET, bucket: int = BUCKET) -> DataFrame:
@@ -199,7 +190,9 @@ def links(nodes: DataFrame, *, budget: int = BUDGET, bucket: int = BUCKET) -> Da
         (F.col("cell") > F.col("other")).cast("int").alias("side"),
         "fp",
     )
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_join_cells, "a long, b long")
+    # a number of partitions is given, as rows are few bytes but much work, and would be coalesced
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_joiner(budget), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
