@@ -1,11 +1,67 @@
-"""The corpus pipeline: stages that each apply one operator of the subpackage for training data to what the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to what the stage before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryloom.llm import decontaminate, pieces, quality, secrets, simhash
+from quarryloom.llm.common import fold, fresh_dir
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under one half go.  Labels that op3 holds out are not learned here either."""
+    labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
+    return quality.keep_good(docs, quality.train(docs, labels))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the smallest id stays (and the first of its rows, should the id repeat)."""
+    found = simhash.near_duplicates(docs)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text is replaced by a mask; all documents stay."""
+    return secrets.redact(docs)
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' piece ids, with their number, their digest, and whether they decode to the text."""
+    return pieces.summarise(docs, with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("SentencePiece encoding and decoding", sentencepiece_encoding),
+]
+
+#: SQL expresses neither the classifier nor the fingerprints; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    """Apply every stage to the documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents."""
+    docs = _table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        where = fresh_dir(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(where)
+        docs = spark.read.parquet(where)
+    return docs

@@ -33,3 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
 def fold(id_column: str, mod: int) -> F.Column:
     """crc32 of the id's decimal text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % F.lit(mod)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or, if a column has it in any case, the name with underscores ahead until none has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

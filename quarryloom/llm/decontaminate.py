@@ -10,12 +10,11 @@ united by document.  So what an executor holds is bounded whatever the benchmark
 
 Nulls: a null text, of a document or an item, has no words; a null item id is not reported.  Rows of a repeated item
 id are united.  Repeated documents are reported once for each row.  Empty tables give no hits or no rows.
-Other columns of either table are ignored.
+Other columns are ignored by `find_contamination` and kept by `drop_contaminated`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,9 +112,8 @@ def _windows_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["window", "item"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Columns: doc_id, n_words, hits (inclusive ranges of words), spans (code points of the text), items (sorted ids)."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, item_column: str, item_text: str, block_bytes: int) -> list[list[tuple[bytes, list[str]]]]:
+    """The distinct windows with their items, cut into blocks of bounded size."""
     items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("text"))
     listed = items.mapInArrow(_windows_of_items, "window string, item string").groupBy("window").agg(F.collect_set("item").alias("items"))
     blocks: list[list[tuple[bytes, list[str]]]] = [[]]
@@ -125,6 +123,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str
             blocks, held = [*blocks, []], 0
         blocks[-1].append((r["window"].encode("latin-1"), sorted(r["items"])))
         held += len(r["window"]) + 16
+    return blocks
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows, as they are, in whose texts no window of the benchmark occurs."""
+
+    def sieve(patterns):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = None
+            for batch in batches:
+                if automaton is None:
+                    automaton = _automaton(patterns.value)
+                yield batch.filter(pa.array([not scan_text(automaton, t.as_py())[1] for t in batch.column(text_column)], pa.bool_()))
+
+        return keep
+
+    for block in _blocks(benchmark, item_column, item_text, block_bytes):
+        docs = docs.mapInArrow(sieve(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Columns: doc_id, n_words, hits (inclusive ranges of words), spans (code points of the text), items (sorted ids)."""
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, item_column, item_text, block_bytes)
     rows = docs.select(F.lit(0).cast("long").alias("row") if len(blocks) == 1 else F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     scans = [rows.mapInArrow(_scanner(spark.sparkContext.broadcast(b)), SCHEMA) for b in blocks]
     if len(scans) == 1:

@@ -13,7 +13,8 @@ without a shuffle, in pieces of bounded size.
 
 Nulls: a null text scores as an empty one; null labels or labels without a document are not learned from; a repeated
 label counts once, as positive only if all its rows are.  Without positives every score is 1.  Repeated documents are
-scored once for each row.  Other columns are ignored.
+scored once for each row.  Other columns are ignored by `score` and
+kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarryloom.llm.common import fold
+from quarryloom.llm.common import fold, free_name
 
 #: Rows of each of the two samples.
 SAMPLE = 6000
@@ -157,27 +159,31 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     return fit(positive, unlabelled) if len(positive) and len(unlabelled) else None
 
 
-def score(docs: DataFrame, model: Model | None, *, id_column: str = "doc_id", text_column: str = "text", keep: bool = False) -> DataFrame:
-    """Columns: doc_id, score; with keep, the rows' own columns and `quality_score`."""
-    if keep:
-        text, out, name = text_column, [*docs.schema.fields], "quality_score"
-        rows = docs
-    else:
-        text, name = "text", "score"
-        rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-        out = [rows.schema["doc_id"]]
-    if model is None:
-        return rows.select(*[f.name for f in out], F.lit(1.0).alias(name))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f.name for f in out]
-
+def _scorer(held, text: str, names: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = held.value.score(measures(batch.column(text).to_pylist()))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(s, pa.float64())], [*names, name])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in out], f"{name} double"])
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def score(docs: DataFrame, model: Model | None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Columns: doc_id, score."""
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    if model is None:
+        return rows.select("doc_id", F.lit(1.0).alias("score"))
+    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), "text", ["doc_id"], "score"), "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, model: Model | None, *, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, as they are, whose texts score at least `threshold`."""
+    if model is None:
+        return docs
+    name = free_name(docs, "quality_score")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    scored = docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), text_column, docs.columns, name), schema)
+    return scored.where(F.col(name) >= threshold).drop(name)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

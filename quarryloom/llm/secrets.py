@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryloom.llm.common import cut
+from quarryloom.llm.common import cut, free_name
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The same matches as of AKIA[A-Z0-9]+ and [0-9a-f]+ that are long enough: a run that is too short holds no longer one.
@@ -125,47 +125,68 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def candidates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Columns: doc_id, assign, access, hex (arrays of spans), tokens (array of span, stratum and bin of p): one row for each row."""
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+def _scanned(rows: DataFrame, text: Column, prefix: str = "") -> DataFrame:
+    """The rows with assign, access, hex (arrays of spans) and tokens (array of span, stratum and bin of p)."""
     span = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
+    assign, access, hex_, tokens = (f"{prefix}{n}" for n in ("assign", "access", "hex", "tokens"))
+    own = [c for c in rows.columns if c not in (assign, access, hex_, tokens)]
     first = rows.select(
-        "doc_id",
-        F.transform(F.filter(matches(F.col("text"), ASSIGN), lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= VALUE), span).alias("assign"),
-        F.transform(matches(F.col("text"), ACCESS), span).alias("access"),
-        F.transform(matches(F.col("text"), HEX), span).alias("hex"),
-        matches(F.col("text"), TOKEN).alias("runs"),
+        *[F.col(f"`{c}`") for c in own],
+        F.transform(F.filter(matches(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= VALUE), span).alias(assign),
+        F.transform(matches(text, ACCESS), span).alias(access),
+        F.transform(matches(text, HEX), span).alias(hex_),
+        matches(text, TOKEN).alias(tokens),
     )
     # a token that holds a hex or access match overlaps that span, so those are told by the token itself
-    plain = F.filter("runs", lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]") & ~m["match"].rlike(f"{HEX}|{ACCESS}") & ~F.exists("assign", lambda b: _overlaps(m, b)))
+    plain = F.filter(tokens, lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]") & ~m["match"].rlike(f"{HEX}|{ACCESS}") & ~F.exists(assign, lambda b: _overlaps(m, b)))
 
     def judged(m: Column) -> Column:
         stratum = sum((F.char_length(m["match"]) >= s).cast("int") for s in STRATA)
         place = F.least(F.floor(-F.log(F.greatest(battery(m["match"]), F.lit(1e-300))) / BIN), F.lit(BINS - 1)).cast("int")
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), stratum.alias("stratum"), place.alias("bin"))
 
-    return first.select("doc_id", "assign", "access", "hex", F.transform(plain, judged).alias("tokens"))
+    return first.withColumn(tokens, F.transform(plain, judged))
+
 
+def candidates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Columns: doc_id, assign, access, hex, tokens: one row for each row."""
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    return _scanned(rows, F.col("text")).drop("text")
 
-def rejection(found: DataFrame, rate: float = FALSE_RATE) -> dict[int, int]:
+
+def rejection(found: DataFrame, rate: float = FALSE_RATE, tokens: str = "tokens") -> dict[int, int]:
     """For each stratum of length the bin from which on (p at most exp(-bin * BIN)) tokens are rejected as ordinary."""
-    counts = found.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.select(F.explode(tokens).alias("t")).groupBy("t.stratum", "t.bin").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("stratum")
     ranked = counts.select("stratum", "bin", F.sum("n").over(by).alias("m"), F.sum("n").over(by.orderBy(F.desc("bin"))).alias("upto"))
     held = ranked.where(F.exp(-F.col("bin") * BIN) <= rate * F.col("upto") / F.col("m"))
     return {r.stratum: r.bin for r in held.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
 
 
+def _spans(thresholds: dict[int, int], prefix: str = "") -> Column:
+    alive = lambda t: ~F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair]), t["stratum"]) <= t["bin"], F.lit(False)) if thresholds else F.lit(True)
+    of = lambda k, column: F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
+    return F.array_sort(F.concat(*[of(k, F.col(f"{prefix}{n}")) for k, n in enumerate(("assign", "access", "hex"))], of(3, F.filter(f"{prefix}tokens", alive))))
+
+
 def scan(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns: doc_id, spans (array of start, kind, end; sorted), kinds as numbers in the order of KINDS."""
     found = cut(candidates(docs, id_column=id_column, text_column=text_column))
-    return _spans(found, rejection(found))
-
-
-def _spans(found: DataFrame, thresholds: dict[int, int]) -> DataFrame:
-    alive = lambda t: ~F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair]), t["stratum"]) <= t["bin"], F.lit(False)) if thresholds else F.lit(True)
-    of = lambda k, column: F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
-    return found.select("doc_id", F.array_sort(F.concat(of(0, F.col("assign")), of(1, F.col("access")), of(2, F.col("hex")), of(3, F.filter("tokens", alive)))).alias("spans"))
+    return found.select("doc_id", _spans(rejection(found)).alias("spans"))
+
+
+def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
+    """The rows with every span in their texts replaced by MASK, and the texts' lengths counted anew."""
+    prefix = free_name(docs, "scanned_assign").removesuffix("assign")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    thresholds = rejection(_scanned(docs.select(text_column), text, prefix), tokens=f"{prefix}tokens")
+    spans = free_name(docs, "scanned_spans")
+    found = _scanned(docs, text, prefix).withColumn(spans, _spans(thresholds, prefix))
+    hit = F.size(spans) > 0
+    out = found.withColumn(text_column, F.when(hit, masked(text, F.col(spans))).otherwise(F.col(text_column)))
+    if length_column in docs.columns:
+        out = out.withColumn(length_column, F.when(hit, F.char_length(text_column).cast(docs.schema[length_column].dataType)).otherwise(F.col(length_column)))
+    return out.select(docs.columns)
 
 
 def listed(spans: Column) -> Column:
