@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarryloom.llm.chroma import op8_chroma
 from quarryloom.llm.decontaminate import OP5_SQL, op5_decontaminate
 from quarryloom.llm.pieces import op4_sentencepiece
 from quarryloom.llm.quality import op3_quality
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_substrings": op6_substrings,
     "op7_sharding": op7_sharding,
+    "op8_chroma": op8_chroma,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
