@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Parts of inputs, and pairs of pieces, that a worker remembers.
 REMEMBERED = 600_000
+#: Characters of texts whose new parts are searched together.
+GROUP = 4_000_000
 #: Longer parts are not remembered.
 LONGEST = 48
 
@@ -97,6 +100,12 @@ class Transducer:
         self.cuts = not any(BLANK in n.lstrip(BLANK) or "\n" in n for n in self.ids)
         # a piece that the merges never make is on no path
         self.alive = {n: i for n, i in self.ids.items() if self.merged(n) == [n]}
+        # lengths of pieces of three characters or more by their last three, longest first
+        tails: dict[str, set[int]] = {}
+        for n in self.alive:
+            if len(n) > 2:
+                tails.setdefault(n[-3:], set()).add(len(n))
+        self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
         self.apart: dict[int, bool] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -125,82 +134,109 @@ class Transducer:
             known = self.apart[key] = self.merged(x + y) == [x, y]
         return known
 
-    def shortest(self, text: str) -> list[int]:
-        """The path of finite weight through the composition with a normalised text: one arc kept for each position."""
-        n = len(text)
-        last = [-1] * (n + 1)  # the piece that ends here; -1: the start, or a character spelled in bytes
-        back = [0] * (n + 1)
-        reached = [True] + [False] * n
-        alive, longest, apart = self.alive, self.longest, self.apart
-        for end in range(1, n + 1):
-            for at in range(max(0, end - longest), end):
-                if not reached[at]:
-                    continue
-                piece = alive.get(text[at:end])
-                if piece is None:
-                    continue
-                before = last[at]
-                if before >= 0:
-                    fits = apart.get(before << 32 | piece)
-                    if fits is None:
-                        fits = self.weight(before, piece)
-                    if not fits:
+    def paths(self, texts: list[str]) -> Iterator[list[int]]:
+        """For each normalised text the path of finite weight through its composition: one arc kept for each position.
+
+        A text that begins as the one before it keeps the search's states up to there, so sorted texts are cheapest.
+        """
+        last = [-1]  # the piece that ends here; -1: the start, or a character spelled in bytes; -2: nothing does
+        back = [0]
+        alive, apart, tails, ids = self.alive, self.apart, self.tails, self.ids
+        previous = ""
+        for text in texts:
+            n = len(text)
+            common = 0
+            for x, y in zip(text, previous, strict=False):
+                if x != y:
+                    break
+                common += 1
+            del last[common + 1 :], back[common + 1 :]
+            for end in range(common + 1, n + 1):
+                best, start = -2, 0
+                for length in (*tails.get(text[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1) if end == 2 else (1,):
+                    at = end - length
+                    if at < 0:
                         continue
-                last[end], back[end], reached[end] = piece, at, True
-                break
-            else:
-                if text[end - 1] not in self.ids:
-                    back[end], reached[end] = end - 1, True
-        out: list[int] = []
-        at = n
-        while at:
-            if last[at] >= 0:
-                out.append(last[at])
-            else:
-                out.extend(self.bytes[b] for b in reversed(text[back[at] : at].encode("utf-8", "surrogatepass")))
-            at = back[at]
-        return out[::-1]
+                    before = last[at]
+                    if before == -2:
+                        continue
+                    piece = alive.get(text[at:end])
+                    if piece is None:
+                        continue
+                    if before >= 0:
+                        fits = apart.get(before << 32 | piece)
+                        if not (self.weight(before, piece) if fits is None else fits):
+                            continue
+                    best, start = piece, at
+                    break
+                if best == -2 and text[end - 1] not in ids:
+                    best, start = -1, end - 1
+                last.append(best)
+                back.append(start)
+            previous = text
+            out: list[int] = []
+            at = n
+            while at:
+                piece, start = last[at], back[at]
+                if piece >= 0:
+                    out.append(piece)
+                else:
+                    out.extend(self.bytes[b] for b in reversed(text[start:at].encode("utf-8", "surrogatepass")))
+                at = start
+            out.reverse()
+            yield out
 
-    def _part(self, part: str) -> bytes:
-        """Ids of a part, packed: '\\n' begins a part without a blank before it; other parts have their blank left off."""
-        known = self.parts.get(part)
-        if known is None:
-            whole = part if part.startswith("\n") else BLANK + part
-            known = np.array(self.shortest(whole), np.int32).tobytes()
-            if len(part) <= LONGEST:
-                if len(self.parts) >= REMEMBERED:
-                    self.parts.clear()
-                self.parts[part] = known
-        return known
+    def shortest(self, text: str) -> list[int]:
+        return next(self.paths([text]))
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if not (self.cuts and self.prefix) or BLANK in text:
-            return np.array(self.shortest((BLANK if self.prefix else "") + text.replace(" ", BLANK)), np.int32)
+    def _cut(self, text: str) -> list[str]:
+        """The text's parts: '\n' begins a part without a blank before it; other parts have one blank left off."""
         words = text.replace("\n", " \n").split(" ")
-        kinds = set(words)
-        if "" in kinds:  # runs of blanks: each adds one to the part after it
-            joined: list[str] = []
-            blanks = 0
-            for w in words:
-                if w == "":
-                    blanks += 1
-                elif w[0] == "\n":
-                    if blanks:
-                        joined.append(BLANK * (blanks - 1))
-                    joined.append(w)
-                    blanks = 0
-                else:
-                    joined.append(BLANK * blanks + w)
-                    blanks = 0
-            if blanks:
-                joined.append(BLANK * (blanks - 1))
-            words = joined
-            kinds = set(words)
-        known = self.parts
-        packed = {w: known.get(w) or self._part(w) for w in kinds}
-        return np.frombuffer(b"".join(map(packed.__getitem__, words)), np.int32)
+        if "" not in words:
+            return words
+        joined: list[str] = []
+        blanks = 0  # each adds one to the part after it
+        for w in words:
+            if w == "":
+                blanks += 1
+            elif w[0] == "\n":
+                if blanks:
+                    joined.append(BLANK * (blanks - 1))
+                joined.append(w)
+                blanks = 0
+            else:
+                joined.append(BLANK * blanks + w)
+                blanks = 0
+        if blanks:
+            joined.append(BLANK * (blanks - 1))
+        return joined
+
+    def _learn(self, fresh: set[str]) -> None:
+        ordered = sorted(fresh)
+        whole = [w if w.startswith("\n") else BLANK + w for w in ordered]
+        for w, ids in zip(ordered, self.paths(whole), strict=True):
+            self.parts[w] = array("i", ids).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        if not (self.cuts and self.prefix):
+            return [np.array(self.shortest((BLANK if self.prefix and t else "") + t.replace(" ", BLANK)) if t else [], np.int32) for t in texts]
+        cut = [None if BLANK in t else self._cut(t) if t else [] for t in texts]
+        kinds = [set(c or ()) for c in cut]
+        fresh: set[str] = set()
+        for k in kinds:
+            fresh |= k.difference(self.parts)
+        if len(self.parts) + len(fresh) > REMEMBERED:
+            self.parts.clear()
+            fresh = set().union(*kinds)
+        self._learn(fresh)
+        known = self.parts.__getitem__
+        out = [np.frombuffer(b"".join(map(known, c)), np.int32) if c is not None else np.array(self.shortest(BLANK + t.replace(" ", BLANK)), np.int32) for t, c in zip(texts, cut, strict=True)]
+        for w in [w for w in fresh if len(w) > LONGEST]:
+            del self.parts[w]
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -220,6 +256,20 @@ def transducer(model: bytes) -> Transducer:
     return _MADE[key]
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in groups of about GROUP characters."""
+    group: list[str | None] = []
+    size = 0
+    for t in texts:
+        group.append(t)
+        size += len(t or "")
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _model(df: DataFrame, path: str):
     with open(path, "rb") as file:  # on the driver; half a megabyte
         return df.sparkSession.sparkContext.broadcast(file.read())
@@ -233,7 +283,8 @@ def encode(df: DataFrame, *, text_column: str = "text", ids_column: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(held.value)
         for batch in batches:
-            made = [None if t.as_py() is None else machine.encode(t.as_py()) for t in batch.column(text_column)]
+            texts = batch.column(text_column).to_pylist()
+            made = [None if t is None else x for group in _groups(texts) for t, x in zip(group, machine.encode_all([t or "" for t in group]), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(made, pa.list_(pa.int32()))], [*[f.name for f in fields], ids_column])
 
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(ids_column, T.ArrayType(T.IntegerType()))]))
@@ -261,11 +312,12 @@ def summarise(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(held.value)
         for batch in batches:
-            step = 256
-            for at in range(0, batch.num_rows, step):
-                some = batch.slice(at, step)
-                texts = [t.as_py() or "" for t in some.column("text")]
-                ids = [machine.encode(t) for t in texts]
+            at = 0
+            for group in _groups(batch.column("text").to_pylist()):
+                some = batch.slice(at, len(group))
+                at += len(group)
+                texts = [t or "" for t in group]
+                ids = machine.encode_all(texts)
                 columns = [
                     some.column("doc_id"),
                     pa.array([len(x) for x in ids], pa.int64()),
