@@ -313,9 +313,10 @@ def repeats(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     each symbol c before them; if the value at the right end of the interval of cw is not set yet it is the length of w,
     and the interval lives on, else it is dropped.  After `length` rounds the values that are not set are at least `length`.
     """
+    text = np.append(text + 1, 0).astype(np.int16)  # ended by a symbol of its own, so that a step back from the first suffix is one as well
     order = suffixes(text, length)
     n = len(order)
-    before = text[order - 1]  # of the first suffix the last symbol, as if the text were a circle
+    before = text[order - 1]
     by = np.argsort(before, kind="stable")
     forward = np.empty(n, np.int64)
     forward[by] = np.arange(n)  # where the suffix one symbol longer stands
@@ -338,7 +339,8 @@ def repeats(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         known[high] = True
         if not len(low):
             break
-    return order, np.cumsum(np.concatenate(([True], known[1:n]))) - 1
+    kind = np.cumsum(np.concatenate(([True], known[1:n]))) - 1
+    return order[1:], kind[1:]  # the end stands first
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
