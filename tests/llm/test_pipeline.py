@@ -1,0 +1,58 @@
+"""The pipeline's stages, each against the operator's brute-force version or its own decisions."""
+
+import importlib
+
+import pytest
+
+from quarryloom.llm import decontaminate, quality, registry, simhash
+from quarryloom.llm.common import fold
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_columns_and_take_effect(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    names = [n for n, _ in pipeline.STAGES]
+    assert len(names) == 5
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = pipeline.quality_classifier(spark, docs, SF).cache()
+    model = quality.train(docs, labels.where(fold("doc_id", 3) != 1))
+    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in quality.score(docs, model).collect() if r.score >= 0.5}
+    single = pipeline.simhash_near_dedup(spark, good, SF).cache()
+    assert {r.doc_id for r in single.collect()} == {r.component_id for r in simhash.near_duplicates(good).collect()} and single.columns == docs.columns
+    clean = pipeline.benchmark_decontamination(spark, single, SF).cache()
+    hit = {r.doc_id for r in decontaminate.find_contamination(single, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() if r.hits}
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in single.collect()} - hit
+    masked = pipeline.secret_scans(spark, clean, SF).cache()
+    assert masked.columns == docs.columns and masked.count() == clean.count() and all(r.n_chars == len(r.text) for r in masked.collect())
+    last = pipeline.sentencepiece_encoding(spark, masked, SF)
+    assert last.count() == masked.count() and all(r.round_trip for r in last.collect())
+    assert pipeline.run(spark, SF).count() == masked.count()
+
+
+def test_near_dedup_of_odd_rows(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "x y z"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r.doc_id) for r in pipeline.simhash_near_dedup(spark, docs, SF).collect()) == ["1", "3", "None"]
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op5_decontaminate"])
+def test_sql_agrees(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_one_query_for_each_operator():
+    import re
+
+    numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES)
+    assert numbers == list(range(1, 11))
