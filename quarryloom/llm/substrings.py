@@ -40,9 +40,11 @@ GRAM = 32
 #: Different segments of one anchor that a block may hold.
 HOT = 4096
 #: Text whose segments are dealt to one bucket.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes of segments that one transform is made of.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Descriptions that are held before they are packed.
+HELD = 1 << 17
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
 NULL_ID = -(1 << 63)
@@ -138,7 +140,7 @@ def _describer(buckets: int):
                     docs.append(doc.as_py())
                     sizes.append(len(part[0]))
                     held += len(part[0])
-                if held > 1 << 20:
+                if held > HELD:
                     yield united(found, docs, sizes)
                     found, docs, sizes, held = [], [], [], 0
             if found:
@@ -274,7 +276,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             rows.append((None, *before, before[1] + LENGTH, None))
                     elif (did, j) != before:
                         rows.append((None, did, j, j + LENGTH, None))
-            if size > 8 << 20 or len(windows) > 100_000 or len(rows) > 100_000:
+            if size > 2 << 20 or len(windows) > 20_000 or len(rows) > 50_000:
                 rows += [(key, d, j, j + LENGTH, window) for (key, window), (d, j) in windows.items()]
                 yield made()
                 rows, windows, size = [], {}, 0
