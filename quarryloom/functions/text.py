@@ -179,33 +179,45 @@ def intent(query: Column) -> Column:
     return F.when(has(SECURITY), F.lit("FIX_VULNERABILITY")).when(F.size(found) == 1, F.element_at(found, 1))
 
 
+def _spaced(text: Column) -> Column:
+    """Lower-cased words between single blanks, after acronyms and camel case were split; single characters are left out."""
+    split = F.regexp_replace(F.coalesce(text, F.lit("")), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    split = F.regexp_replace(split, "([a-z0-9])([A-Z])", "$1 $2")
+    plain = F.lower(F.regexp_replace(F.concat(F.lit(" "), split, F.lit(" ")), "[^a-zA-Z0-9]+", " "))
+    return F.trim(F.regexp_replace(plain, " (?:[a-z0-9] )+", " "))
+
+
+def _split(spaced: Column) -> Column:
+    return F.when(spaced == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(spaced, " "))
+
+
 def code_words(text: Column) -> Column:
     """Lower-cased words of more than one character, after acronyms and camel case were split."""
-    split = F.regexp_replace(text, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    split = F.regexp_replace(split, "([a-z0-9])([A-Z])", "$1 $2")
-    return F.transform(F.filter(F.split(F.regexp_replace(split, "[^a-zA-Z0-9]+", " "), " "), lambda w: F.length(w) > 1), F.lower)
+    return F.element_at(F.transform(F.array(_spaced(text)), _split), 1)
 
 
 def code_tokens(text: Column) -> Column:
     """Words, then each code word that some longer identifier holds before the word itself occurs.
 
-    This closed form has the same multiset of tokens as adding sub-words while walking the words, in linear time.
+    This closed form has the same multiset of tokens as adding sub-words while walking the words, in linear time: only
+    the few words that hold a code word, or are one, are looked at by name, and a single pattern finds them.
     """
-    def with_parts(w: Column) -> Column:
-        some = F.filter(w, lambda k: k.rlike("|".join(CODE_PARTS)))  # the few words that hold a part, or are one, in their order
+    holders = f" ([a-z0-9]*?(?:{'|'.join(CODE_PARTS)})[a-z0-9]*)"  # a blank first, so that each word is tried once
 
-        def parts_of(few: Column) -> Column:
-            def added(part: str) -> Column:
-                holders = F.transform(few, lambda k: (F.length(k) > 3) & (k != part) & k.contains(part))
-                first, own = F.array_position(holders, F.lit(True)), F.array_position(few, F.lit(part))
-                return F.when((first > 0) & ((own == 0) | (first < own)), F.lit(part))
+    def parts_of(few: Column) -> Column:
+        def added(part: Column) -> Column:
+            held = F.transform(few, lambda k: (F.length(k) > 3) & (k != part) & k.contains(part))
+            first, own = F.array_position(held, F.lit(True)), F.array_position(few, part)
+            return (first > 0) & ((own == 0) | (first < own))
 
-            return F.filter(F.array(*map(added, CODE_PARTS)), lambda x: x.isNotNull())
+        return F.filter(F.array(*map(F.lit, CODE_PARTS)), added)  # one expression for all code words keeps plans small
 
-        return F.concat(w, F.element_at(F.transform(F.array(some), parts_of), 1))
+    def tokens(spaced: Column) -> Column:
+        few = F.regexp_extract_all(F.concat(F.lit(" "), spaced), F.lit(holders), F.lit(1))
+        return F.concat(_split(spaced), F.when(F.size(few) > 0, F.element_at(F.transform(F.array(few), parts_of), 1)).otherwise(F.expr("cast(array() as array<string>)")))
 
     # bound once through one-element arrays
-    return F.element_at(F.transform(F.array(code_words(F.coalesce(text, F.lit("")))), with_parts), 1)
+    return F.element_at(F.transform(F.array(_spaced(text)), tokens), 1)
 
 
 def simple_tokens(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.sources.tables import table
+from quarryloom.sources.tables import spread, table
 
 #: Beginnings of queries; a query's is chosen by its id.
 OPENINGS = (
@@ -22,7 +22,7 @@ OPENINGS = (
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: repo_id, file_path, content."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     ext = F.element_at(F.array(*[F.lit(x) for x in ("md", "py", "ts", "bin")]), (F.col("doc_id") % 4 + 1).cast("int"))
     folder = F.when(F.col("doc_id") % 13 == 0, F.lit("node_modules")).when(F.col("doc_id") % 17 == 0, F.lit(".cache")).otherwise(F.col("lang"))
     return d.select("doc_id", F.col("source").alias("repo_id"), F.concat_ws("/", "source", folder, F.concat(F.lit("Doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)).alias("file_path"), F.col("text").alias("content"))

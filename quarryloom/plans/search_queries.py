@@ -11,11 +11,11 @@ from quarryloom.operators.embedding import embed
 from quarryloom.plans import fixtures as fx
 from quarryloom.plans.text_queries import ORACLE_SQL as TEXT_SQL
 from quarryloom.plans.text_queries import _tokens_sql, _words_sql
-from quarryloom.sources.tables import table
+from quarryloom.sources.tables import spread, table
 
 
 def tf_chunk_text(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.posexplode(text_chunks(F.col("text"))).alias("ord", "c"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(text_chunks(F.col("text"))).alias("ord", "c"))
     return d.select("doc_id", "ord", "c.start_line", "c.end_line", F.md5("c.content").alias("digest"))
 
 
@@ -64,12 +64,12 @@ def _items(spark, sf):
 
 
 def agg_df(spark, sf):
-    d = table(spark, sf, "documents").select(F.explode(F.array_distinct(X.code_words(F.col("text")))).alias("term"))
+    d = spread(table(spark, sf, "documents").select("text")).select(F.explode(F.array_distinct(X.code_words(F.col("text")))).alias("term"))
     return d.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def agg_avg_len(spark, sf):
-    return table(spark, sf, "documents").agg(F.round(F.greatest(F.avg(F.size(X.code_tokens(F.col("text")))), F.lit(1.0)), 6).alias("average"))
+    return spread(table(spark, sf, "documents").select("text")).agg(F.round(F.greatest(F.avg(F.size(X.code_tokens(F.col("text")))), F.lit(1.0)), 6).alias("average"))
 
 
 def topk_sparse(spark, sf):
@@ -78,7 +78,7 @@ def topk_sparse(spark, sf):
 
 
 def tf_embed(spark, sf):
-    d = embed(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")))
+    d = embed(spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))))
     return d.select("doc_id", F.posexplode("vector").alias("i", "v")).where("i < 4").select("doc_id", "i", F.round("v", 6).alias("v"))
 
 
@@ -99,7 +99,7 @@ def join_rrf(spark, sf):
 
 
 def score_rerank(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     ids, kws = F.array(F.lit("the"), F.lit("password")), F.array(F.lit("license"), F.lit("de"), F.lit("la"))
     t = F.lower("text")
     return d.select("doc_id", F.round(0.016 + S.IDENTIFIER_BOOST * S.matched_share(t, ids) + S.KEYWORD_BOOST * S.matched_share(t, kws), 6).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarryloom.functions import hashing as H
 from quarryloom.functions import text as X
 from quarryloom.plans import fixtures as fx
-from quarryloom.sources.tables import table
+from quarryloom.sources.tables import spread, table
 
 joined = lambda c: F.array_join(c, "|")
 
@@ -82,12 +82,12 @@ def fn_intent_fallback(spark, sf):
 
 
 def fn_tokenize_code(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.code_tokens(F.col("text")).alias("t"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.code_tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("digest"))
 
 
 def fn_tokenize_simple(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.simple_tokens(F.col("text")).alias("t"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.simple_tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
