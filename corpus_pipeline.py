@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.llm import decontaminate, pieces, quality, secrets, simhash
 from quarryloom.llm.common import fold, fresh_dir
+from quarryloom.sources.tables import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half go.  Labels that op3 holds out are not learned here either."""
     labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
+    docs = spread(docs)
     return quality.keep_good(docs, quality.train(docs, labels))
 
 

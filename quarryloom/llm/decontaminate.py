@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryloom.sources.tables import spread
+
 WINDOW = 10
 #: Windows in one automaton, as bytes of their normalised text.
 BLOCK_BYTES = 64 << 20
@@ -166,7 +168,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every document against the whole benchmark."""
-    found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find_contamination(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
         "doc_id",
         "n_words",

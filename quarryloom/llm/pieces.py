@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryloom.sources.tables import spread
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Parts of inputs, and pairs of pieces, that a worker remembers.
@@ -331,4 +333,4 @@ def summarise(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """All documents, encoded and decoded again."""
-    return summarise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return summarise(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

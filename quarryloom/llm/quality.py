@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryloom.llm.common import fold, free_name
+from quarryloom.sources.tables import spread
 
 #: Rows of each of the two samples.
 SAMPLE = 6000
@@ -188,6 +189,6 @@ def keep_good(docs: DataFrame, model: Model | None, *, text_column: str = "text"
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents; labels of ids whose crc32 leaves 1 modulo 3 are held out."""
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.where(fold("doc_id", 3) != 1))
     return score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

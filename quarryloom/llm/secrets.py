@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryloom.llm.common import cut, free_name
+from quarryloom.sources.tables import spread
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The same matches as of AKIA[A-Z0-9]+ and [0-9a-f]+ that are long enough: a run that is too short holds no longer one.
@@ -106,8 +107,8 @@ def battery(token: Column) -> Column:
         ones = F.size(F.filter(high, lambda y: y)).cast("double")
         product = 2 * ones * (n - ones)
         runs = F.size(F.filter(F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda a, b: a != b), lambda y: y)) + 1
-        spread = product * (product - n) / (n * n * (n - 1))
-        z_runs = F.when(spread > 0, F.abs(runs - (product / n + 1)) / F.sqrt(spread)).otherwise(F.sqrt(n))
+        of_runs = product * (product - n) / (n * n * (n - 1))
+        z_runs = F.when(of_runs > 0, F.abs(runs - (product / n + 1)) / F.sqrt(of_runs)).otherwise(F.sqrt(n))
         mean = total(v) / n
         off = F.transform(v, lambda y: y - mean)
         variance = total(F.transform(off, lambda y: y * y))
@@ -210,7 +211,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
     """All documents."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id",

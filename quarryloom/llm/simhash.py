@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryloom.llm.common import cut
+from quarryloom.sources.tables import spread
 
 SHINGLE = 3
 BUDGET = 3
@@ -229,5 +230,5 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """All documents; fingerprints link at BUDGET or fewer differing bits."""
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

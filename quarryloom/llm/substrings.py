@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryloom.llm.common import fresh_dir
+from quarryloom.sources.tables import spread
 
 LENGTH = 100
 GRAM = 32
@@ -449,4 +450,4 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:
     """All documents, at LENGTH bytes."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("removed")
+    return remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).drop("removed")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryloom.llm.common import fold
+from quarryloom.sources.tables import spread
 
 ORDER = 5
 DISCOUNT = 0.9
@@ -222,6 +223,6 @@ def score(docs: DataFrame, model: Model | float, *, id_column: str = "doc_id", t
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents; labels of ids whose crc32 leaves 2 modulo 4 are held out."""
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.where(fold("doc_id", 4) != 2))
     return score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
