@@ -37,10 +37,10 @@ from quarryloom.sources.tables import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Parts of inputs, and pairs of pieces, that a worker remembers.
-REMEMBERED = 600_000
+#: Parts of inputs in a generation (two are remembered, and parts met again move to the younger), and pairs of pieces that are remembered.
+REMEMBERED = 200_000
 #: Characters of texts whose new parts are searched together.
-GROUP = 4_000_000
+GROUP = 2_000_000
 #: Longer parts are not remembered.
 LONGEST = 48
 
@@ -110,6 +110,7 @@ class Transducer:
         self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
         self.apart: dict[int, bool] = {}
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges make of a short string: the best-scored pair of neighbours first, leftmost on ties."""
@@ -223,13 +224,14 @@ class Transducer:
         if not (self.cuts and self.prefix):
             return [np.array(self.shortest((BLANK if self.prefix and t else "") + t.replace(" ", BLANK)) if t else [], np.int32) for t in texts]
         cut = [None if BLANK in t else self._cut(t) if t else [] for t in texts]
-        kinds = [set(c or ()) for c in cut]
+        if len(self.parts) > REMEMBERED:
+            self.parts, self.older = {}, self.parts
         fresh: set[str] = set()
-        for k in kinds:
-            fresh |= k.difference(self.parts)
-        if len(self.parts) + len(fresh) > REMEMBERED:
-            self.parts.clear()
-            fresh = set().union(*kinds)
+        for c in cut:
+            fresh |= set(c or ()).difference(self.parts)
+        again = fresh.intersection(self.older)
+        self.parts.update((w, self.older[w]) for w in again)
+        fresh -= again
         self._learn(fresh)
         known = self.parts.__getitem__
         out = [np.frombuffer(b"".join(map(known, c)), np.int32) if c is not None else np.array(self.shortest(BLANK + t.replace(" ", BLANK)), np.int32) for t, c in zip(texts, cut, strict=True)]
