@@ -9,7 +9,7 @@ from quarryloom.llm.quality import op3_quality
 from quarryloom.llm.secrets import op2_secrets
 from quarryloom.llm.sharding import op7_sharding
 from quarryloom.llm.simhash import op9_simhash
-from quarryloom.llm.substrings import op6_substrings
+from quarryloom.llm.substrings import OP6_SQL, op6_substrings
 from quarryloom.llm.toxicity import op10_toxicity
 from quarryloom.llm.warc import OP1_SQL, op1_warc
 
@@ -29,4 +29,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op5_decontaminate": OP5_SQL,
+    "op6_substrings": OP6_SQL,
 }

@@ -38,7 +38,7 @@ def test_near_dedup_of_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in pipeline.simhash_near_dedup(spark, docs, SF).collect()) == ["1", "3", "None"]
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op5_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_warc", "op5_decontaminate", "op6_substrings"])
 def test_sql_agrees(spark, name):
     import duckdb
 
@@ -56,3 +56,24 @@ def test_one_query_for_each_operator():
 
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES)
     assert numbers == list(range(1, 11))
+
+
+def test_queries_against_brute_force(spark):
+    import hashlib
+    import zlib
+
+    from test_llm_operators import brute_components, brute_fingerprint, brute_secrets
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    prints = [(i, brute_fingerprint(t)) for i, t in docs]
+    want = {i: (f"{f:016x}", c) for (i, f), c in zip(prints, brute_components(prints), strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in registry.QUERIES["op9_simhash"](spark, SF).collect()} == want
+    kinds = ("assign", "access", "hex")
+    for r in registry.QUERIES["op2_secrets"](spark, SF).collect():
+        spans = brute_secrets(dict(docs)[r.doc_id])
+        listed = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (*[sum(s[1] == k for s in spans) for k in range(3)], hashlib.sha256(listed.encode()).hexdigest())
+    shards = registry.QUERIES["op7_sharding"](spark, SF).collect()
+    assert all(r.size == len(dict(docs)[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(dict(docs)[r.doc_id].encode()) for r in shards) and len(shards) == len(docs)
+    for s in range(16):
+        assert sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards)))
