@@ -26,9 +26,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays (and the first of its rows, should the id repeat)."""
-    found = simhash.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    """Documents whose sets of five-word shingles have a similarity of 0.8 or more are linked; of each component the document with the smallest id stays (and the first of its rows, should the id repeat)."""
+    found = simhash.similar_documents(docs)
+    stay = found.groupBy("root").agg(F.min("doc_id").alias("stays")).select("stays").distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 

@@ -38,6 +38,10 @@ BUCKET = 2048
 ROWS = 50_000
 #: Shingles whose bits are counted at once.
 PIECE = 1 << 16
+#: Words of a shingle where documents are compared by similarity (`similar_documents`).
+STAGE_SHINGLE = 5
+#: Documents of the sample that orders keys by frequency, at most about, and shingles that it names, at most.
+COMMON_ROWS, COMMON = 20_000, 200_000
 
 _BOUNDS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 
@@ -228,6 +232,118 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, sorted; a shorter text is one shingle, and one without words has none."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    made = [xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))] if words else []
+    return np.unique(np.array(made, np.uint64))
+
+
+def shingle_prints(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, common: np.ndarray | None = None) -> DataFrame:
+    """docs: doc_id, text, mark.  Columns: doc_id, mark, node (equal sets of shingles have one), fp (of the set), size, keys.
+
+    keys are a set's first shingles in one order for all sets, those of `common` (sorted by frequency) last.  They are so
+    many that two sets of similarity 4/5 or more share one.
+    """
+    order = np.argsort(common) if common is not None and len(common) else None
+    known = common[order] if order is not None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            nodes, fps, sizes, keys = [], [], [], []
+            for t in batch.column("text"):
+                x = hashes(t.as_py(), shingle)
+                n = len(x)
+                ones = sum((np.unpackbits(x[at : at + PIECE].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64) for at in range(0, n, PIECE)), np.zeros(64, np.int64))
+                fps.append(int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big"))
+                nodes.append(xxh64_intdigest(x.tobytes(), SEED))
+                sizes.append(n)
+                if known is not None and n:
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    # the most frequent ones have the lowest place in `common`, and come last
+                    x = x[np.argsort(np.where(known[at] == x, len(known) - order[at], 0), kind="stable")]
+                keys.append(x[: n - (4 * n + 4) // 5 + 1] if n else x)
+            longs = [pa.array(np.array(c, np.uint64).astype(np.int64)) for c in (nodes, fps, sizes)]
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *longs, lists], ["doc_id", "mark", "node", "fp", "size", "keys"])
+
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark string, node long, fp long, size long, keys array<long>")
+
+
+def common_shingles(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """Shingles that recur in a sample, the most frequent first.  They only set the order of keys: any order finds the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(t.as_py(), shingle).astype(np.int64))], ["h"])
+
+    share = docs.count() // COMMON_ROWS + 1
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(share)) == 0).select("text")
+    found = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(COMMON)
+    return found.toPandas().h.to_numpy(np.int64).astype(np.uint64)
+
+
+def _similar(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose sets of shingles have a similarity of 4/5 or more."""
+        last, x = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            near = []
+            for a, t, u in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
+                if a != last:
+                    last, x = a, hashes(t.as_py(), shingle)
+                y = hashes(u.as_py(), shingle)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(5 * both >= 4 * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """Columns: doc_id, mark (MD5 of the text, a null one as empty), root.  Components of all pairs whose sets of shingles have a Jaccard similarity of 4/5 or more.
+
+    Pairs that fingerprints find are compared first, as a forest of them is few rows however large a group; then every
+    pair of different components that shares a key and can reach 4/5 by its sizes and the key's places, so none is lost.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
+    prints = cut(shingle_prints(docs, shingle=shingle, common=common_shingles(docs, shingle=shingle)))
+    nodes = prints.groupBy("node").agg(F.min("mark").alias("mark"), F.first("fp").alias("fp"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
+        texts = docs.select("mark", "text").join(named, "mark").dropDuplicates(["node"])
+        side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        return cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle), "a long, b long"))
+
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    ends = links(first.select("fp"))
+    named = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}"))
+    across = ends.join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
+    within = nodes.join(first, "fp").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    tried = cut(across.unionByName(within).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    close = verified(tried)
+    roots = components(close)
+
+    keyed = prints.dropDuplicates(["node"]).select("node", "size", F.posexplode("keys").alias("place", "key"))
+    groups = keyed.groupBy("key").agg(F.collect_list(F.struct("node", "size", "place")).alias("rows")).where(F.size("rows") > 1)
+    shared = cut(groups.select("key", F.inline("rows")).join(roots, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root")))
+    other = shared.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "place", "root")])
+    can = (
+        (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & (5 * F.least("size", "size_b") >= 4 * F.greatest("size", "size_b"))
+        & (9 * (F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))) >= 4 * (F.col("size") + F.col("size_b")))
+    )
+    rest = cut(shared.join(other, "key").where(can).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    found = components(close.unionByName(verified(rest)))
+    return prints.select("doc_id", "mark", "node").join(found, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """All documents; fingerprints link at BUDGET or fewer differing bits."""
     found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -77,3 +77,34 @@ def test_queries_against_brute_force(spark):
     assert all(r.size == len(dict(docs)[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(dict(docs)[r.doc_id].encode()) for r in shards) and len(shards) == len(docs)
     for s in range(16):
         assert sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards)))
+
+
+def test_near_dedup_links_all_at_four_fifths(spark):
+    """Copies with some words changed, among unrelated texts that share a passage, against all pairs."""
+    import random
+
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = [word() for _ in range(40)]
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.randrange(30, 300))] + passage
+        texts.append(base)
+        for changed in (1, 2, 4, 6):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changed):
+                copy[at] = word()
+            texts.append(copy)
+    rng.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in pipeline.simhash_near_dedup(spark, docs, SF).collect()}
+    assert got == set(root)
+    assert got != {r.component_id for r in simhash.near_duplicates(docs).collect()}
