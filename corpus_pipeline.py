@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryloom.llm import decontaminate, pieces, quality, secrets, simhash
-from quarryloom.llm.common import fold, fresh_dir
+from quarryloom.llm.common import fold, free_name, fresh_dir
 from quarryloom.sources.tables import spread
 
 
@@ -26,10 +26,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose sets of five-word shingles have a similarity of 0.8 or more are linked; of each component the document with the smallest id stays (and the first of its rows, should the id repeat)."""
+    """Documents whose sets of five-word shingles have a similarity of 0.8 or more are linked; of each component the row with the smallest id stays (nulls last, then by the text's MD5), once should it repeat."""
     found = simhash.similar_documents(docs)
-    stay = found.groupBy("root").agg(F.min("doc_id").alias("stays")).select("stays").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s"))
+    stay = first.select(F.col("s.doc_id").alias("stays"), F.col("s.mark").alias("stay_mark"))
+    mark = free_name(docs, "mark")
+    marked = docs.withColumn(mark, F.md5(F.coalesce("text", F.lit(""))))
+    return marked.join(stay, marked["doc_id"].eqNullSafe(stay["stays"]) & (marked[mark] == stay["stay_mark"]), "left_semi").dropDuplicates(["doc_id", mark]).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

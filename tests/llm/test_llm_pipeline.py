@@ -108,3 +108,12 @@ def test_near_dedup_links_all_at_four_fifths(spark):
     got = {r.doc_id for r in pipeline.simhash_near_dedup(spark, docs, SF).collect()}
     assert got == set(root)
     assert got != {r.component_id for r in simhash.near_duplicates(docs).collect()}
+
+
+def test_near_dedup_keeps_a_row_of_every_component(spark):
+    """Different texts without an id, and under a repeated one, each stay; of a repeated id the copy of another goes."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    rows = [(1, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q r"), (None, "m n o p q r"), (7, "a b c d e f"), (7, "s t u v w x"), (7, "y z a a b b")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in pipeline.simhash_near_dedup(spark, docs, SF).collect())
+    assert got == [("1", "a b c d e f"), ("7", "s t u v w x"), ("7", "y z a a b b"), ("None", "g h i j k l"), ("None", "m n o p q r")]
