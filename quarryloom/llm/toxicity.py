@@ -7,9 +7,9 @@ the runs between blanks.  For every byte the log-likelihoods under both models a
 the mean of these (length-normalised), by its most toxic word and by the excess of its toxic words a word.  A logistic
 calibration of these three, fitted on labelled rows that the models have not seen, gives the score.
 
-The models are fitted on at most TRAIN_ROWS labelled rows of each class (those with the smallest hashes of their ids),
-a documented bound; n-gram counts are added up by Spark, and the driver receives one row for each distinct n-gram of
-that sample.  Every document's whole text is scored, in pieces of bounded size, in one pass and without a shuffle.
+The models' n-grams are counted by Spark over all labelled rows that are not held back for the calibration, and the driver
+receives one row for each distinct n-gram; the calibration is fitted on at most CALIBRATION_ROWS rows of each class (those
+with the smallest hashes of their ids), a documented bound.  Every document's whole text is scored, in pieces of bounded size, in one pass and without a shuffle.
 
 Nulls: a null text scores as an empty one; a null label, or a label without a document, is not learned from; a label
 with repeated rows is learned once, as toxic if any of them says so.  Without rows of both classes every score is the
@@ -31,9 +31,9 @@ from quarryloom.sources.tables import spread
 
 ORDER = 5
 DISCOUNT = 0.9
-#: Labelled rows of each class that the models and the calibration see at most.
-TRAIN_ROWS = 4000
-#: Of these, the share (in sixteenths) that only the calibration sees.
+#: Labelled rows of each class that the calibration sees at most.
+CALIBRATION_ROWS = 4000
+#: The share of labelled rows (in sixteenths) that the models do not see, but the calibration.
 HELD_BACK = 4
 #: A word counts as toxic by what its log-likelihood ratio exceeds this.
 WORD_FLOOR = 2.0
@@ -177,15 +177,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n if label else none), pa.array(none if label else n)], ["key", "toxic", "ordinary"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = TRAIN_ROWS) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = CALIBRATION_ROWS) -> Model | float:
     """The model of the labels given; the share of toxic ones if a class has no row.  labels holds only what may be learned."""
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg((F.max(label_column) > 0).cast("int").alias("label"))
     count = {r.label: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = count.get(1, 0) / max(1, sum(count.values()))
-    few = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    parted = known.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(16)))
+    few = lambda y: parted.where((F.col("part") < HELD_BACK) & (F.col("label") == y)).orderBy(F.xxhash64("id"), "id").limit(rows)
     drawn = F.broadcast(few(0).unionByName(few(1)))  # 2 * rows rows at most
-    sample = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(drawn, "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(16)))
-    counts = sample.where(F.col("part") >= HELD_BACK).select("text", "label").mapInArrow(_count, "key long, toxic long, ordinary long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
+    counts = texts.join(parted.where(F.col("part") >= HELD_BACK), "id").select("text", "label").mapInArrow(_count, "key long, toxic long, ordinary long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
     if not len(counts) or not counts.toxic.any() or not counts.ordinary.any():
         return share
     counts = counts.sort_values("key")
@@ -197,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
             x = held.value.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("label"), *[pa.array(x[:, k]) for k in range(3)]], ["label", "a", "b", "c"])
 
-    found = sample.where(F.col("part") < HELD_BACK).select("text", "label").mapInArrow(describe, "label int, a double, b double, c double").toPandas().sort_values(["label", "a", "b", "c"])
+    found = texts.join(drawn, "id").select("text", "label").mapInArrow(describe, "label int, a double, b double, c double").toPandas().sort_values(["label", "a", "b", "c"])
     held.unpersist()
     y = found.label.to_numpy(float)
     if not y.any() or y.all():

@@ -381,6 +381,19 @@ def test_prior_is_estimated():
     assert (s[:1000] >= 0.5).mean() > 0.95 and (s[1000:] < 0.5).mean() > 0.95
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    """Rows beyond the calibration's bound are in the n-gram counts."""
+    from pyspark.sql import functions as F
+
+    made = [(i, f"zq{i:04d}x".translate(str.maketrans("0123456789", "abcdefghij"))) for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in made], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, rows=20)
+    learned = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(16)) >= toxicity.HELD_BACK).collect()
+    codes, starts = toxicity.padded([r.text for r in learned])
+    assert len(learned) > 100 and (model.known.get(np.unique(toxicity.grams(codes, 0, int(starts[-1])))) != 0).mean() > 0.8
+
+
 def test_text_pieces_do_not_change_toxicity(monkeypatch):
     keys = np.unique(toxicity.grams(toxicity.padded([words(1, 500)])[0], 0, 2000))
     model = toxicity.Model(*toxicity.kneser_ney(keys, np.arange(len(keys)) % 7 + 0.0, np.arange(len(keys)) % 5 + 0.0), np.zeros(3), np.ones(3), np.zeros(4))
