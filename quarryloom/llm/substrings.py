@@ -13,14 +13,16 @@ is least (its anchor), so equal windows have equal anchors at equal places in th
      of cw, which sets common-prefix values in increasing order, and the walk stops at LENGTH.  Neighbours whose value was
      not set by then share LENGTH bytes; of each such class all windows but the earliest go.
 An anchor with more than HOT different segments (a passage in very many documents, each with other words around it)
-is dealt again by the content of each of its windows, united within the batch before, so no anchor, however hot,
-meets in one task.  Hashes are 64 bits of the anchor and 64 of the segment, which together tell segments apart.
+is dealt again by the content of each of its windows, united within the batch before.  Its bucket is read as a stream:
+whenever HELD_ROWS descriptions are held, equal segments are united and those of hot anchors are passed on, so memory
+is bounded however hot an anchor is; its descriptions (about fifty bytes each, one a batch for equal segments) do
+come to one task.  Segments of one anchor are told apart by a 64-bit hash; the bytes of united ones are not compared.
 
 Text is moved once, by document; the rest that is moved is about thirty bytes for each thirty of the text.
 
-Nulls: a null text is empty, a null id is smaller than any other.  Rows with the same id are the same document: their
-equal places do not precede one another, so identical rows have identical results; texts that differ under one id
-have their spans in common, cut at their ends.  An empty table gives no rows.  Other columns are ignored.
+Nulls: a null text is empty, a null id is smaller than any other.  A document is an id and a text: rows with both in
+common are one document and have identical results; of different texts under one id, or without one, the text with the
+smaller hash (xxhash64) is the earlier document.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +42,11 @@ LENGTH = 100
 GRAM = 32
 #: Different segments of one anchor that a block may hold.
 HOT = 4096
-#: Text whose segments are dealt to one bucket.
+#: Text whose segments are dealt to one bucket, and partitions of buckets at most (or spark.sql.shuffle.partitions, if more).
 BUCKET_BYTES = 16 << 20
+MOST_PARTS = 1 << 14
+#: Descriptions of a bucket that are held before equal ones are united.
+HELD_ROWS = 1 << 20
 #: Bytes of segments that one transform is made of.
 BLOCK = 1 << 18
 #: Descriptions that are held before they are packed.
@@ -82,15 +87,15 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def segments(raw: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def segments(raw: np.ndarray, piece: int = PIECE) -> Iterator[tuple[np.ndarray, ...]]:
     """For a document's bytes: anchor hash, segment hash, first window, windows after it, place of the anchor in the segment.
 
     Long documents are worked on in overlapping pieces, which may cut a segment in two; the parts are segments as well.
     """
     powers, inverse = _powers()
     windows = len(raw) - LENGTH + 1
-    for at in range(0, max(windows, 0), PIECE):
-        part = raw[at : min(len(raw), at + PIECE + LENGTH - 1)]
+    for at in range(0, max(windows, 0), piece):
+        part = raw[at : min(len(raw), at + piece + LENGTH - 1)]
         n = len(part)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[part] * powers[:n], dtype=np.uint64)))
         grams = _mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
@@ -105,8 +110,8 @@ def segments(raw: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         yield grams[anchor], whole, first + at, last - first, place
 
 
-_SHAPE = [("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("more", "u1"), ("place", "u1")]
-_SPAN = [("doc", "<i8"), ("start", "<u4"), ("end", "<u4")]
+_SHAPE = [("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("start", "<u4"), ("more", "u1"), ("place", "u1")]
+_SPAN = [("doc", "<i8"), ("mark", "<i8"), ("start", "<u4"), ("end", "<u4")]
 
 
 def _pack(shape, columns) -> bytes:
@@ -128,20 +133,20 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _describer(buckets: int):
+def _describer(buckets: int, most: int = HELD, piece: int = PIECE):
     """Batches of documents to packed descriptions by bucket (kind 0) and spans that repeat within the batch (kind 1)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, docs, sizes, held = [], [], [], 0
-            for doc, text in zip(batch.column("did"), batch.column("text"), strict=True):
+            for doc, mark, text in zip(batch.column("did"), batch.column("mark"), batch.column("text"), strict=True):
                 raw = np.frombuffer(_raw(text.as_py()), np.uint8)
-                for part in segments(raw):
+                for part in segments(raw, piece):
                     found.append(part)
-                    docs.append(doc.as_py())
+                    docs.append((doc.as_py(), mark.as_py()))
                     sizes.append(len(part[0]))
                     held += len(part[0])
-                if held > HELD:
+                if held > most:
                     yield united(found, docs, sizes)
                     found, docs, sizes, held = [], [], [], 0
             if found:
@@ -149,11 +154,11 @@ def _describer(buckets: int):
 
     def united(found, docs, sizes) -> pa.RecordBatch:
         anchor, whole, start, more, place = (np.concatenate([f[k] for f in found]) for k in range(5))
-        doc = np.repeat(np.array(docs, np.int64), sizes)
-        order = np.lexsort((start, doc, whole, anchor))
-        anchor, whole, doc, start, more, place = (x[order] for x in (anchor, whole, doc, start, more, place))
+        doc, mark = np.repeat(np.array(docs, np.int64).reshape(-1, 2), sizes, 0).T
+        order = np.lexsort((start, mark, doc, whole, anchor))
+        anchor, whole, doc, mark, start, more, place = (x[order] for x in (anchor, whole, doc, mark, start, more, place))
         new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])))
-        again = np.flatnonzero(_later(new, doc, start))
+        again = np.flatnonzero(_later(new, doc, mark, start))
         keep = np.flatnonzero(new)
         bucket = (anchor[keep] % _U(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
@@ -164,84 +169,109 @@ def _describer(buckets: int):
             i = keep[a:b]
             kinds.append(0)
             names.append(int(bucket[a]))
-            blobs.append(_pack(_SHAPE, (anchor[i], whole[i], doc[i], start[i], more[i], place[i])))
+            blobs.append(_pack(_SHAPE, (anchor[i], whole[i], doc[i], mark[i], start[i], more[i], place[i])))
         if len(again):
             kinds.append(1)
-            names.append(int(abs(docs[0]) % buckets))
-            blobs.append(_pack(_SPAN, (doc[again], start[again], start[again] + more[again] + LENGTH)))
+            names.append(int(docs[0][1] % buckets))
+            blobs.append(_pack(_SPAN, _merged(doc[again], mark[again], start[again], start[again] + more[again] + LENGTH)))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
     return describe
 
 
-def _later(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _later(new: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Of rows sorted by group and place: those that come after the group's first place, not at it."""
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    return (doc != doc[head]) | (start != start[head])
+    return (doc != doc[head]) | (mark != mark[head]) | (start != start[head])
 
 
-FOUND = "did long, start long, end long, anchor long, hot boolean, place int"
+def _merged(doc, mark, start, end) -> tuple[np.ndarray, ...]:
+    """Spans of documents, united where they overlap or touch."""
+    doc, mark, start, end = (np.asarray(x, np.int64) for x in (doc, mark, start, end))
+    if not len(doc):
+        return doc, mark, start, end
+    order = np.lexsort((start, mark, doc))
+    doc, mark, start, end = (x[order] for x in (doc, mark, start, end))
+    other = np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])))
+    base = (np.cumsum(other) - 1) << 40  # ends so far, by document
+    reach = np.maximum.accumulate(base + end)
+    new = np.concatenate(([True], base[1:] + start[1:] > reach[:-1]))
+    last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
+    return doc[new], mark[new], start[new], reach[last] - base[last]
 
 
-def _found(did, start, end, anchor=None, hot=None, place=None) -> pa.RecordBatch:
+FOUND = "did long, mark long, start long, end long, anchor long, hot boolean, place int"
+
+
+def _found(did, mark, start, end, anchor=None, hot=None, place=None) -> pa.RecordBatch:
     n = len(did)
     none = lambda t: pa.nulls(n, t)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.asarray(did, np.int64)),
-            pa.array(np.asarray(start, np.int64)),
-            pa.array(np.asarray(end, np.int64)),
+            *[pa.array(np.asarray(x, np.int64)) for x in (did, mark, start, end)],
             none(pa.int64()) if anchor is None else pa.array(np.asarray(anchor).astype(np.int64)),
             none(pa.bool_()) if hot is None else pa.array(hot),
             none(pa.int32()) if place is None else pa.array(np.asarray(place, np.int32)),
         ],
-        ["did", "start", "end", "anchor", "hot", "place"],
+        ["did", "mark", "start", "end", "anchor", "hot", "place"],
     )
 
 
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unite(batches: Iterator[pa.RecordBatch], most_kinds: int = HOT, held_rows: int = HELD_ROWS) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket.  Gives spans that go, and segments whose bytes are needed."""
-    held: list[bytes] = []
-    bucket = None
-
-    def done() -> Iterator[pa.RecordBatch]:
-        columns = [_unpack(_SHAPE, b) for b in held]
-        anchor = np.concatenate([c[0] for c in columns])
-        order = np.argsort(anchor)
-        anchor = anchor[order]
-        edge = anchor[1:] != anchor[:-1]
-        several = np.concatenate(([False], ~edge)) | np.concatenate((~edge, [False]))
-        order, anchor = order[several], anchor[several]
-        whole, doc, start, more, place = (np.concatenate([c[k] for c in columns])[order] for k in range(1, 6))
-        start, more = start.astype(np.int64), more.astype(np.int64)
-        order = np.lexsort((start, doc, whole, anchor))
-        anchor, whole, doc, start, more, place = (x[order] for x in (anchor, whole, doc, start, more, place))
+    held: list[list[np.ndarray]] = []
+    rows, most, bucket = 0, held_rows, None
+    hot = np.zeros(0, np.uint64)  # anchors of this bucket whose segments were passed on already
+
+    def settle(last: bool) -> Iterator[pa.RecordBatch]:
+        """Unites equal segments; what stays held are the first segments of anchors that are not hot."""
+        nonlocal held, rows, most, hot
+        anchor, whole, doc, mark, start, more, place = (np.concatenate([c[k] for c in held]) for k in range(7))
+        held, rows, most = [], 0, held_rows
+        if last:  # an anchor's only segment has no equal
+            order = np.argsort(anchor)
+            edge = anchor[order][1:] != anchor[order][:-1]
+            several = np.concatenate(([False], ~edge)) | np.concatenate((~edge, [False])) | np.isin(anchor[order], hot)
+            pick = order[several]
+            anchor, whole, doc, mark, start, more, place = (x[pick] for x in (anchor, whole, doc, mark, start, more, place))
         if not len(anchor):
             return
+        start, more = start.astype(np.int64), more.astype(np.int64)
+        order = np.lexsort((start, mark, doc, whole, anchor))
+        anchor, whole, doc, mark, start, more, place = (x[order] for x in (anchor, whole, doc, mark, start, more, place))
         fresh = np.concatenate(([True], anchor[1:] != anchor[:-1]))
         new = fresh | np.concatenate(([True], whole[1:] != whole[:-1]))
-        again = _later(new, doc, start)
-        yield _found(doc[again], start[again], start[again] + more[again] + LENGTH)
-        group = np.cumsum(fresh) - 1
-        kinds = np.bincount(group, new)[group]
-        need = new & (kinds > 1)
-        yield _found(doc[need], start[need], start[need] + more[need] + LENGTH, anchor[need], kinds[need] > HOT, place[need])
+        again = _later(new, doc, mark, start)
+        yield _found(*_merged(doc[again], mark[again], start[again], start[again] + more[again] + LENGTH))
+        kinds = np.bincount(np.cumsum(fresh) - 1, new)[np.cumsum(fresh) - 1]
+        warm = (kinds > most_kinds) | np.isin(anchor, hot)
+        need = new & (warm | (kinds > 1) if last else warm)
+        yield _found(doc[need], mark[need], start[need], start[need] + more[need] + LENGTH, anchor[need], warm[need], place[need])
+        if not last:
+            hot = np.union1d(hot, anchor[warm])
+            stay = new & ~warm
+            held = [[x[stay] for x in (anchor, whole, doc, mark, start, more, place)]]
+            rows = int(stay.sum())
+            most = max(held_rows, 2 * rows)
 
     for batch in batches:
         for name, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
             if kind == 1:
                 yield _found(*_unpack(_SPAN, blob.as_py()))
                 continue
-            if held and name != bucket:
-                yield from done()
-                held = []
-            bucket = name
-            held.append(blob.as_py())
+            if name != bucket:
+                if held:
+                    yield from settle(True)
+                held, rows, most, bucket, hot = [], 0, held_rows, name, np.zeros(0, np.uint64)
+            held.append(_unpack(_SHAPE, blob.as_py()))
+            rows += len(held[-1][0])
+            if rows >= most:
+                yield from settle(False)
     if held:
-        yield from done()
+        yield from settle(True)
 
 
-CUTS = "task long, did long, start long, end long, bytes binary"
+CUTS = "task long, did long, mark long, start long, end long, bytes binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,37 +281,37 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     for batch in batches:
         rows: list[tuple] = []
-        windows: dict[tuple[int, bytes], tuple[int, int]] = {}
+        again: list[tuple[int, int, int, int]] = []
+        windows: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         size = 0
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["task", "did", "start", "end", "bytes"])
+            rows.extend((key, d, m, j, j + LENGTH, window) for (key, window), (d, m, j) in windows.items())
+            if again:
+                rows.extend((None, *map(int, span), None) for span in zip(*_merged(*zip(*again, strict=True)), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((*[pa.int64()] * 5, pa.binary()))], ["task", "did", "mark", "start", "end", "bytes"])
 
-        for did, text, wanted in zip(batch.column("did"), batch.column("text"), batch.column("wanted"), strict=True):
-            did, raw = did.as_py(), _raw(text.as_py())
+        for did, mark, text, wanted in zip(batch.column("did").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), batch.column("wanted"), strict=True):
+            raw = _raw(text.as_py())
             for w in wanted.as_py():
                 start, end = w["start"], w["end"]
-                if end > len(raw):  # of another row with this id
-                    continue
                 if not w["hot"]:
-                    rows.append((w["anchor"], did, start, end, raw[start:end]))
+                    rows.append((w["anchor"], did, mark, start, end, raw[start:end]))
                     size += end - start
                     continue
                 for j in range(start, end - LENGTH + 1):
-                    window = raw[j : j + LENGTH]
+                    window, here = raw[j : j + LENGTH], (did, mark, j)
                     key = (signed(xxh64_intdigest(window, (w["anchor"] + w["place"] + start - j) & 0xFFFFFFFFFFFFFFFF)), window)
                     before = windows.get(key)
-                    if before is None or (did, j) < before:
-                        windows[key] = (did, j)
+                    if before is None or here < before:
+                        windows[key] = here
                         if before is not None:
-                            rows.append((None, *before, before[1] + LENGTH, None))
-                    elif (did, j) != before:
-                        rows.append((None, did, j, j + LENGTH, None))
-            if size > 2 << 20 or len(windows) > 20_000 or len(rows) > 50_000:
-                rows += [(key, d, j, j + LENGTH, window) for (key, window), (d, j) in windows.items()]
+                            again.append((*before, before[2] + LENGTH))
+                    elif here != before:
+                        again.append((*here, j + LENGTH))
+            if size > 2 << 20 or len(windows) > 20_000 or len(rows) + len(again) > 50_000:
                 yield made()
-                rows, windows, size = [], {}, 0
-        rows += [(key, d, j, j + LENGTH, window) for (key, window), (d, j) in windows.items()]
+                rows, again, windows, size = [], [], {}, 0
         yield made()
 
 
@@ -346,55 +376,54 @@ def repeats(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     return order[1:], kind[1:]  # the end stands first
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by task; whole tasks are put in one block up to about BLOCK bytes."""
-    block: list[tuple[int, int, bytes]] = []
-    group: list[tuple[int, int, bytes]] = []
+def _expand(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by task; whole tasks are put in one block up to about `most` bytes."""
+    block: list[tuple[int, int, int, bytes]] = []
+    group: list[tuple[int, int, int, bytes]] = []
     task, size = None, 0
 
     def done() -> pa.RecordBatch:
-        doc = np.array([b[0] for b in block], np.int64)
-        start = np.array([b[1] for b in block], np.int64)
-        lengths = np.array([len(b[2]) for b in block], np.int64)
+        doc, mark, start = (np.array([b[k] for b in block], np.int64) for k in range(3))
+        lengths = np.array([len(b[3]) for b in block], np.int64)
         heads = np.cumsum(lengths + 1) - lengths - 1
         text = np.zeros(int((lengths + 1).sum()), np.int16)  # 0 parts segments
         inside = np.ones(len(text), bool)
         inside[heads + lengths] = False
-        text[inside] = np.frombuffer(b"".join(b[2] for b in block), np.uint8).astype(np.int16) + 1
+        text[inside] = np.frombuffer(b"".join(b[3] for b in block), np.uint8).astype(np.int16) + 1
         order, kind = repeats(text)
         of = np.repeat(np.arange(len(block)), lengths + 1)
         offset = np.arange(len(text)) - heads[of]
         owned = offset <= lengths[of] - LENGTH
         mine = owned[order]
         order, kind = order[mine], kind[mine]
-        d, s = doc[of[order]], start[of[order]] + offset[order]
-        by = np.lexsort((s, d, kind))
-        order, kind, d, s = order[by], kind[by], d[by], s[by]
-        later = _later(np.concatenate(([True], kind[1:] != kind[:-1])), d, s)
+        d, m, s = doc[of[order]], mark[of[order]], start[of[order]] + offset[order]
+        by = np.lexsort((s, m, d, kind))
+        order, kind, d, m, s = order[by], kind[by], d[by], m[by], s[by]
+        later = _later(np.concatenate(([True], kind[1:] != kind[:-1])), d, m, s)
         gone = np.zeros(len(text), bool)
         gone[order[later]] = True
         edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
         a, b = edges[::2], edges[1::2]  # windows after another; a separator lies between segments
-        return spans(doc[of[a]], start[of[a]] + offset[a], start[of[a]] + offset[b - 1] + LENGTH)
+        return spans(doc[of[a]], mark[of[a]], start[of[a]] + offset[a], start[of[a]] + offset[b - 1] + LENGTH)
 
-    def spans(d, a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (d, a, b)], ["did", "start", "end"])
+    def spans(d, m, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(d, m, a, b)], ["did", "mark", "start", "end"])
 
-    passed: list[tuple[int, int, int]] = []
+    passed: list[tuple[int, int, int, int]] = []
     for batch in batches:
-        for name, did, start, end, raw in zip(*(batch.column(c).to_pylist() for c in ("task", "did", "start", "end", "bytes")), strict=True):
+        for name, did, mark, start, end, raw in zip(*(batch.column(c).to_pylist() for c in ("task", "did", "mark", "start", "end", "bytes")), strict=True):
             if raw is None:
-                passed.append((did, start, end))
+                passed.append((did, mark, start, end))
                 continue
             if name != task:
                 if len(group) > 1:  # a segment alone has no equal
                     block += group
-                    size += sum(len(g[2]) + 1 for g in group)
-                    if size >= BLOCK:
+                    size += sum(len(g[3]) + 1 for g in group)
+                    if size >= most:
                         yield done()
                         block, size = [], 0
                 task, group = name, []
-            group.append((did, start, raw))
+            group.append((did, mark, start, raw))
         if passed:
             yield spans(*zip(*passed, strict=True))
             passed = []
@@ -426,25 +455,26 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, block: int = BLOCK, held: int = HELD, held_rows: int = HELD_ROWS, piece: int = PIECE) -> DataFrame:
     """Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of byte spans, end exclusive)."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("did"), F.col(text_column).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("mark"), F.col(text_column).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(parts, -(-int(total) // bucket_bytes))
-    dealt = rows.mapInArrow(_describer(buckets), "bucket int, kind int, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    described = rows.mapInArrow(_describer(buckets, held, piece), "bucket int, kind int, blob binary")
+    dealt = described.repartition(min(buckets, max(parts, MOST_PARTS)), "bucket").sortWithinPartitions("bucket")
     where = fresh_dir(spark, "segments")
-    dealt.mapInArrow(_unite, FOUND).write.parquet(where)
+    dealt.mapInArrow(lambda batches: _unite(batches, hot, held_rows), FOUND).write.parquet(where)
     found = spark.read.schema(FOUND).parquet(where)
-    wanted = found.where("anchor is not null").groupBy("did").agg(F.collect_list(F.struct("start", "end", "anchor", "hot", "place")).alias("wanted"))
+    wanted = found.where("anchor is not null").groupBy("did", "mark").agg(F.collect_list(F.struct("start", "end", "anchor", "hot", "place")).alias("wanted"))
     # both joins read this one exchange
-    texts = rows.repartition(parts, "did")
-    fetched = texts.join(wanted.hint("shuffle_hash"), "did").mapInArrow(_fetch, CUTS)
-    tasks = fetched.repartition(parts, F.coalesce("task", F.xxhash64("did", "start"))).sortWithinPartitions("task", "did", "start")
-    gone = tasks.mapInArrow(_expand, "did long, start long, end long").unionByName(found.where("anchor is null").select("did", "start", "end"))
-    spans = gone.groupBy("did").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    kept = texts.join(spans.hint("shuffle_hash"), "did", "left").mapInArrow(_kept, "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    texts = rows.repartition(parts, "did", "mark")
+    fetched = texts.join(wanted.hint("shuffle_hash"), ["did", "mark"]).mapInArrow(_fetch, CUTS)
+    tasks = fetched.repartition(parts, F.coalesce("task", F.xxhash64("did", "mark", "start"))).sortWithinPartitions("task", "did", "mark", "start")
+    gone = tasks.mapInArrow(lambda batches: _expand(batches, block), "did long, mark long, start long, end long").unionByName(found.where("anchor is null").select("did", "mark", "start", "end"))
+    spans = gone.groupBy("did", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    kept = texts.join(spans.hint("shuffle_hash"), ["did", "mark"], "left").mapInArrow(_kept, "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
     return kept.withColumn("doc_id", F.when(F.col("did") != NULL_ID, F.col("did"))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
 
 

@@ -234,11 +234,9 @@ def repeating_rows():
 
 
 @pytest.mark.parametrize(("hot", "block", "piece"), [(4096, 1 << 20, 1 << 20), (3, 1 << 20, 1 << 20), (4096, 2000, 700)])
-def test_repeats(spark, monkeypatch, hot, block, piece):
-    monkeypatch.setattr(substrings, "HOT", hot)
-    monkeypatch.setattr(substrings, "BLOCK", block)
+def test_repeats(spark, hot, block, piece):
     rows = repeating_rows()
-    got = substrings.remove_repeats(corpus(spark, rows, clash=True)).drop("removed").collect()
+    got = substrings.remove_repeats(corpus(spark, rows, clash=True), hot=hot, block=block, piece=piece).drop("removed").collect()
     assert sorted(tuple(g) for g in got) == sorted(brute_repeats(rows))
 
 
@@ -249,6 +247,22 @@ def test_repeats_edges(spark):
     assert substrings.remove_repeats(corpus(spark, [])).count() == 0
 
 
+def test_different_texts_under_one_id_are_different_documents(spark):
+    a, b, c = words(1, 60), words(2, 60), words(3, 60)
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, words(4, 60)), (5, b), (7, b)]
+    got = sorted((str(g.doc_id), g.n_bytes, g.n_removed) for g in substrings.remove_repeats(corpus(spark, rows)).collect())
+    size = lambda t: len(t.encode())
+    assert got == sorted([("1", size(a), 0), ("5", size(a), size(a)), ("5", size(b), 0), ("5", size(b), 0), ("7", size(b), size(b)), ("None", size(c), 0), ("None", size(words(4, 60)), 0)])
+
+
+@pytest.mark.parametrize("held", [50, 7])
+def test_repeats_where_few_descriptions_are_held(spark, held):
+    """One passage in more documents than a bucket may hold."""
+    rows = repeating_rows() + [(100 + i, words(300 + i, 10) + words(11, 60) + words(400 + i, 10)) for i in range(60)]
+    got = substrings.remove_repeats(corpus(spark, rows), hot=5, held=40, held_rows=held).drop("removed").collect()
+    assert sorted(tuple(g) for g in got) == sorted(brute_repeats(rows))
+
+
 def test_interval_expansion_classes():
     r = np.random.default_rng(0)
     text = np.concatenate([r.integers(1, 4, 500), [0], r.integers(1, 3, 300), [0]]).astype(np.int16)
