@@ -1,20 +1,25 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are range-partitioned and sorted by id, and each range is written to files that roll once their compressed
-size passes ROLL_BYTES (a record is never cut).  Headers are made anew from the row: record ids are name-based UUIDs
-of the payload digest and id, block and payload digests are SHA-1 in base32, and the date is a parameter, so a rerun
-gives the same bytes.  Of records with equal payloads of at least `least_bytes` bytes the one with the smallest id is
-a response; the others are revisits that name it.
+Records are put in ranges of (id, payload digest), each range is sorted and written to files that roll once their
+compressed size passes ROLL_BYTES (a record is never cut).  Ranges are cut at byte-weighted quantiles of a sample that
+the rows' hashes choose, and their number depends on the bytes alone, so neither the session nor the cluster has a say:
+a rerun gives the same files under the same names.  Headers are made anew from the row: record ids are name-based UUIDs
+of the payload digest and id, block and payload digests are SHA-1 in base32, and the date is a parameter.  Of records
+with equal payloads of at least `least_bytes` bytes the one with the smallest id is a response; the others are revisits
+that name it.
 
 Commit: every attempt of a task writes to names of its own under _temporary, and returns a manifest row for each
-file.  Spark keeps the rows of the one attempt that succeeded in a manifest; files of that manifest are then moved to
-their final names (a move that was done before is skipped, so a lost executor's moves can be run again), and last the
-manifest is renamed to _manifest, whose presence makes the archive readable.  Readers open what the manifest lists.
+file.  Spark keeps the rows of the one attempt that succeeded in a pending manifest; files of that manifest are then
+moved to their final names, and last the manifest is renamed to _manifest, whose presence makes the archive readable.
+A move whose source is gone was done before (a lost executor's moves run again); a file at the final name while the
+source is still there is what a run left that never committed, and is replaced.  An archive that is committed is not
+written again.  Readers open what the manifest lists, and check each file's digest against it.
 
-Executors write through Arrow's file systems, by the URI of the shared folder (local, HDFS or object store).
+Executors write and read through Arrow's file systems, by the URI of the shared folder (local, HDFS or object store).
 
-Nulls: a null payload is empty, a null url too; a record with a null id is a response.  Identical rows: the first is the response, the others revisit the same id.  An empty table gives an
-archive without files, and reading it gives no rows.  Other columns are ignored.
+Nulls: a null payload is empty, a null url too; a record with a null id is a response.  Identical rows: the first is the
+response, the others revisit the same id.  An empty table gives an archive without files, and reading it gives no
+rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryloom.llm.common import fresh_dir
+from quarryloom.llm.common import cut, fresh_dir
 
 ROLL_BYTES = 16 << 20
 LEAST_BYTES = 0
@@ -38,8 +44,13 @@ DATE = "2020-01-01T00:00:00Z"
 LEVEL = 6
 #: Bytes that the reader inflates at once.
 CHUNK = 1 << 14
-#: Bytes of payload that a range is meant to hold.
+#: Bytes of payload that a range is meant to hold; ranges are no fewer and no more than these (at 100 TB they hold 6 GB each).
 RANGE_BYTES = 128 << 20
+LEAST_RANGES, MOST_RANGES = 12, 16384
+#: Rows of the sample for each range, about.
+SAMPLED = 64
+#: Parts of a payload's rows where digests are joined, so that one payload's rows do not meet in one task.
+SALTS = 16
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, names that are URLs
 
 MANIFEST = "temporary string, final string, records long, bytes long, sha256 string, first_id long, last_id long"
@@ -87,50 +98,44 @@ def _writer(root: str, roll_bytes: int):
         from pyarrow import fs
         from pyspark import TaskContext
 
-        task = TaskContext.get()
         files, base = fs.FileSystem.from_uri(root)
-        attempt, part = f"{base}/_temporary/{task.taskAttemptId()}-{uuid.uuid4().hex}", task.partitionId()
+        attempt = f"{base}/_temporary/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
         done: list[tuple] = []
-        sink = None
+        part, nth, sink = None, 0, None
         ids: tuple[int | None, int | None] = (None, None)
         size = count = 0
         digest = hashlib.sha256()
-        current: int | None = None
-        marks: dict[str, int] = {}  # of the current id: payloads that a response with a smaller id, or a row before, has
-        own: set[str] = set()  # of the current id: payloads that it is the response of
+        current: tuple = ()
+        rep: int | None = None  # the response that the current id and payload have, by their mark
 
         def close() -> None:
-            nonlocal sink, size, count, digest, ids
+            nonlocal sink, size, count, digest, ids, nth
             if sink is not None:
                 sink.close()
-                name = f"part-{part:05d}-{len(done):05d}.warc.gz"
-                done.append((f"{attempt}/{name}", f"{base}/{name}", count, size, digest.hexdigest(), *ids))
+                name = f"part-{part:05d}-{nth:05d}.warc.gz"
+                done.append((f"{attempt}/{name}", name, count, size, digest.hexdigest(), *ids))
+                nth += 1
             sink, size, count, digest, ids = None, 0, 0, hashlib.sha256(), (None, None)
 
         for batch in batches:
-            for ident, url, payload, mark, rep in zip(*(batch.column(c) for c in ("id", "url", "payload", "digest", "rep")), strict=True):
-                ident = ident.as_py()
-                if ident != current:
-                    current, marks, own = ident, {}, set()
-                if mark.as_py() is not None:
-                    if rep.as_py() == ident:
-                        own.add(mark.as_py())
-                    else:
-                        marks[mark.as_py()] = rep.as_py()
+            for at, ident, url, payload, key, mark in zip(*(batch.column(c) for c in ("range", "id", "url", "payload", "digest", "rep")), strict=True):
+                at, ident, key, mark = at.as_py(), ident.as_py(), key.as_py(), mark.as_py()
+                if (ident, key) != current:
+                    current, rep = (ident, key), None
+                if mark is not None:
+                    rep, own = mark, mark == ident
                     continue
-                data = (payload.as_py() or "").encode("utf-8", "surrogatepass")
-                refers = None
-                if marks or own:
-                    key = hashlib.sha1(data).hexdigest()
-                    refers = marks.get(key)
-                    if key in own:  # of identical rows the first is the response
-                        own.discard(key)
-                        marks[key] = ident
-                made = record(ident, url.as_py(), data, refers)
+                if at != part:
+                    close()
+                    part, nth = at, 0
+                refers = rep
+                if rep is not None and own:  # of identical rows the first is the response
+                    refers, own = None, False
+                made = record(ident, url.as_py(), (payload.as_py() or "").encode("utf-8", "surrogatepass"), refers)
                 if sink is None:
                     if not done:
                         files.create_dir(attempt, recursive=True)
-                    sink = files.open_output_stream(f"{attempt}/part-{part:05d}-{len(done):05d}.warc.gz", compression=None)
+                    sink = files.open_output_stream(f"{attempt}/part-{part:05d}-{nth:05d}.warc.gz", compression=None)
                 sink.write(made)
                 digest.update(made)
                 size, count = size + len(made), count + 1
@@ -147,38 +152,78 @@ def _mover(root: str):
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        files, _ = fs.FileSystem.from_uri(root)
+        files, base = fs.FileSystem.from_uri(root)
+        there = lambda path: files.get_file_info(path).type != fs.FileType.NotFound
         for batch in batches:
-            for a, b in zip(batch.column("temporary").to_pylist(), batch.column("final").to_pylist(), strict=True):
-                if files.get_file_info(b).type == fs.FileType.NotFound:
+            for a, name in zip(batch.column("temporary").to_pylist(), batch.column("final").to_pylist(), strict=True):
+                b = f"{base}/{name}"
+                if there(a):
+                    if there(b):
+                        files.delete_file(b)
                     files.move(a, b)
+                elif not there(b):
+                    raise FileNotFoundError(a)
             yield batch.select(["final"])
 
     return move
 
 
+def _splitters(keys: DataFrame, ranges: int) -> list[tuple[int, str]]:
+    """Byte-weighted quantiles of rows that their own hashes choose: the same whatever the session or the partitions."""
+    total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    if not rows or ranges < 2:
+        return []
+    chance = F.col("size") * F.lit(ranges * SAMPLED / total)
+    u = F.pmod(F.xxhash64("id", "digest", F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = sorted({(-(1 << 63) if r.id is None else r.id, r.digest) for r in keys.where(u < chance).select("id", "digest").collect()})
+    return sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
+
+
+def _range(splitters: list[tuple[int, str]]) -> F.Column:
+    """How many splitters lie at or below the row's (id, digest): a search over blocks of splitters, then in the block."""
+    if not splitters:
+        return F.lit(0)
+    step = max(1, int(len(splitters) ** 0.5))
+    blocks = [[{"i": i, "d": d} for i, d in splitters[k : k + step]] for k in range(0, len(splitters), step)]
+    nested = F.from_json(F.lit(json.dumps(blocks)), "array<array<struct<i:long,d:string>>>")
+    here = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("i"), F.col("digest").alias("d"))
+    upto = lambda points: F.size(F.filter(points, lambda p: p <= here))
+    block = upto(F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<struct<i:long,d:string>>"))
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * F.lit(step) + upto(F.element_at(nested, F.greatest(block, F.lit(1)))))
+
+
+def _hadoop(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_archive(df: DataFrame, root: str, *, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least_bytes: int = LEAST_BYTES, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> str:
-    """Write the archive to the folder `root` (a URI) and commit it; returns root."""
+    """Write the archive to the folder `root` (a URI) and commit it; returns root.  A root that holds an archive is refused."""
     spark = df.sparkSession
+    path, system = _hadoop(spark, root)
+    if system.exists(path(f"{root}/_manifest")):
+        raise FileExistsError(f"{root} holds an archive")
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(url_column).alias("url"), F.col(payload_column).alias("payload"))
     text = F.coalesce("payload", F.lit(""))
-    # the digest alone is grouped and joined; payloads move once, to their range
-    # digests alone are grouped and joined; payloads move once, to their range, where the marks of their ids precede them
+    # digests alone are sampled, grouped and joined; payloads move once, to their range, where the mark of their id and digest precedes them
     keyed = rows.withColumn("digest", F.sha1(text.cast("binary")))
-    reps = keyed.where(F.octet_length(text) >= least_bytes).groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "rep")
-    marks = keyed.where(F.col("id").isNotNull()).select("id", "digest").join(reps, "digest").select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "rep").distinct()
-    total = rows.agg(F.sum(F.octet_length(text) + 400)).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-int(total) // range_bytes))
-    both = rows.select("id", "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("rep")).unionByName(marks)
-    placed = both.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_last(), "url", "payload")
-    placed.mapInArrow(_writer(root, roll_bytes), MANIFEST).write.mode("overwrite").json(f"{root}/_manifest_pending")
-    pending = spark.read.schema(MANIFEST).json(f"{root}/_manifest_pending")
-    pending.mapInArrow(_mover(root), "final string").write.mode("overwrite").format("noop").save()
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    keys = cut(keyed.select("id", "digest", (F.octet_length(text) + 400).cast("long").alias("size")))
+    reps = keys.where(F.col("size") >= least_bytes + 400).groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1 AND rep IS NOT NULL")
+    salted = reps.select("digest", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    marks = keys.where("id IS NOT NULL").select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["digest", "salt"]).select("id", "digest", "rep").distinct()
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-int(total) // range_bytes)))
+    splitters = _splitters(keys, ranges)
+    none = lambda t: F.lit(None).cast(t)
+    both = keyed.select("id", "url", "payload", "digest", none("long").alias("rep")).unionByName(marks.select("id", none("string").alias("url"), none("string").alias("payload"), "digest", "rep"))
+    ranged = both.withColumn("range", _range(splitters).cast("int"))
+    placed = ranged.repartitionById(len(splitters) + 1, "range").sortWithinPartitions("range", F.col("id").asc_nulls_first(), "digest", F.col("rep").asc_nulls_last(), "url")
+    pending = f"{root}/_pending-{uuid.uuid4().hex}"
+    placed.mapInArrow(_writer(root, roll_bytes), MANIFEST).write.json(pending)
+    spark.read.schema(MANIFEST).json(pending).mapInArrow(_mover(root), "final string").write.mode("overwrite").format("noop").save()
+    if system.exists(path(f"{root}/_manifest")) or not system.rename(path(pending), path(f"{root}/_manifest")):
+        raise FileExistsError(f"{root} was committed by another run")
     system.delete(path(f"{root}/_temporary"), True)
-    system.rename(path(f"{root}/_manifest_pending"), path(f"{root}/_manifest"))
     return root
 
 
@@ -208,34 +253,38 @@ def parse(data: bytes) -> Iterator[tuple]:
         yield number("X-Row-Id"), fields["WARC-Target-URI"], fields["WARC-Type"], number("X-Payload-Length"), digest, number("X-Refers-To-Row"), payload
 
 
-def _reader(with_payload: bool):
+def _reader(root: str, with_payload: bool):
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
     names = [c.split()[0] for c in RECORDS.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
         for batch in batches:
-            for content in batch.column("content"):
+            for name, sha in zip(batch.column("final").to_pylist(), batch.column("sha256").to_pylist(), strict=True):
+                with files.open_input_stream(f"{base}/{name}", compression=None) as source:
+                    content = source.read()
+                if hashlib.sha256(content).hexdigest() != sha:
+                    raise ValueError(f"{name} is not the file of the manifest")
                 rows: list[tuple] = []
                 held = 0
-                for row in parse(content.as_py()):
+                for row in parse(content):
                     rows.append(row if with_payload else (*row[:-1], None))
                     held += 200 + (row[3] if with_payload else 0)
                     if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+                        yield made(rows)
                         rows, held = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+                yield made(rows)
 
     return read
 
 
 def read_archive(spark: SparkSession, root: str, *, with_payload: bool = True) -> DataFrame:
-    """The records of a committed archive."""
-    listed = spark.read.schema(MANIFEST).json(f"{root}/_manifest")
-    if not listed.take(1):
-        return spark.createDataFrame([], RECORDS)
-    # only files of the manifest were ever moved here
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(root)
-    return files.select("content").mapInArrow(_reader(with_payload), RECORDS)
+    """The records of a committed archive: of the files, about ROLL_BYTES each, that its manifest lists."""
+    listed = spark.read.schema(MANIFEST).json(f"{root}/_manifest").select("final", "sha256")
+    return listed.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(_reader(root, with_payload), RECORDS)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:

@@ -113,13 +113,61 @@ def test_warc_round_trip(spark):
     assert by == sorted([(False, 3, "revisit", 1, 2), (False, 1, "response", 0, 2), (False, 1, "revisit", 1, 2), (False, 1, "response", 0, 2), (False, 2, "response", 0, 0), (False, 5, "revisit", 2, 0), (True, 0, "response", 0, 2), (False, 7, "response", 0, len(words(9, 9000)))])
     assert all(g.payload_digest == warc.base32_sha1(bytes(g.payload)) for g in got if g.payload is not None)
     again = warc.write_archive(df, fresh_dir(spark, "w"), roll_bytes=2000)
-    sums = lambda r: sorted(x.sha256 for x in spark.read.schema(warc.MANIFEST).json(f"{r}/_manifest").collect())
-    assert sums(root) == sums(again) and len(sums(root)) > 1
+    assert manifest(spark, root) == manifest(spark, again) and len(manifest(spark, root)) > 1
     import glob
     from urllib.parse import urlparse
 
     path = urlparse(root).path
-    assert not glob.glob(f"{path}/_temporary*") and len(glob.glob(f"{path}/part-*")) == len(sums(root))
+    assert not glob.glob(f"{path}/_temporary*") and len(glob.glob(f"{path}/part-*")) == len(manifest(spark, root))
+
+
+def manifest(spark, root):
+    return sorted((r.final, r.records, r.bytes, r.sha256, r.first_id, r.last_id) for r in spark.read.schema(warc.MANIFEST).json(f"{root}/_manifest").collect())
+
+
+def test_warc_is_the_same_however_it_is_partitioned(spark):
+    """Twenty thousand rows, a third of them one payload, some without an id."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 50 != 7, F.col("id")).alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") % 9000).cast("string"))).alias("html"), F.lit("x").alias("range"), F.lit(1).alias("digest"))
+    roots = [warc.write_archive(d, fresh_dir(spark, "w"), roll_bytes=100_000) for d in (df, df.repartition(7), df.orderBy(F.rand(5)))]
+    assert manifest(spark, roots[0]) == manifest(spark, roots[1]) == manifest(spark, roots[2])
+    got = warc.read_archive(spark, roots[0])
+    assert got.count() == 20_000 and got.where("record_type = 'response' and id is not null").select("payload_digest").distinct().count() == got.where("record_type = 'response' and id is not null").count()
+    sizes = [m[1] for m in manifest(spark, roots[0])]
+    assert max(sizes) < 6000 and len({m[0].split("-")[1] for m in manifest(spark, roots[0])}) >= warc.LEAST_RANGES - 1
+
+
+def test_warc_commit(spark, monkeypatch):
+    """A root that holds an archive is refused; a retry after a death before the last rename gives the retry's records only."""
+    from pyspark.sql import functions as F
+
+    frame = lambda n, text: spark.range(n).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit(text), "id").alias("html"))
+    root = warc.write_archive(frame(100, "a"), fresh_dir(spark, "w"))
+    with pytest.raises(FileExistsError):
+        warc.write_archive(frame(20, "b"), root)
+    assert warc.read_archive(spark, root).count() == 100
+    dead = fresh_dir(spark, "w")
+    real = warc._hadoop
+
+    class Dying:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            if name == "rename":
+                raise OSError("died")
+            return getattr(self.system, name)
+
+    monkeypatch.setattr(warc, "_hadoop", lambda s, r: (real(s, r)[0], Dying(real(s, r)[1])))
+    with pytest.raises(OSError):
+        warc.write_archive(frame(100, "a"), dead)
+    monkeypatch.setattr(warc, "_hadoop", real)
+    warc.write_archive(frame(20, "b"), dead)
+    got = warc.read_archive(spark, dead).collect()
+    assert sorted(bytes(g.payload).decode() for g in got) == sorted(f"b{k}" for k in range(20))
+    again = warc.write_archive(frame(20, "b"), fresh_dir(spark, "w"))
+    assert manifest(spark, again) == manifest(spark, dead)
 
 
 def test_warc_least_size_and_nothing(spark):
