@@ -434,15 +434,36 @@ def test_quality_filter_keeps_rows_as_they_are(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == good
 
 
-def test_prior_is_estimated():
+def test_prior_is_estimated(spark):
     r = np.random.default_rng(0)
-    p, u = r.normal(2, 1, (4000, 3)), np.concatenate([r.normal(2, 1, (2800, 3)), r.normal(-2, 1, (1200, 3))])
-    model = quality.fit(p, u)
-    assert abs(model.prior - 0.7) < 0.08
-    s = model.score(np.concatenate([r.normal(2, 1, (1000, 3)), r.normal(-2, 1, (1000, 3))]))
+    n = quality.MEASURES
+    p, u = r.normal(1, 1, (2000, n)), np.concatenate([r.normal(1, 1, (2800, n)), r.normal(-1, 1, (1200, n))])
+    rows = [(x.tolist(), True) for x in p] + [(x.tolist(), False) for x in u]
+    model = quality.fit(spark.createDataFrame(rows, "x array<float>, positive boolean").repartition(5))
+    assert abs(model.prior - (2000 + 2800) / 6000) < 0.08  # the positives are rows as well
+    s = model.score(np.concatenate([r.normal(1, 1, (1000, n)), r.normal(-1, 1, (1000, n))]))
     assert (s[:1000] >= 0.5).mean() > 0.95 and (s[1000:] < 0.5).mean() > 0.95
 
 
+def test_counts_do_not_depend_on_pieces():
+    for text in (words(3, 4000), "a\nb\n" * 500, "x" * 5000, words(4, 300) + "\n\n" + words(4, 300) + "!", "", None, "é " * 900):
+        for piece in (1, 7, 64, 1000):
+            assert (quality.counts(text, piece) == quality.counts(text)).all()
+
+
+def test_risk_is_the_minimum_over_all_rows(spark):
+    """The gradient of the risk, computed plainly over every row, vanishes at the weights."""
+    r = np.random.default_rng(1)
+    n = quality.MEASURES
+    y = r.random(3000) < 0.3
+    x = r.normal(0, 1, (3000, n)) + y[:, None] * 0.15
+    model = quality.fit(spark.createDataFrame([(a.tolist(), bool(b)) for a, b in zip(x, y, strict=True)], "x array<float>, positive boolean"))
+    d = np.concatenate((np.ones((3000, 1)), np.clip((x.astype(np.float32) - model.mean) / model.scale, -8, 8)), 1)
+    s = 1 / (1 + np.exp(-d @ model.weights))
+    gradient = (s @ d) / 3000 - model.prior * d[y].mean(0) + quality.RIDGE * np.concatenate(([0.0], model.weights[1:]))
+    assert np.abs(gradient).max() < 1e-3
+
+
 def test_toxicity_counts_all_labelled_rows(spark):
     """Rows beyond the calibration's bound are in the n-gram counts."""
     from pyspark.sql import functions as F
