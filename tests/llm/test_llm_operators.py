@@ -464,6 +464,38 @@ def test_risk_is_the_minimum_over_all_rows(spark):
     assert np.abs(gradient).max() < 1e-3
 
 
+def test_kneser_ney_against_its_definition():
+    """Ratios of all n-grams of two small corpora, by the recursion written out over sets and counters."""
+    from collections import Counter
+
+    d, order = toxicity.DISCOUNT, toxicity.ORDER
+    corpora = [[bytes(toxicity.padded([t])[0]) for t in texts] for texts in (["you bad bad cat", "bad hat", "abba"], ["a good cat sat", "the hat sat on a mat", "abacus"])]
+    count = [Counter(raw[i - order + 1 : i + 1] for raw in texts for i in range(order - 1, len(raw))) for texts in corpora]
+    distinct = {order: set(count[0]) | set(count[1])}
+    for n in range(order - 1, 0, -1):
+        distinct[n] = {g[1:] for g in distinct[n + 1]}
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        before = lambda x: len({y for y in distinct[len(g) + 1] if y[1:] == x})
+        same = [x for x in distinct[len(g)] if x[:-1] == g[:-1]]
+        total = sum(map(before, same))
+        return (before(g) - d) / total + d * len(same) / total * shared(g[1:])
+
+    def own(c, g):
+        same = [x for x in c if x[:-1] == g[:-1]]
+        total = sum(c[x] for x in same)
+        return (max(c[g] - d, 0) / total if total else 0) + (d * len(same) / total if total else 1) * shared(g[1:])
+
+    keys = np.array(sorted(int.from_bytes(g, "big") for g in distinct[order]), np.uint64)
+    grams = [int(k).to_bytes(order, "big") for k in keys]
+    known, _ = toxicity.kneser_ney(keys, *[np.array([c[g] for g in grams], float) for c in count])
+    want = [np.log(own(count[0], g)) - np.log(own(count[1], g)) for g in grams]
+    assert np.allclose(known.get(keys), want, atol=1e-5)
+    assert abs(sum(shared(bytes([b])) for b in {g[0] for g in distinct[1]}) + d * len(distinct[1]) / len(distinct[2]) * (256 - len(distinct[1])) / 256 - 1) < 1e-9
+
+
 def test_toxicity_counts_all_labelled_rows(spark):
     """Rows beyond the calibration's bound are in the n-gram counts."""
     from pyspark.sql import functions as F
