@@ -4,9 +4,10 @@ Words are runs of lower-cased ASCII letters, digits and non-ASCII characters.  A
 WINDOW consecutive words (all its words if it has fewer).  Each text is normalised once, to its words between single
 spaces, and read once by the automaton; offsets of hits are mapped back to the text as it came.
 
-The automaton holds the distinct windows of the benchmark, which is a test set and small; its size is checked, and a
-benchmark above BLOCK_BYTES of windows is cut into blocks, with one automaton and one scan for each, whose hits are
-united by document.  So what an executor holds is bounded whatever the benchmark's size.
+The automaton holds the distinct windows of the benchmark, about forty times their bytes, once in each worker process.
+A benchmark above BLOCK_BYTES of windows is cut into blocks by the windows' hashes; blocks pass through the driver one
+at a time, each with an automaton and a scan of its own over documents that were given row numbers and written once, and
+their hits are united by row.  So what driver and executors hold is bounded whatever the benchmark's size.
 
 Nulls: a null text, of a document or an item, has no words; a null item id is not reported.  Rows of a repeated item
 id are united.  Repeated documents are reported once for each row.  Empty tables give no hits or no rows.
@@ -15,6 +16,7 @@ Other columns are ignored by `find_contamination` and kept by `drop_contaminated
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryloom.llm.common import cut, fresh_dir
 from quarryloom.sources.tables import spread
 
 WINDOW = 10
-#: Windows in one automaton, as bytes of their normalised text.
-BLOCK_BYTES = 64 << 20
+#: Windows in one automaton, as bytes of their normalised text, with items' names counted as ITEM_BYTES each.
+BLOCK_BYTES = 2 << 20
+ITEM_BYTES = 16
 
 #: Bytes that belong to words stay, A-Z become a-z, all others become spaces.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) else 32 for b in range(256))
@@ -89,14 +93,23 @@ def scan_text(automaton, text: str | None) -> tuple[int, list[tuple[int, int]],
     return len(words), ranges, spans, sorted({x for _, (_, items) in found for x in items})
 
 
+_BUILT: dict[str, object] = {}
+
+
+def _built(name: str, patterns):
+    """The automaton of a broadcast block: built once in each worker process, which keeps the last one."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = _automaton(patterns.value)
+    return _BUILT[name]
+
+
 def _scanner(patterns):
-    """patterns: a broadcast block of windows; the automaton is built once in each task."""
+    name = uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = None
         for batch in batches:
-            if automaton is None:
-                automaton = _automaton(patterns.value)
+            automaton = _built(name, patterns)
             rows, ids = batch.column("row"), batch.column("doc_id")
             found = [scan_text(automaton, t.as_py()) for t in batch.column("text")]
             pairs = lambda k, a, b: pa.array([[{a: x, b: y} for x, y in f[k]] for f in found], pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())])))
@@ -114,49 +127,62 @@ def _windows_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], ["window", "item"])
 
 
-def _blocks(benchmark: DataFrame, item_column: str, item_text: str, block_bytes: int) -> list[list[tuple[bytes, list[str]]]]:
-    """The distinct windows with their items, cut into blocks of bounded size."""
+def _blocks(benchmark: DataFrame, item_column: str, item_text: str, block_bytes: int) -> tuple[int, Iterator]:
+    """How many blocks the distinct windows and their items are cut into, and the blocks, each broadcast when it is asked for."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("text"))
-    listed = items.mapInArrow(_windows_of_items, "window string, item string").groupBy("window").agg(F.collect_set("item").alias("items"))
-    blocks: list[list[tuple[bytes, list[str]]]] = [[]]
-    held = 0
-    for r in listed.toLocalIterator(prefetchPartitions=True):
-        if held > block_bytes:
-            blocks, held = [*blocks, []], 0
-        blocks[-1].append((r["window"].encode("latin-1"), sorted(r["items"])))
-        held += len(r["window"]) + 16
-    return blocks
+    listed = cut(items.mapInArrow(_windows_of_items, "window string, item string").groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    size = listed.agg(F.sum(F.octet_length("window") + (F.size("items") + 1) * ITEM_BYTES)).first()[0] or 0
+    n = max(1, -(-int(size) // block_bytes))
+
+    def made() -> Iterator:
+        for k in range(n):
+            block = listed.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k)
+            yield spark.sparkContext.broadcast([(r["window"].encode("latin-1"), r["items"]) for r in block.toLocalIterator()])
+
+    return n, made()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows, as they are, in whose texts no window of the benchmark occurs."""
 
     def sieve(patterns):
+        name = uuid.uuid4().hex
+
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = None
             for batch in batches:
-                if automaton is None:
-                    automaton = _automaton(patterns.value)
+                automaton = _built(name, patterns)
                 yield batch.filter(pa.array([not scan_text(automaton, t.as_py())[1] for t in batch.column(text_column)], pa.bool_()))
 
         return keep
 
-    for block in _blocks(benchmark, item_column, item_text, block_bytes):
-        docs = docs.mapInArrow(sieve(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    n, blocks = _blocks(benchmark, item_column, item_text, block_bytes)
+    for patterns in blocks:
+        docs = docs.mapInArrow(sieve(patterns), docs.schema)
+        if n > 1:  # one automaton at a time
+            where = fresh_dir(docs.sparkSession, "sieved")
+            docs.write.parquet(where)
+            docs = docs.sparkSession.read.schema(docs.schema).parquet(where)
+            patterns.unpersist()
     return docs
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns: doc_id, n_words, hits (inclusive ranges of words), spans (code points of the text), items (sorted ids)."""
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_column, item_text, block_bytes)
-    rows = docs.select(F.lit(0).cast("long").alias("row") if len(blocks) == 1 else F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    scans = [rows.mapInArrow(_scanner(spark.sparkContext.broadcast(b)), SCHEMA) for b in blocks]
-    if len(scans) == 1:
-        return scans[0].drop("row")
-    every = scans[0]
-    for s in scans[1:]:
-        every = every.unionByName(s)
+    n, blocks = _blocks(benchmark, item_column, item_text, block_bytes)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    if n == 1:
+        return rows.withColumn("row", F.lit(0).cast("long")).mapInArrow(_scanner(next(blocks)), SCHEMA).drop("row")
+    where, hits = fresh_dir(spark, "numbered"), fresh_dir(spark, "hits")
+    rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(where)
+    numbered = spark.read.parquet(where)
+    for k, patterns in enumerate(blocks):
+        found = numbered.mapInArrow(_scanner(patterns), SCHEMA)
+        # every row is in the first block's result, in the others only rows with a hit
+        (found if k == 0 else found.where(F.size("hits") > 0)).write.mode("append").parquet(hits)
+        patterns.unpersist()
+    every = spark.read.schema(SCHEMA).parquet(hits)
     united = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "spans", "items")])
     joined = lambda c, a, b, gap: F.aggregate(
         F.sort_array(c),
