@@ -3,17 +3,25 @@
 Only built-in functions are used.  A pattern's matches come from regexp_extract_all, and their places (in code points)
 from the lengths of what split leaves between them, added up in blocks.
 
-Battery.  A token is a run of base-64 characters of at least SHORTEST, with a digit and a letter in it.  Its encoding is inferred (hex,
-base 32, base 36, base 62, base 64) and its characters become numbers below the alphabet's size.  Three statistics are
-standardised under uniform, independent characters:
-  chi-squared    concentration on few characters, with the multinomial's exact mean and variance (one-sided);
-  runs           of numbers in the upper or lower half of the alphabet (two-sided);
-  correlation    of neighbours, lag one (two-sided).
-Their least p-value, times three, is the token's.  Ordinary identifiers are rejected as not random; tokens that are not
-rejected are reported.  Rejection is by Benjamini and Hochberg's rule in each stratum of length, over the tokens of all
-documents: the rule's threshold comes from counts of p-values in fine bins, so the driver sees one row a stratum and
-no task sees more than the bins.  Of the tokens dismissed as ordinary, a share of FALSE_RATE at most is
-expected to be random.
+Battery.  What is tested: the values of assignments, access and hex matches, and every run of base-64 characters in
+what assignments leave of the text, each of at least SHORTEST characters with a digit and a letter among them.  The
+encoding is inferred (hex, base 32, base 36, base 62, base 64: the smallest alphabet that holds the token) and the
+characters become numbers below the alphabet's size k.  Under independent, uniform characters:
+  chi-squared    the number of equal pairs; upper tail of the gamma law with its exact mean, variance and skewness;
+  runs           neighbours in different halves of the alphabet, which is binomial with one half; two-sided;
+  correlation    sum of cosines of neighbours' differences on a circle of k, which are independent and uniform; two-sided.
+The tails of the last two are normal with the exact fourth cumulant's correction.  The first two are counts: their
+p-values are made continuous by a number from the token's own hash, so they are uniform to within sampling error from
+20 characters on.  The least of the three, as of three independent ones, is the token's p-value.
+
+False discoveries.  A token is reported as random if its p-value is over a threshold of its stratum of length.  Random
+tokens have uniform p-values, ordinary ones small ones: from the count of p-values over LEVEL the number of random tokens is
+estimated (with its standard error added, as a missed secret is worse than a false alarm), and so is, for each threshold,
+the share of reported tokens that are not random.  The lowest threshold is
+taken at which, as at all higher ones, that share is at most FALSE_RATE.  It comes from counts of p-values in fine
+bins, so the driver sees one row a stratum and no task sees more than the bins.
+
+Base spans stay whatever their verdict; tokens outside them that are reported are added as spans of the kind `random`.
 
 Nulls: a null text scans as an empty one.  Repeated documents are scanned each and their tokens count each.  An
 empty table gives no rows.  Other columns are ignored by `scan` and kept by `redact`.
@@ -21,6 +29,8 @@ empty table gives no rows.  Other columns are ignored by `scan` and kept by `red
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +44,14 @@ HEX = "[0-9a-f]{16,}"
 TOKEN = "[A-Za-z0-9+/_-]{20,}={0,2}"
 VALUE = 12
 SHORTEST = 20
+#: Order of kinds; a tested token is of one of them.
 KINDS = ("assign", "access", "hex", "random")
 #: Lengths at which a stratum begins.
 STRATA = (20, 24, 32, 48, 96)
 FALSE_RATE = 0.05
-#: Bins of the logarithm of p: their width, and their number.
-BIN, BINS = 0.05, 1200
+#: Bins of the logarithm of p: their width, their number, and those whose p-values are nearly all of random tokens (p over LEVEL).
+BIN, BINS, SURE = 0.05, 1200, 14
+LEVEL = math.exp(-BIN * SURE)
 BLOCK = 256
 MASK = "[REDACTED]"
 
@@ -79,8 +91,16 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def _normal_tail(z: Column) -> Column:
-    """P(Z > z), by the logistic approximation of the normal distribution (error below 2e-4)."""
-    return 1 / (1 + F.exp(F.least(F.lit(600.0), 1.5976 * z + 0.070565992 * z * z * z)))
+    """P(Z > z), from a rational approximation of the error function (error below 1e-7)."""
+    t = 1 / (1 + 0.3275911 * F.abs(z) / math.sqrt(2))
+    upper = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-z * z / 2) / 2
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+def _both_tails(z: Column, fourth: Column) -> Column:
+    """P(|Z| > |z|) for a standardised symmetric Z with that fourth cumulant."""
+    z = F.abs(z)
+    return F.least(F.lit(1.0), F.greatest(F.lit(1e-300), 2 * (_normal_tail(z) + F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * fourth / 24 * (z * z * z - 3 * z))))
 
 
 def encoding(token: Column) -> Column:
@@ -92,61 +112,78 @@ def encoding(token: Column) -> Column:
     return out
 
 
+def _bound(value: Column, of) -> Column:
+    """of(value), with the value computed once, through a one-element array."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def battery(token: Column) -> Column:
-    """The token's combined p-value under independent, uniform characters of its encoding."""
+    """struct<code, p>: the token's encoding, and its combined p-value under independent, uniform characters of it."""
     code = encoding(token)
     alphabet = F.element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), code)
+    total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, b: a + b)
+    unit = lambda seed: (F.pmod(F.xxhash64(token, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
 
     def of(x: Column) -> Column:
         v, k, n = x["v"], x["k"], F.size(x["v"]).cast("double")
-        total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, b: a + b)
-        squares = total(F.transform(F.array_distinct(v), lambda d: F.pow(F.size(F.filter(v, lambda y: y == d)).cast("double"), F.lit(2.0))))
-        chi = k / n * squares - n
-        z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        high = F.transform(v, lambda y: y >= k / 2)
-        ones = F.size(F.filter(high, lambda y: y)).cast("double")
-        product = 2 * ones * (n - ones)
-        runs = F.size(F.filter(F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda a, b: a != b), lambda y: y)) + 1
-        of_runs = product * (product - n) / (n * n * (n - 1))
-        z_runs = F.when(of_runs > 0, F.abs(runs - (product / n + 1)) / F.sqrt(of_runs)).otherwise(F.sqrt(n))
-        mean = total(v) / n
-        off = F.transform(v, lambda y: y - mean)
-        variance = total(F.transform(off, lambda y: y * y))
-        lagged = total(F.zip_with(F.slice(off, 1, F.size(off) - 1), F.slice(off, 2, F.size(off) - 1), lambda a, b: a * b))
-        z_serial = F.when(variance > 0, F.abs(lagged / variance + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-        return F.least(F.lit(1.0), 3 * F.least(_normal_tail(z_chi), 2 * _normal_tail(z_runs), 2 * _normal_tail(z_serial)))
+        m, p, pairs = n - 1, 1 / k, n * (n - 1) / 2
+        same = total(F.transform(F.array_distinct(v), lambda d: _bound(F.size(F.filter(v, lambda y: y == d)).cast("double"), lambda c: c * (c - 1) / 2)))
+        variance = pairs * p * (1 - p)
+        skew = (variance * (1 - 2 * p) + n * m * (n - 2) * p * p * (1 - p)) / F.pow(variance, F.lit(1.5))
+        shape = 4 / (skew * skew)
+        scaled = F.greatest(1 + (same + 0.5 - unit(1) - pairs * p) / F.sqrt(variance) / F.sqrt(shape), F.lit(1e-9))
+        p_chi = _normal_tail(3 * F.sqrt(shape) * (F.cbrt(scaled) - 1 + 1 / (9 * shape)))
+        neighbours = F.arrays_zip(F.slice(v, 1, F.size(v) - 1).alias("a"), F.slice(v, 2, F.size(v) - 1).alias("b"))
+        changes = F.size(F.filter(neighbours, lambda y: (y["a"] >= k / 2) != (y["b"] >= k / 2)))
+        p_runs = _both_tails(F.greatest(F.abs(changes - m / 2) + 0.5 - unit(2), F.lit(0.0)) / F.sqrt(m / 4), -2 / m)
+        p_serial = _both_tails(total(F.transform(neighbours, lambda y: F.cos(2 * math.pi * (y["b"] - y["a"]) / k))) / F.sqrt(m / 2), -1.5 / m)
+        return F.struct(x["code"].alias("code"), (1 - F.pow(1 - F.least(p_chi, p_runs, p_serial), F.lit(3.0))).alias("p"))
 
     values = F.transform(F.split(F.rtrim(token, F.lit("=")), ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    values = F.filter(values, lambda y: y >= 0)
-    # bound once, through a one-element array, for what follows uses them many times
-    return F.element_at(F.transform(F.array(F.struct(values.alias("v"), F.length(alphabet).cast("double").alias("k"))), of), 1)
+    return _bound(F.struct(F.filter(values, lambda y: y >= 0).alias("v"), F.length(alphabet).cast("double").alias("k"), code.alias("code")), of)
+
 
+_TOKEN_TYPE = "array<struct<start:long,end:long,match:string,kind:int>>"
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+def _tokens(text: Column, assign: Column, access: Column, hex_: Column) -> Column:
+    """What is tested: values of base matches, and tokens of what assignments (of any length) leave, by place and kind."""
+    of = lambda start, m: F.struct(start.alias("start"), m["end"].alias("end"), F.substr(m["match"], start - m["start"] + 1).alias("match"))
+    values = F.transform(F.filter(assign, lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= SHORTEST), lambda m: of(m["end"] - F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)), m))
+    whole = lambda found: F.array_except(F.transform(F.filter(found, lambda m: F.char_length(m["match"]) >= SHORTEST), lambda m: of(m["start"], m)), values)
+    kind = lambda found, k: F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), F.lit(k).alias("kind")))
+    # the text between assignments, each part with its place
+    parts = F.zip_with(F.split(text, ASSIGN, -1), F.concat(F.array(F.lit(0).cast("long")), F.transform(assign, lambda m: m["end"])), lambda part, at: F.struct(part.alias("part"), at.alias("at")))
+    long_ones = F.filter(parts, lambda x: F.char_length(x["part"]) >= SHORTEST)
+    free = F.flatten(F.transform(long_ones, lambda x: F.transform(matches(x["part"], TOKEN), lambda m: F.struct((m["start"] + x["at"]).alias("start"), (m["end"] + x["at"]).alias("end"), m["match"].alias("match")))))
+    # one that holds a hex or access match is not added beside that span
+    alone = F.filter(free, lambda m: ~m["match"].rlike(f"{HEX}|{ACCESS}"))
+    every = F.concat(*[x.cast(_TOKEN_TYPE) for x in (kind(values, 0), kind(whole(access), 1), kind(whole(hex_), 2), kind(alone, 3))])
+    return F.filter(every, lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]"))
 
 
 def _scanned(rows: DataFrame, text: Column, prefix: str = "") -> DataFrame:
-    """The rows with assign, access, hex (arrays of spans) and tokens (array of span, stratum and bin of p)."""
+    """The rows with assign, access, hex (arrays of spans) and tokens (array of span, kind, encoding, p, stratum and bin of p)."""
     span = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
     assign, access, hex_, tokens = (f"{prefix}{n}" for n in ("assign", "access", "hex", "tokens"))
-    own = [c for c in rows.columns if c not in (assign, access, hex_, tokens)]
-    first = rows.select(
-        *[F.col(f"`{c}`") for c in own],
-        F.transform(F.filter(matches(text, ASSIGN), lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= VALUE), span).alias(assign),
-        F.transform(matches(text, ACCESS), span).alias(access),
-        F.transform(matches(text, HEX), span).alias(hex_),
-        matches(text, TOKEN).alias(tokens),
-    )
-    # a token that holds a hex or access match overlaps that span, so those are told by the token itself
-    plain = F.filter(tokens, lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]") & ~m["match"].rlike(f"{HEX}|{ACCESS}") & ~F.exists(assign, lambda b: _overlaps(m, b)))
+    own = [F.col(f"`{c}`") for c in rows.columns if c not in (assign, access, hex_, tokens)]
 
     def judged(m: Column) -> Column:
         stratum = sum((F.char_length(m["match"]) >= s).cast("int") for s in STRATA)
-        place = F.least(F.floor(-F.log(F.greatest(battery(m["match"]), F.lit(1e-300))) / BIN), F.lit(BINS - 1)).cast("int")
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), stratum.alias("stratum"), place.alias("bin"))
-
-    return first.withColumn(tokens, F.transform(plain, judged))
+        return _bound(battery(m["match"]), lambda t: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), t["code"].alias("code"), t["p"].alias("p"), stratum.alias("stratum"),
+            F.least(F.floor(-F.log(F.greatest(t["p"], F.lit(1e-300))) / BIN), F.lit(BINS - 1)).cast("int").alias("bin"),
+        ))
+
+    first = rows.select(*own, matches(text, ASSIGN).alias(assign), matches(text, ACCESS).alias(access), matches(text, HEX).alias(hex_))
+    second = first.select(*own, assign, access, hex_, _tokens(text, F.col(assign), F.col(access), F.col(hex_)).alias(tokens))
+    return second.select(
+        *own,
+        F.transform(F.filter(assign, lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= VALUE), span).alias(assign),
+        F.transform(access, span).alias(access),
+        F.transform(hex_, span).alias(hex_),
+        F.transform(tokens, judged).alias(tokens),
+    )
 
 
 def candidates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -155,32 +192,43 @@ def candidates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
     return _scanned(rows, F.col("text")).drop("text")
 
 
-def rejection(found: DataFrame, rate: float = FALSE_RATE, tokens: str = "tokens") -> dict[int, int]:
-    """For each stratum of length the bin from which on (p at most exp(-bin * BIN)) tokens are rejected as ordinary."""
+def acceptance(found: DataFrame, rate: float = FALSE_RATE, tokens: str = "tokens") -> dict[int, int]:
+    """For each stratum of length the last bin (of p over exp(-(bin + 1) * BIN)) whose tokens are reported as random."""
     counts = found.select(F.explode(tokens).alias("t")).groupBy("t.stratum", "t.bin").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("stratum")
-    ranked = counts.select("stratum", "bin", F.sum("n").over(by).alias("m"), F.sum("n").over(by.orderBy(F.desc("bin"))).alias("upto"))
-    held = ranked.where(F.exp(-F.col("bin") * BIN) <= rate * F.col("upto") / F.col("m"))
-    return {r.stratum: r.bin for r in held.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
+    share = 1 - F.exp(-(F.col("bin") + 1) * BIN)
+    ranked = counts.select("stratum", "bin", F.sum(F.when(F.col("bin") < SURE, F.col("n")).otherwise(0)).over(by).alias("sure"), F.sum("n").over(by.orderBy("bin")).alias("reported"))
+    ranked = ranked.withColumn("random", (F.col("sure") + F.sqrt(F.col("sure") * LEVEL)) / (1 - LEVEL))
+    judged = ranked.withColumn("false", (F.col("bin") >= SURE) & (1 - F.col("random") * share / F.col("reported") > rate))
+    upto = judged.withColumn("bad", F.max("false").over(by.orderBy("bin")))
+    return {r.stratum: r.bin for r in upto.where("not bad and random > 0").groupBy("stratum").agg(F.max("bin").alias("bin")).collect()}
+
+
+def random_by(thresholds: dict[int, int], token: Column) -> Column:
+    """Whether a tested token is reported as random."""
+    if not thresholds:
+        return F.lit(False)
+    return F.coalesce(token["bin"] <= F.element_at(F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair]), token["stratum"]), F.lit(False))
 
 
 def _spans(thresholds: dict[int, int], prefix: str = "") -> Column:
-    alive = lambda t: ~F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair]), t["stratum"]) <= t["bin"], F.lit(False)) if thresholds else F.lit(True)
     of = lambda k, column: F.transform(column, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
-    return F.array_sort(F.concat(*[of(k, F.col(f"{prefix}{n}")) for k, n in enumerate(("assign", "access", "hex"))], of(3, F.filter(f"{prefix}tokens", alive))))
+    return F.array_sort(F.concat(*[of(k, F.col(f"{prefix}{n}")) for k, n in enumerate(("assign", "access", "hex"))], of(3, F.filter(f"{prefix}tokens", lambda t: (t["kind"] == 3) & random_by(thresholds, t)))))
 
 
 def scan(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Columns: doc_id, spans (array of start, kind, end; sorted), kinds as numbers in the order of KINDS."""
+    """Columns: doc_id, spans (array of start, kind, end; sorted; kinds as numbers in the order of KINDS), tested (array of start, end, kind, code, p, random)."""
     found = cut(candidates(docs, id_column=id_column, text_column=text_column))
-    return found.select("doc_id", _spans(rejection(found)).alias("spans"))
+    thresholds = acceptance(found)
+    tested = F.transform(F.array_sort("tokens"), lambda t: F.struct(*[t[c].alias(c) for c in ("start", "end", "kind", "code", "p")], random_by(thresholds, t).alias("random")))
+    return found.select("doc_id", _spans(thresholds).alias("spans"), tested.alias("tested"))
 
 
 def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
     """The rows with every span in their texts replaced by MASK, and the texts' lengths counted anew."""
     prefix = free_name(docs, "scanned_assign").removesuffix("assign")
     text = F.coalesce(F.col(text_column), F.lit(""))
-    thresholds = rejection(_scanned(docs.select(text_column), text, prefix), tokens=f"{prefix}tokens")
+    thresholds = acceptance(_scanned(docs.select(text_column), text, prefix), tokens=f"{prefix}tokens")
     spans = free_name(docs, "scanned_spans")
     found = _scanned(docs, text, prefix).withColumn(spans, _spans(thresholds, prefix))
     hit = F.size(spans) > 0
@@ -213,6 +261,7 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
     """All documents."""
     found = scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    shown = lambda t: F.concat_ws(":", t["start"].cast("string"), t["end"].cast("string"), t["code"], F.format_number(t["p"], 6), F.when(t["random"], "random").otherwise("ordinary"))
     return found.select(
         "doc_id",
         count(0).alias("n_assign"),
@@ -220,4 +269,7 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(listed(F.filter("spans", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        F.size("tested").cast("long").alias("n_tested"),
+        F.size(F.filter("tested", lambda t: t["random"])).cast("long").alias("n_random"),
+        F.array_join(F.transform("tested", shown), ",").alias("tested"),
     )

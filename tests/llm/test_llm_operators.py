@@ -361,6 +361,80 @@ def test_random_tokens_are_told_from_words(spark):
     assert len([i for i in found if i < 1000]) >= 54 and len([i for i in found if i >= 1000]) <= 6
 
 
+def brute_battery(token):
+    """Encoding and p-value, written out with the standard library's error function."""
+    import math
+
+    body = token.rstrip("=")
+    code = next(n for n, a in secrets.ALPHABETS.items() if n == "base64url" or set(body) <= set(a))
+    alphabet = secrets.ALPHABETS[code]
+    v, k = [alphabet.index(c) for c in body if c in alphabet], len(alphabet)
+    n, m, p = len(v), len(v) - 1, 1 / k
+    unit = lambda seed: (_spark_hash(token, seed) % (1 << 30) + 0.5) / (1 << 30)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    both = lambda z, k4: min(1, 2 * (tail(z) + math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * k4 / 24 * (z**3 - 3 * z)))
+    same = sum(c * (c - 1) / 2 for c in map(v.count, set(v)))
+    pairs = n * m / 2
+    var = pairs * p * (1 - p)
+    shape = 4 * var**3 / (var * (1 - 2 * p) + n * m * (n - 2) * p * p * (1 - p)) ** 2
+    x = max(1e-9, 1 + (same + 0.5 - unit(1) - pairs * p) / math.sqrt(var * shape))
+    chi = tail(3 * math.sqrt(shape) * (x ** (1 / 3) - 1 + 1 / (9 * shape)))
+    changes = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(v, v[1:], strict=False))
+    runs = both(max(0, abs(changes - m / 2) + 0.5 - unit(2)) / math.sqrt(m / 4), -2 / m)
+    serial = both(abs(sum(math.cos(2 * math.pi * (b - a) / k) for a, b in zip(v, v[1:], strict=False))) / math.sqrt(m / 2), -1.5 / m)
+    return code, 1 - (1 - min(chi, runs, serial)) ** 3
+
+
+def _spark_hash(token, seed):
+    """Spark's xxhash64 of a string and an int: XXH64 of the string with seed 42, which seeds that of the int."""
+    import struct
+
+    import xxhash
+
+    return xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(token.encode(), 42))
+
+
+def test_tested_tokens_against_brute_force(spark):
+    """Places, encodings and p-values of what is tested, against a plain version."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + SECRETS + [(1000, "A token Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA== here, secret: x1, then my_secret_token=q8Zt5Lw2Xv9Rb4Nc7Md1 end abcdefghij0123456789KL")]
+    got = sorted(((str(g.doc_id), [(t["start"], t["end"], t["kind"], t["code"], round(t["p"], 5)) for t in g.tested]) for g in secrets.scan(corpus(spark, docs)).collect()), key=str)
+    assign, token = re.compile(secrets.ASSIGN, re.A), re.compile(secrets.TOKEN)
+    want = []
+    for i, text in docs:
+        text, found = text or "", []
+        at, gaps = 0, []
+        for m in assign.finditer(text):
+            gaps.append((at, m.start()))
+            at = m.end()
+            found.append((m.start(2), m.end(2), 0))
+        gaps.append((at, len(text)))
+        found += [(m.start(), m.end(), k) for k, p in ((1, secrets.ACCESS), (2, secrets.HEX)) for m in re.finditer(p, text)]
+        found += [(a + m.start(), a + m.end(), 3) for a, b in gaps for m in token.finditer(text[a:b]) if not re.search(f"{secrets.HEX}|{secrets.ACCESS}", m[0])]
+        found = [(a, b, k) for a, b, k in found if k not in (1, 2) or (a, b, 0) not in found]
+        rows = []
+        for a, b, k in sorted(found):
+            t = text[a:b]
+            if b - a >= secrets.SHORTEST and re.search("[0-9]", t) and re.search("[A-Za-z]", t):
+                code, p = brute_battery(t)
+                rows.append((a, b, k, code, round(p, 5)))
+        want.append((str(i), rows))
+    want = sorted(want, key=str)
+    assert sum(len(r) for _, r in want) > 10
+    for (i, a), (j, b) in zip(got, want, strict=True):
+        assert i == j and [x[:4] for x in a] == [x[:4] for x in b] and np.allclose([x[4] for x in a], [x[4] for x in b], atol=2e-5), (i, a, b)
+
+
+def test_p_values_of_random_tokens_are_uniform(spark):
+    from pyspark.sql import functions as F
+
+    for name, k in (("hex", 20), ("base64", 20), ("base62", 40), ("base32", 100)):
+        alphabet = secrets.ALPHABETS[name]
+        one = lambda i: F.substr(F.lit(alphabet), (F.pmod(F.xxhash64("id", i), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))  # noqa: E731, B023
+        drawn = spark.range(20_000).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(k)), one), "").alias("t"))
+        p = np.array([r.p for r in drawn.select(secrets.battery(F.col("t"))["p"].alias("p")).collect()])
+        assert all(abs((p <= t).mean() - t) < 4 * (t / 20_000) ** 0.5 + 0.08 * t for t in (0.001, 0.01, 0.1, 0.4)), (name, k, [(p <= t).mean() for t in (0.001, 0.01, 0.1, 0.4)])
+
+
 def test_redaction(spark):
     docs = corpus(spark, SECRETS, clash=True)
     spans = {(str(g.doc_id), i): g.spans for i, g in enumerate(secrets.scan(corpus(spark, SECRETS)).collect())}
