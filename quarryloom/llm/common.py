@@ -41,3 +41,16 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, *, share: int = 256, parts: int = 64) -> DataFrame:
+    """Inner join of rows with facts, which have one row for each key and, in `count`, how many rows it has.
+
+    Keys with more than one row in `share` (so fewer than `share` keys, which are broadcast) are dealt to `parts` tasks.
+    facts should be cheap to evaluate twice.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(facts.where(F.col(count) > F.lit(total / share)).select(key, F.lit(True).alias("_hot")))
+    left = rows.join(hot, key, "left").withColumn("_part", F.when(F.col("_hot"), (F.monotonically_increasing_id() % parts).cast("int")).otherwise(0)).drop("_hot")
+    right = facts.join(hot, key, "left").withColumn("_part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot", count)
+    return left.join(right, [key, "_part"]).drop("_part")
