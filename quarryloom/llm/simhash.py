@@ -18,14 +18,14 @@ table gives none.  Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryloom.llm.common import cut
+from quarryloom.llm.common import cut, join_hot
 from quarryloom.sources.tables import spread
 
 SHINGLE = 3
@@ -225,20 +225,24 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", budget: int = BUDGET) -> DataFrame:
     """Columns: doc_id, fp, component_id (the smallest id of its component)."""
     prints = cut(fingerprints(docs, id_column=id_column, text_column=text_column))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     roots = components(links(nodes.select("fp"), budget=budget))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = cut(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    named = join_hot(rooted, rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("m")), "root", "m").select("fp", "component_id", "n")
+    return join_hot(prints, cut(named), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def hashes(text: str | None, shingle: int) -> np.ndarray:
     """The distinct XXH64 of a text's shingles, sorted; a shorter text is one shingle, and one without words has none."""
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh64_digest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    made = [xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))] if words else []
-    return np.unique(np.array(made, np.uint64))
+    if not words:
+        return np.zeros(0, np.uint64)
+    line, ends = b" ".join(words), list(accumulate(len(w) + 1 for w in words))
+    starts, ends = [0, *ends[: max(0, len(words) - shingle)]], ends[min(len(words), shingle) - 1 :]
+    made = b"".join([xxh64_digest(line[a : b - 1], SEED) for a, b in zip(starts, ends, strict=True)])
+    return np.unique(np.frombuffer(made, ">u8").astype(np.uint64))
 
 
 def shingle_prints(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, common: np.ndarray | None = None) -> DataFrame:
@@ -280,8 +284,8 @@ def common_shingles(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(t.as_py(), shingle).astype(np.int64))], ["h"])
+            found = np.concatenate([np.zeros(0, np.uint64), *(hashes(t.as_py(), shingle) for t in batch.column("text"))])
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], ["h"])
 
     share = docs.count() // COMMON_ROWS + 1
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(share)) == 0).select("text")
@@ -306,6 +310,65 @@ def _similar(shingle: int):
     return run
 
 
+#: Pairs of rows of whole tasks that are looked at together.
+PAIRS = 1 << 21
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, side, node, size, place, root) come sorted by task.  Gives the pairs of a task that may reach 4/5."""
+    held: list[np.ndarray] = []
+    waiting = 0
+
+    def made(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        task = x[0]
+        heads = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
+        ends = np.repeat(np.append(heads[1:], len(task)), np.diff(np.append(heads, len(task))))
+        after = ends - np.arange(len(task)) - 1  # rows of the task that follow
+        crossed = np.maximum.reduceat(x[1], heads).repeat(np.diff(np.append(heads, len(task))))  # of two cells: pairs across only
+        at, upto = 0, np.cumsum(after)
+        while at < len(task):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            n = after[at:to]
+            i = np.repeat(np.arange(at, to), n)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            at = to
+            side, size, place, root = (x[k] for k in (1, 3, 4, 5))
+            can = ((side[i] != side[j]) | (crossed[i] == 0)) & (root[i] != root[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
+            i, j = i[can], j[can]
+            can = 9 * np.minimum(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])
+            a, b = x[2][i[can]], x[2][j[can]]
+            both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("task", "side", "node", "size", "place", "root")]))
+        waiting += batch.num_rows
+        if waiting >= ROWS:
+            x = np.concatenate(held, 1)
+            whole = int(np.searchsorted(x[0], x[0, -1]))
+            if whole:
+                yield from made(x[:, :whole])
+            held, waiting = [x[:, whole:]], x.shape[1] - whole
+    if held and waiting:
+        yield from made(np.concatenate(held, 1))
+
+
+def sharing(keyed: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
+    """keyed: key, node, size, place, root.  Columns a, b: distinct pairs of different roots that share a key and may reach 4/5 by size and place.
+
+    A key of more than `bucket` nodes is dealt into cells, and each pair of cells is a task of its own.
+    """
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+    found = keyed.join(counts, "key").withColumn("cells", F.when(F.col("n") <= bucket, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / bucket)).cast("int"))
+    celled = found.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(1)), F.col("cells")).cast("int"))
+    dealt = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    tasks = dealt.select(F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("task"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "node", "size", "place", "root")
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_paired, "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """Columns: doc_id, mark (MD5 of the text, a null one as empty), root.  Components of all pairs whose sets of shingles have a Jaccard similarity of 4/5 or more.
 
@@ -314,7 +377,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
     prints = cut(shingle_prints(docs, shingle=shingle, common=common_shingles(docs, shingle=shingle)))
-    nodes = prints.groupBy("node").agg(F.min("mark").alias("mark"), F.first("fp").alias("fp"))
+    nodes = prints.groupBy("node").agg(F.min("mark").alias("mark"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
@@ -331,17 +394,13 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataF
     close = verified(tried)
     roots = components(close)
 
-    keyed = prints.dropDuplicates(["node"]).select("node", "size", F.posexplode("keys").alias("place", "key"))
-    groups = keyed.groupBy("key").agg(F.collect_list(F.struct("node", "size", "place")).alias("rows")).where(F.size("rows") > 1)
-    shared = cut(groups.select("key", F.inline("rows")).join(roots, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root")))
-    other = shared.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "place", "root")])
-    can = (
-        (F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & (5 * F.least("size", "size_b") >= 4 * F.greatest("size", "size_b"))
-        & (9 * (F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))) >= 4 * (F.col("size") + F.col("size_b")))
-    )
-    rest = cut(shared.join(other, "key").where(can).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    sets = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    rooted = cut(sets.join(roots, "node", "left").select("node", "size", "keys", F.coalesce("root", "node").alias("root")))
+    keyed = rooted.select("node", "size", "root", F.posexplode("keys").alias("place", "key"))
+    rest = cut(sharing(keyed).join(tried, ["a", "b"], "left_anti"))
     found = components(close.unionByName(verified(rest)))
-    return prints.select("doc_id", "mark", "node").join(found, "node", "left").select("doc_id", "mark", F.coalesce("root", "node").alias("root"))
+    named = cut(nodes.join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
+    return join_hot(prints.select("doc_id", "mark", "node"), named, "node", "n").select("doc_id", "mark", "root")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
