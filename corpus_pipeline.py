@@ -19,34 +19,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under one half go.  Labels that op3 holds out are not learned here either."""
+    """Documents that score under one half go.  Labels that op3 holds out are not learned here either.
+
+    A null or empty text is scored as an empty one; each of several rows with one id or text is scored by itself, so equal
+    texts stay or go together.  Without positive labels all rows stay; an empty table stays empty.
+    """
     labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1)
     docs = spread(docs)
     return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose sets of five-word shingles have a similarity of 0.8 or more are linked; of each component the row with the smallest id stays (nulls last, then by the text's MD5), once should it repeat."""
+    """Documents whose sets of five-word shingles have a similarity of 0.8 or more are linked; of each component one row stays.
+
+    It is the row with the smallest id (nulls last), then the smallest MD5 of the text; of rows with both in common any
+    one stays.  Null texts count as empty; texts without words are one component.  Rows are told apart by id and text,
+    so different texts under one id, or without one, are different documents.  An empty table stays empty.
+    """
     found = simhash.similar_documents(docs)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s"))
-    stay = first.select(F.col("s.doc_id").alias("stays"), F.col("s.mark").alias("stay_mark"))
-    mark = free_name(docs, "mark")
-    marked = docs.withColumn(mark, F.md5(F.coalesce("text", F.lit(""))))
-    return marked.join(stay, marked["doc_id"].eqNullSafe(stay["stays"]) & (marked[mark] == stay["stay_mark"]), "left_semi").dropDuplicates(["doc_id", mark]).select(docs.columns)
+    key, name = lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), m), free_name(docs, "row_key")
+    stay = first.select(key(F.col("s.doc_id"), F.col("s.mark")).alias(name))
+    marked = docs.withColumn(name, key(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit("")))))
+    # the texts are moved once: the join leaves them dealt and sorted by the key, as dropping repeated rows needs them
+    return marked.join(stay, name, "left_semi").dropDuplicates([name]).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go.
+
+    Null and empty texts hold no window and stay; each of several rows with one id or text is judged by its text.  With
+    an empty benchmark all rows stay; an empty table stays empty.
+    """
     return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in a text is replaced by a mask; all documents stay."""
+    """Every secret in a text is replaced by a mask, and n_chars counted anew; all documents stay.
+
+    Null and empty texts stay as they are.  Repeated rows are masked alike; their tokens count each in the thresholds.
+    """
     return secrets.redact(docs)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' piece ids, with their number, their digest, and whether they decode to the text."""
+    """The documents' piece ids, with their number, their digest, and whether they decode to the text.
+
+    A null or empty text has no pieces; repeated rows are each encoded; an empty table gives no rows.
+    """
     return pieces.summarise(docs, with_ids=True)
 
 
