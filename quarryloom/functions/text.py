@@ -269,7 +269,7 @@ def truncated(text: Column, most: int, marker: str = "\n... [truncated]") -> Col
 
 def is_binary(content: Column) -> Column:
     """A NUL among the first 8192 bytes."""
-    return F.instr(F.hex(F.substring(content, 1, 8192)).cast("string"), "00") % 2 == 1
+    return F.instr(F.substring(content, 1, 8192).cast("string"), "\0") > 0
 
 
 def decoded(content: Column) -> Column:

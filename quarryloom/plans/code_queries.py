@@ -41,7 +41,11 @@ def stream_deliveries(spark, sf):
     import tempfile
     import uuid
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp()}"
     where = f"{shared.rstrip('/')}/deliveries-{uuid.uuid4().hex}"
     fx.deliveries(spark, sf).select("delivery_id", "received_at", "event_type", "github_repo_id", "ref", "payload").write.parquet(f"{where}/in")
     stream = L.routed(L.once(L.read(spark, f"{where}/in")), fx.repos(spark, sf))

@@ -55,11 +55,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of conversations as search queries: query_id, query."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     opening = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), ((F.col("conv_id") + F.col("turn")) % len(OPENINGS) + 1).cast("int"))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.trim(F.concat_ws(" ", opening, F.substring("text", 1, 80))).alias("query"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.trim(F.concat_ws(" ", opening, "text")).alias("query"))
 
 
 QUERIES_SQL = f"""queries AS (
-  SELECT conv_id * 1000 + turn AS query_id, trim(([{', '.join("'" + o + "'" for o in OPENINGS)}])[(conv_id + turn) % {len(OPENINGS)} + 1] || ' ' || substr(text, 1, 80), ' ') AS query
+  SELECT conv_id * 1000 + turn AS query_id, trim(([{', '.join("'" + o + "'" for o in OPENINGS)}])[(conv_id + turn) % {len(OPENINGS)} + 1] || ' ' || text, ' ') AS query
   FROM conversations WHERE role = 'user')"""
 
 

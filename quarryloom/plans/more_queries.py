@@ -31,7 +31,7 @@ def flt_zip_path(spark, sf):
 
 def flt_binary(spark, sf):
     content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.encode("text", "UTF-8"), F.lit(b"\0x"))).when(F.col("doc_id") % 3 == 1, F.lit(b"a\x10\x01\0")).otherwise(F.encode("text", "UTF-8"))
-    return table(spark, sf, "documents").select("doc_id", (F.instr(F.substring(content, 1, 8192).cast("string"), "\0") > 0).alias("is_binary"))
+    return table(spark, sf, "documents").select("doc_id", X.is_binary(content).alias("is_binary"))
 
 
 def prj_decode(spark, sf):

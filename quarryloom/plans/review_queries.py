@@ -88,7 +88,7 @@ def pick_primary(spark, sf):
 
 
 def _audits(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey <= 3000")
+    o = table(spark, sf, "orders")
     text = (
         "concat('{\"vulnerabilities\":{\"pkg', o_orderkey % 7, '\":{\"severity\":\"', if(o_orderkey % 2 = 0, 'high', 'low'), '\",\"range\":\"<2\",\"isDirect\":true,\"via\":[{\"source\":', o_orderkey, ',\"title\":\"Bad\",\"severity\":\"moderate\",\"url\":\"u\"},\"other\",{\"source\":9,\"title\":\"Worse\",\"severity\":\"',"
         " if(o_orderkey % 3 = 0, 'critical', 'medium'), '\",\"range\":\"<1.5\"}],\"fixAvailable\":{\"name\":\"p\",\"version\":\" 2.0.', o_orderkey % 5, ' \"}},\"lib', o_orderkey % 3, '\":{\"severity\":\"info\",\"via\":[\"pkg\"],\"fixAvailable\":true}}}')"
@@ -97,7 +97,7 @@ def _audits(spark, sf):
 
 
 def _direct(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey <= 3000 and o_orderkey % 4 = 0").selectExpr("o_orderkey AS audit_id", "concat('lib', o_orderkey % 3) AS package", "'^1.0.0' AS version")
+    return table(spark, sf, "orders").where("o_orderkey % 4 = 0").selectExpr("o_orderkey AS audit_id", "concat('lib', o_orderkey % 3) AS package", "'^1.0.0' AS version")
 
 
 def fn_audit_explode(spark, sf):
@@ -148,7 +148,7 @@ def join_code_exists(spark, sf):
 
 
 def fn_looks_like_code(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", V.looks_like_code(F.substring("text", 1, 15)).alias("code"))
+    return table(spark, sf, "documents").select("doc_id", V.looks_like_code(F.col("text")).alias("code"))
 
 
 def _states(spark, sf):
@@ -173,8 +173,8 @@ def fn_find_code(spark, sf):
 
 def score_bug(spark, sf):
     """Documents of a source as two result sets for one report each."""
-    d = table(spark, sf, "documents").where("doc_id < 400")
-    r = d.selectExpr("source AS query_id", "doc_id % 2 AS result_set", "doc_id AS chunk_key", "concat(source, '/file_', doc_id % 4, '.py') AS file_path", "'' AS symbol", "substr(text, 1, 400) AS content", "cast(doc_id AS DOUBLE) AS score")
+    d = table(spark, sf, "documents")
+    r = d.selectExpr("source AS query_id", "doc_id % 2 AS result_set", "doc_id AS chunk_key", "concat(source, '/file_', doc_id % 4, '.py') AS file_path", "'' AS symbol", "text AS content", "cast(doc_id AS DOUBLE) AS score")
     ranked = r.withColumn("rank0", F.row_number().over(Window.partitionBy("query_id", "result_set").orderBy("chunk_key")) - 1)
     signals = r.select("query_id").distinct().withColumn("signal_terms", F.array(F.lit("the"), F.lit("of"), F.lit("password"), F.lit("status")))
     return S.bug_scores(ranked, signals).select("query_id", "chunk_key", F.round("bug_score", 6).alias("bug_score"), "related")
@@ -182,8 +182,8 @@ def score_bug(spark, sf):
 
 def join_bug_refs(spark, sf):
     """Which documents of a source name another's file stem or symbol (a word of theirs) as a whole word."""
-    d = table(spark, sf, "documents").where("doc_id < 300")
-    r = d.selectExpr("source AS query_id", "0L AS result_set", "doc_id AS chunk_key", "concat(source, '/doc', doc_id, '.py') AS file_path", "regexp_extract(text, '([a-z]{6,})', 1) AS symbol", "substr(text, 1, 2000) AS content", "1.0D AS score", "0 AS rank0")
+    d = table(spark, sf, "documents")
+    r = d.selectExpr("source AS query_id", "0L AS result_set", "doc_id AS chunk_key", "concat(source, '/doc', doc_id, '.py') AS file_path", "regexp_extract(text, '([a-z]{6,})', 1) AS symbol", "text AS content", "1.0D AS score", "0 AS rank0")
     signals = r.select("query_id").distinct().withColumn("signal_terms", F.array().cast("array<string>"))
     return S.bug_scores(r, signals).where("related > 0").select("query_id", "chunk_key", "related")
 
@@ -198,7 +198,7 @@ QUERIES = {
 
 _CAND = "cand AS (SELECT p_brand AS query_id, p_partkey AS ord, string_split(p_type, ' ')[1] AS name, 'Src/' || p_size % 7 || '/Mod' || p_partkey % 3 || '.py' AS file_path, p_retailprice / 2000 AS score FROM part)"
 _SEV = "CASE lower({0}) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 WHEN 'info' THEN 0 ELSE -1 END"
-_ADV = """o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey <= 3000),
+_ADV = """o AS (SELECT o_orderkey AS k FROM orders),
 adv AS (SELECT k AS audit_id, 'pkg' || k % 7 AS package, 0 AS nth, 'unknown' AS current_version, 'moderate' AS severity, '<2' AS vulnerable_range, '2.0.' || k % 5 AS patched_version, true AS is_direct, 'Bad' AS title FROM o
   UNION ALL SELECT k, 'pkg' || k % 7, 1, 'unknown', CASE WHEN k % 3 = 0 THEN 'critical' ELSE 'medium' END, '<1.5', '2.0.' || k % 5, true, 'Worse' FROM o
   UNION ALL SELECT k, 'lib' || k % 3, 0, CASE WHEN k % 4 = 0 THEN '^1.0.0' ELSE 'unknown' END, 'info', 'unknown', NULL, k % 4 = 0, 'lib' || k % 3 || ' vulnerability' FROM o)"""
@@ -232,13 +232,13 @@ ORACLE_SQL = {
     "agg_vuln_group": f"""WITH {_ADV} SELECT audit_id, package, count(*) AS advisories, arg_min(current_version, nth) AS current_version, (list(severity ORDER BY {_SEV.format('severity')} DESC, nth))[1] AS severity, min(patched_version) AS patched_version FROM adv WHERE is_direct GROUP BY 1, 2""",
     "sort_vuln": f"""WITH {_ADV}, e AS (SELECT *, audit_id % 5 = 0 AND package = 'pkg3' AS named FROM adv WHERE is_direct AND patched_version IS NOT NULL), f AS (SELECT *, bool_or(named) OVER (PARTITION BY audit_id) AS anyn FROM e)
         SELECT audit_id, package, title, severity FROM f WHERE named OR NOT anyn QUALIFY row_number() OVER (PARTITION BY audit_id ORDER BY {_SEV.format('severity')} DESC, lower(package), lower(title), nth) = 1""",
-    "fn_manifest_bump": """SELECT o_orderkey AS audit_id, 'pkg' || o_orderkey % 7 AS package, 4 AS line_number, '    "pkg' || o_orderkey % 7 || '": "' || CASE WHEN o_orderkey % 2 = 0 THEN '^' ELSE '' END || '2.0.' || o_orderkey % 5 || '",' AS new_code FROM orders WHERE o_orderkey <= 3000""",
+    "fn_manifest_bump": """SELECT o_orderkey AS audit_id, 'pkg' || o_orderkey % 7 AS package, 4 AS line_number, '    "pkg' || o_orderkey % 7 || '": "' || CASE WHEN o_orderkey % 2 = 0 THEN '^' ELSE '' END || '2.0.' || o_orderkey % 5 || '",' AS new_code FROM orders""",
     "agg_manifest": """WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '\\n+$', ''), chr(10)) AS l FROM documents) SELECT doc_id, md5(array_to_string(CASE WHEN doc_id % 3 <> 0 THEN l ELSE l[len(l) // 2 + 1 :] END, chr(10))) AS digest, doc_id % 3 <> 0 AS is_complete, false AS is_json FROM d WHERE len(l) >= 4""",
     "join_lock_versions": "SELECT 'p' || p_partkey AS package, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 1 THEN p_size || '.1' WHEN p_partkey % 4 = 0 THEN p_size || '.2' ELSE '^' || p_size END AS version FROM part",
     "join_evidence": """WITH c AS (SELECT l_orderkey AS query_id, 'dir' || l_suppkey % 3 || '/file' || l_suppkey % 9 || '.py' AS p, 'file' || l_suppkey % 9 || '.py' AS b FROM lineitem WHERE l_linenumber = 1)
         SELECT l_orderkey AS query_id, 'Dir' || l_linenumber || '/File' || l_partkey % 9 || '.py' AS file_ref FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = l.l_orderkey AND (c.b = 'file' || l.l_partkey % 9 || '.py' OR c.p = 'dir' || l.l_linenumber || '/file' || l.l_partkey % 9 || '.py'))""",
     "join_code_exists": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN TRUE WHEN 1 THEN contains(lower(text), 'password') OR contains(lower(text), 'token') WHEN 2 THEN contains(lower(text), 'zzzz') OR contains(lower(text), 'qqqq') ELSE TRUE END AS known FROM documents",
-    "fn_looks_like_code": f"SELECT doc_id, contains(v, chr(10)) OR contains(v, chr(13)) OR {_MARKS} AS code FROM (SELECT doc_id, lower(substr(text, 1, 15)) AS v FROM documents)",
+    "fn_looks_like_code": f"SELECT doc_id, contains(v, chr(10)) OR contains(v, chr(13)) OR {_MARKS} AS code FROM (SELECT doc_id, lower(text) AS v FROM documents)",
     "score_confidence": """WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'passed' WHEN 1 THEN 'failed' WHEN 2 THEN 'unavailable' ELSE 'skipped' END AS v, (['ADD_FEATURE', 'FIX_BUG', 'REFACTOR', 'RETRIEVE'])[o_orderkey % 4 + 1] AS i FROM orders),
         c AS (SELECT *, CASE WHEN v IN ('failed', 'unavailable') OR o_orderkey % 5 = 0 OR o_orderkey % 11 = 0 THEN 'low' WHEN o_orderkey % 7 = 0 THEN 'none' WHEN o_orderkey % 3 = 0 THEN 'low' WHEN v = 'passed' THEN 'high' ELSE 'medium' END AS confidence FROM s)
         SELECT o_orderkey, confidence, v = 'passed' AND confidence IN ('high', 'medium') AS safe, CASE WHEN o_orderkey % 6 + 1 > 3 OR v = 'failed' THEN 'high' WHEN i IN ('ADD_FEATURE', 'REFACTOR') THEN 'medium' ELSE 'low' END AS risk,
@@ -246,14 +246,14 @@ ORACLE_SQL = {
     "fn_find_code": """WITH d AS (SELECT doc_id, text, substr(text, 5, 12) AS o FROM documents), n AS (SELECT *, CASE WHEN length(o) = 0 THEN 0 ELSE (length(text) - length(replace(text, o, ''))) // length(o) END AS n FROM d)
         SELECT doc_id AS change_id, CAST(n AS INT) AS matches, CAST(CASE WHEN n = 1 THEN 10 + length(substr(text, 1, instr(text, o) - 1)) - length(replace(substr(text, 1, instr(text, o) - 1), chr(10), '')) ELSE 0 END AS INT) AS start_line,
         CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 0 THEN 'not_found' ELSE 'verified' END AS status FROM n""",
-    "score_bug": f"""WITH r AS (SELECT source AS q, doc_id % 2 AS rs, doc_id, source || '/file_' || doc_id % 4 || '.py' AS p, substr(text, 1, 400) AS c FROM documents WHERE doc_id < 400),
+    "score_bug": f"""WITH r AS (SELECT source AS q, doc_id % 2 AS rs, doc_id, source || '/file_' || doc_id % 4 || '.py' AS p, text AS c FROM documents),
         k AS (SELECT *, 1.0::DOUBLE - (row_number() OVER (PARTITION BY q, rs ORDER BY doc_id) - 1)::DOUBLE / count(*) OVER (PARTITION BY q, rs) AS sem FROM r),
         words AS (SELECT q, doc_id, p, unnest(list_distinct(regexp_extract_all(lower(c), '[\\p{{L}}\\p{{N}}_]+'))) AS w FROM k),
         refs AS (SELECT DISTINCT w.q, w.doc_id AS a, k.doc_id AS b FROM words w JOIN k ON k.q = w.q AND w.w = 'file_' || k.doc_id % 4 AND k.p <> w.p),
         rel AS (SELECT q, a, count(DISTINCT b) AS n FROM (SELECT q, a, b FROM refs UNION SELECT q, b, a FROM refs) GROUP BY ALL)
         SELECT k.q AS query_id, doc_id AS chunk_key, round(0.65::DOUBLE * sem + 0.25::DOUBLE * len(list_filter(['the', 'of', 'password', 'status'], lambda x: list_contains({_SIMPLE.format("(p || '   ' || c)")}, x))) / 4 + 0.10::DOUBLE * least(coalesce(n, 0) / 2.0::DOUBLE, 1), 6) AS bug_score, coalesce(n, 0) AS related
         FROM k LEFT JOIN rel ON rel.q = k.q AND rel.a = k.doc_id""",
-    "join_bug_refs": f"""WITH r AS (SELECT source AS q, doc_id, lower(regexp_extract(text, '([a-z]{{6,}})', 1)) AS s, substr(text, 1, 2000) AS c FROM documents WHERE doc_id < 300),
+    "join_bug_refs": f"""WITH r AS (SELECT source AS q, doc_id, lower(regexp_extract(text, '([a-z]{{6,}})', 1)) AS s, text AS c FROM documents),
         al AS (SELECT q, doc_id AS b, unnest(list_distinct(list_filter([s, CASE WHEN length('doc' || doc_id) > 4 THEN 'doc' || doc_id END], lambda x: x IS NOT NULL AND length(x) > 3))) AS w FROM r),
         words AS (SELECT q, doc_id AS a, unnest(list_distinct(regexp_extract_all(lower(c), '[\\p{{L}}\\p{{N}}_]+'))) AS w FROM r),
         refs AS (SELECT DISTINCT q, a, b FROM words JOIN al USING (q, w) WHERE a <> b)

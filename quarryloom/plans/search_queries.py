@@ -20,34 +20,39 @@ def tf_chunk_text(spark, sf):
 
 
 def topk_dense(spark, sf):
-    """The first ten vectors as queries against all."""
+    """Every twentieth vector as a query against all."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     return S.dense_topk(e, q, point_id="vec_id", vector="embedding", query_id="q", query_vector="qv", k=20).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
 
 
 def flt_dense_payload(spark, sf):
     """The same, within the query's label and over a threshold."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), "label")
     return S.dense_topk(e, q, point_id="vec_id", vector="embedding", query_id="q", query_vector="qv", k=5, on="label", threshold=0.1).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
 
 
 def topk_global(spark, sf):
-    """Each label's best five for a query, concatenated and cut at twenty."""
+    """For every twentieth vector each label's best five, concatenated and cut at twenty."""
     from pyspark.sql import Window
 
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id = 3").select(F.col("embedding").alias("qv"))
-    scored = e.crossJoin(F.broadcast(q)).select("label", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("qv")), 6).alias("score"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id"))).where("r <= 5")
-    return best.orderBy(F.desc("score"), "vec_id").limit(20).select("label", "vec_id", "score")
+    labels = [r.label for r in e.select("label").distinct().collect()]  # the collections, as a registry lists them
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"), F.explode(F.array(*map(F.lit, labels))).alias("label"))
+    asked = q.withColumn("asked", F.concat_ws(":", "q", "label"))
+    best = S.dense_topk(e, asked, point_id="vec_id", vector="embedding", query_id="asked", query_vector="qv", k=5, on="label")
+    part = lambda n: F.element_at(F.split("query_id", ":"), n)
+    found = best.select(part(1).cast("long").alias("query_id"), part(2).cast("int").alias("label"), F.col("point_id").alias("vec_id"), F.round("score", 6).alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where("rank <= 20")
 
 
 def score_cosine(spark, sf):
+    """The cosine of every vector and its part's representative, the smallest id of its label."""
     e = table(spark, sf, "embeddings")
-    q = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("qv")))
-    return e.crossJoin(q).select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("qv")), 6).alias("score"))
+    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("qv"))
+    return e.join(q, "label").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("qv")), 6).alias("score"))
 
 
 def _corpus(spark, sf):
@@ -60,7 +65,7 @@ def _corpus(spark, sf):
 
 
 def _items(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("find getUserName "), F.substring("text", 1, 120)).alias("query"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("find getUserName "), "text").alias("query"))
 
 
 def agg_df(spark, sf):
@@ -79,14 +84,14 @@ def topk_sparse(spark, sf):
 
 def tf_embed(spark, sf):
     d = embed(spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))))
-    return d.select("doc_id", F.posexplode("vector").alias("i", "v")).where("i < 4").select("doc_id", "i", F.round("v", 6).alias("v"))
+    return d.select("doc_id", F.posexplode("vector").alias("i", "v")).select("doc_id", "i", F.round("v", 6).alias("v"))
 
 
 def hybrid_search(spark, sf):
     """Every benchmark item as a query over the chunks of all documents."""
-    chunks = embed(_corpus(spark, sf))
+    chunks = _corpus(spark, sf)
     queries = embed(_items(spark, sf), text_column="query", vector_column="query_vector")
-    return S.hybrid(chunks, queries)
+    return S.hybrid(chunks, queries, points=embed(chunks.select("chunk_key", "content")))
 
 
 def join_rrf(spark, sf):
@@ -131,7 +136,7 @@ chunked AS (SELECT doc_id, generate_subscripts(out, 1) - 1 AS ord, unnest(out) A
 CORPUS_SQL = f"""{fx.FILES_SQL}, {CHUNKS_SQL},
 corpus AS (SELECT file_path || '#' || ord AS chunk_key, sha256(c.content) AS chunk_hash, file_path, repo_id, regexp_extract(c.content, '([A-Za-z]{{4,}})', 1) AS function_name, 'Doc' || doc_id || 'Service' AS class_name, c.content AS content
   FROM chunked JOIN files USING (doc_id) WHERE length(trim(translate(c.content, chr(10) || chr(9) || chr(13), ''))) > 0)"""
-ITEMS_SQL = "queries AS (SELECT item_id AS query_id, 'find getUserName ' || substr(text, 1, 120) AS query FROM benchmark)"
+ITEMS_SQL = "queries AS (SELECT item_id AS query_id, 'find getUserName ' || text AS query FROM benchmark)"
 #: The terms query's steps, over another set of queries.
 TERMS_SQL = ITEMS_SQL + TEXT_SQL["fn_build_terms"].removeprefix("WITH " + fx.QUERIES_SQL).rpartition("listed AS")[0] + "terms AS (SELECT query_id, t AS term FROM ranked WHERE r <= 12)"
 BM25_SQL = f"""words0 AS (SELECT chunk_key, f.field, {_words_sql('f.body')} AS w FROM (SELECT chunk_key, unnest([{{'field': 'function', 'body': function_name}}, {{'field': 'class', 'body': class_name}}, {{'field': 'code', 'body': substr(content, 1, 12000)}}]) AS f FROM corpus)),
@@ -153,14 +158,14 @@ def _embed_sql(name: str, key: str, text: str, source: str) -> str:
 _BOOST = r"""len(list_filter({0}, lambda t: regexp_matches(body, '(^|[^\p{{L}}\p{{N}}_])(' || lower(t) || ')($|[^\p{{L}}\p{{N}}_])')))"""
 ORACLE_SQL = {
     "tf_chunk_text": f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, CAST(ord AS INT) AS ord, c.s AS start_line, c.e AS end_line, md5(c.content) AS digest FROM chunked",
-    "topk_dense": f"SELECT q.vec_id AS query_id, e.vec_id AS point_id, round({_COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS INT) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 10 QUALIFY rank <= 20",
-    "flt_dense_payload": f"SELECT q.vec_id AS query_id, e.vec_id AS point_id, round({_COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS INT) AS rank FROM embeddings e JOIN embeddings q USING (label) WHERE q.vec_id < 10 AND {_COS} >= 0.1 QUALIFY rank <= 5",
-    "topk_global": f"SELECT label, vec_id, score FROM (SELECT e.label, e.vec_id, round({_COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 3 QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY round({_COS}, 6) DESC, e.vec_id) <= 5) ORDER BY score DESC, vec_id LIMIT 20",
-    "score_cosine": f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0",
+    "topk_dense": f"SELECT q.vec_id AS query_id, e.vec_id AS point_id, round({_COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS INT) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY rank <= 20",
+    "flt_dense_payload": f"SELECT q.vec_id AS query_id, e.vec_id AS point_id, round({_COS}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS INT) AS rank FROM embeddings e JOIN embeddings q USING (label) WHERE q.vec_id % 20 = 0 AND {_COS} >= 0.1 QUALIFY rank <= 5",
+    "topk_global": f"SELECT query_id, label, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.label, e.vec_id, round({_COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY {_COS} DESC, e.vec_id) <= 5) QUALIFY rank <= 20",
+    "score_cosine": f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) q USING (label)",
     "agg_df": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_words_sql('text')})) AS term FROM documents) GROUP BY term",
     "agg_avg_len": f"SELECT round(greatest(avg(len({_tokens_sql('w')})), 1.0), 6) AS average FROM (SELECT {_words_sql('text')} AS w FROM documents)",
     "topk_sparse": f"WITH RECURSIVE {CORPUS_SQL}, {TERMS_SQL}, {BM25_SQL} SELECT query_id, chunk_key, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM sparse",
-    "tf_embed": f"""WITH {_embed_sql('d', 'doc_id', 'text', 'documents')} SELECT doc_id, CAST(i.i AS INT) AS i, round(coalesce(CASE WHEN n > 0 THEN v / n END, 0), 6) AS v FROM documents CROSS JOIN range(0, 4) i(i) LEFT JOIN d_s s ON s.k = doc_id AND s.i = i.i LEFT JOIN d_n n ON n.k = doc_id""",
+    "tf_embed": f"""WITH {_embed_sql('d', 'doc_id', 'text', 'documents')} SELECT doc_id, CAST(i.i AS INT) AS i, round(coalesce(CASE WHEN n > 0 THEN v / n END, 0), 6) AS v FROM documents CROSS JOIN range(0, 64) i(i) LEFT JOIN d_s s ON s.k = doc_id AND s.i = i.i LEFT JOIN d_n n ON n.k = doc_id""",
     "hybrid_search": f"""WITH RECURSIVE {CORPUS_SQL}, {TERMS_SQL}, {BM25_SQL}, {_embed_sql('c', 'chunk_key', 'content', 'corpus')}, {_embed_sql('q', 'query_id', 'query', 'queries')},
         cosines AS (SELECT q.k AS query_id, c.k AS chunk_key, sum(q.v * c.v) AS d FROM q_s q JOIN c_s c USING (i) GROUP BY ALL),
         alls AS (SELECT query_id, chunk_key FROM queries, corpus),
