@@ -1,19 +1,24 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three machines are compiled from the model file and composed with each input:
-  normaliser   a blank is put before a text that is not empty, and every space becomes the blank U+2581;
-  lexicon      a path for each piece, and, for a character that is no piece, a path through its UTF-8 bytes' pieces;
-  adjacency    a state for each piece; the arc from piece a to piece b weighs 0 if the model's own merges leave "ab"
-               cut between a and b, and infinity otherwise.
-A merge-based (BPE) model's segmentation is the one sequence whose neighbours all are left apart by the merges, so the
-shortest path in the tropical semiring, which is the only one of finite weight, is exactly that segmentation.  As a
-prefix's best path is unique too, the search keeps one state for each position.
-
-No piece of such a model has a blank after another character, and none holds a line break, so inputs are cut before
-blanks and line breaks without changing any path, and cut parts that were met before are looked up.  For a model whose
-pieces do cross such places (it is checked) parts are whole texts.
-
-The model is read on the driver from a path that is a parameter, and its bytes are sent to the executors.
+Machines are compiled from the model file and composed with each input, lazily:
+  normaliser   the model's table of character sequences (longest match first; user-defined pieces pass unchanged),
+               blanks joined if the model says so, a blank before the text if it says so, spaces to the blank U+2581;
+  lexicon      a trie of arcs by character; where a piece ends, an arc back to its root that writes the piece and weighs
+               its negative score; a character that no piece is alone has a dearer path, through its UTF-8 bytes' pieces
+               or, in models without them, the unknown piece;
+  adjacency    for merge-based (BPE) models, in place of the scores: a state for each piece; the arc from piece a to piece
+               b weighs 0 if the model's own merges leave "ab" cut between a and b, and infinity otherwise.
+The encoding is the shortest path in the tropical semiring.  For a unigram model it is the path of the least sum of
+weights, found by relaxing the trie's arcs from every position; on ties the piece that starts first stays.  A BPE
+model's segmentation is the one sequence whose neighbours are all left apart by the merges, so the only path of finite
+weight is exactly it, and as a prefix's best path is unique too, the search keeps one state for each position.
+User-defined pieces are left alone by a BPE model's merges; in a unigram model they weigh what the format gives them.
+
+Where no piece has a blank after another character or holds a line break, which is checked, inputs are cut before
+blanks and line breaks without changing any path, and cut parts that were met before are looked up.
+
+The model is read on the driver from a path that is a parameter, and its bytes are sent to the executors.  Word and
+character models, and BPE models with unused pieces, are refused.
 
 Nulls: a null text has null ids from `encode`; the query counts it as empty.  An empty text has no pieces.  A text that
 itself holds U+2581 is decoded with a space in its place, as in any such model.  Repeated rows are each encoded.  Other columns
@@ -23,6 +28,7 @@ are ignored by the query and kept by `encode`, which replaces a column of the na
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from array import array
 from collections.abc import Iterator
@@ -44,7 +50,10 @@ GROUP = 2_000_000
 #: Longer parts are not remembered.
 LONGEST = 48
 
-_NORMAL, _UNKNOWN, _BYTE = 1, 2, 6  # piece types of the format
+_NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # piece types of the format
+_UNIGRAM, _BPE = 1, 2  # model types
+#: What an unknown character costs beyond the dearest piece, and what a user-defined piece gains for each byte but its first.
+UNKNOWN_COST, USER_GAIN = 10.0, 0.1
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -72,13 +81,75 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
             at += size
 
 
+class Normaliser:
+    """The machine compiled from a model's table: a double array over bytes, whose leaves point into a list of replacements."""
+
+    def __init__(self, table: bytes, own: list[str], prefix: bool, squeeze: bool):
+        size = struct.unpack("<I", table[:4])[0] if table else 0
+        self.units = struct.unpack(f"<{size // 4}I", table[4 : 4 + size]) if table else ()
+        self.out = table[4 + size :]
+        self.own = sorted(own, key=len, reverse=True)
+        self.heads = {n[0] for n in own}
+        self.prefix, self.squeeze = prefix, squeeze
+        self.identity = not (self.units or own or squeeze)
+
+    def _longest(self, raw: bytes, at: int) -> tuple[int, int]:
+        """End and leaf of the longest entry that begins here; (at, -1) without one."""
+        units, found = self.units, (at, -1)
+        unit = units[0]
+        node = (unit >> 10) << ((unit & 0x200) >> 6)
+        for k in range(at, len(raw)):
+            node ^= raw[k]
+            unit = units[node]
+            if unit & 0x800000FF != raw[k]:
+                break
+            node ^= (unit >> 10) << ((unit & 0x200) >> 6)
+            if unit >> 8 & 1:
+                found = (k + 1, units[node] & 0x7FFFFFFF)
+        return found
+
+    def _arcs(self, text: str) -> Iterator[str]:
+        """The text as the table's arcs write it, arc by arc."""
+        at = 0
+        while at < len(text):
+            mine = next((n for n in self.own if text.startswith(n, at)), None) if text[at] in self.heads else None
+            if mine is not None:
+                yield mine
+                at += len(mine)
+                continue
+            if self.units:
+                raw = text[at : at + 64].encode("utf-8", "surrogatepass")
+                end, leaf = self._longest(raw, 0)
+                if leaf >= 0:
+                    yield self.out[leaf : self.out.index(b"\0", leaf)].decode()
+                    at += len(raw[:end].decode("utf-8", "surrogatepass"))
+                    continue
+            yield text[at]
+            at += 1
+
+    def apply(self, text: str) -> str:
+        if self.identity:
+            return (BLANK if self.prefix and text else "") + text.replace(" ", BLANK)
+        made: list[str] = []
+        spaced = self.squeeze  # whether blanks at the start of what comes next go
+        for part in self._arcs(text):
+            if spaced:
+                part = part.lstrip(" ")
+            if part:
+                made.append(part)
+                spaced = self.squeeze and part.endswith(" ")
+        whole = "".join(made).replace(" ", BLANK)
+        if self.squeeze:
+            whole = whole.rstrip(BLANK)
+        return (BLANK if self.prefix and whole else "") + whole
+
+
 class Transducer:
     def __init__(self, model: bytes):
         self.names: list[str] = []
         self.scores: list[float] = []
         kinds: list[int] = []
-        self.prefix = True
-        self.squeeze = True
+        kind, prefix, squeeze, table = _UNIGRAM, True, True, b""
         for field, value in _fields(model):
             if field == 1:
                 piece = dict(_fields(value))
@@ -86,20 +157,33 @@ class Transducer:
                 self.scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
                 kinds.append(piece.get(3, _NORMAL))
             elif field == 2:
-                if dict(_fields(value)).get(3, 1) != 2:
-                    raise ValueError("only merge-based models are supported")
+                spec = dict(_fields(value))
+                kind = spec.get(3, _UNIGRAM)
+                if kind not in (_UNIGRAM, _BPE) or spec.get(24):
+                    raise ValueError("word and character models, and blanks as suffixes, are not supported")
             elif field == 3:
                 spec = dict(_fields(value))
-                self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
-                if spec.get(2) or self.squeeze:
-                    raise ValueError("only the identity normaliser is supported")
-        self.ids = {n: i for i, (n, k) in enumerate(zip(self.names, kinds, strict=True)) if k == _NORMAL}
+                prefix, squeeze, table = bool(spec.get(3, 1)), bool(spec.get(4, 1)), spec.get(2, b"")
+                if not spec.get(5, 1):
+                    raise ValueError("models that keep spaces are not supported")
+        self.unigram = kind == _UNIGRAM
+        if not self.unigram and _UNUSED in kinds:
+            raise ValueError("merge-based models with unused pieces are not supported")
+        typed = lambda *wanted: {n: i for i, (n, k) in enumerate(zip(self.names, kinds, strict=True)) if k in wanted}
+        self.ids, self.users = typed(_NORMAL), typed(_USER)
+        self.normaliser = Normaliser(table, list(self.users), prefix, squeeze)
+        self.prefix = prefix
         self.unknown = kinds.index(_UNKNOWN)
-        bytes_ = {int(n[1:-1], 16): i for i, (n, k) in enumerate(zip(self.names, kinds, strict=True)) if k == _BYTE}
-        self.bytes = [bytes_.get(b, self.unknown) for b in range(256)]
-        self.longest = max(map(len, self.ids), default=1)
-        self.raw = [bytes([int(n[1:-1], 16)]) if k == _BYTE else n.replace(BLANK, " ").encode() if k == _NORMAL else b"" for n, k in zip(self.names, kinds, strict=True)]
-        self.cuts = not any(BLANK in n.lstrip(BLANK) or "\n" in n for n in self.ids)
+        bytes_ = {int(n[1:-1], 16): i for n, i in typed(_BYTE).items()}
+        self.bytes = [bytes_.get(b, self.unknown) for b in range(256)] if bytes_ else None
+        self.raw = [bytes([int(n[1:-1], 16)]) if k == _BYTE else n.replace(BLANK, " ").encode() if k in (_NORMAL, _USER, _UNUSED) else " \u2047 ".encode() if k == _UNKNOWN else b"" for n, k in zip(self.names, kinds, strict=True)]
+        self.cuts = self.bytes is not None and not any(BLANK in n.lstrip(BLANK) or "\n" in n for n in (*self.ids, *self.users))
+        self.apart: dict[int, bool] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        if self.unigram:
+            self._lexicon()
+            return
         # a piece that the merges never make is on no path
         self.alive = {n: i for n, i in self.ids.items() if self.merged(n) == [n]}
         # lengths of pieces of three characters or more by their last three, longest first
@@ -108,9 +192,60 @@ class Transducer:
             if len(n) > 2:
                 tails.setdefault(n[-3:], set()).add(len(n))
         self.tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
-        self.apart: dict[int, bool] = {}
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+
+    def _lexicon(self) -> None:
+        """Arcs of the trie (a table of next states by character for each state), and pieces that end at a state, with their weights."""
+        scores = [self.scores[i] for i in self.ids.values()] or [0.0]
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[int, float] | None] = [None]
+        for n, i in (*self.ids.items(), *self.users.items()):
+            state = 0
+            for c in n:
+                if c not in self.arcs[state]:
+                    self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.ends.append(None)
+                state = self.arcs[state][c]
+            self.ends[state] = (i, -USER_GAIN * (len(n.encode()) - 1) if n in self.users else -self.scores[i])
+        self.strange = UNKNOWN_COST - min(scores)
+
+    def lightest(self, texts: list[str]) -> Iterator[list[int]]:
+        """For each normalised text the path of least weight through the lexicon."""
+        arcs, ends, root = self.arcs, self.ends, self.arcs[0]
+        for text in texts:
+            n = len(text)
+            weight, back, last = [math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+            weight[0] = 0.0
+            for at in range(n):
+                here, alone = weight[at], False
+                state, k = root.get(text[at]), at + 1
+                while state is not None:
+                    end = ends[state]
+                    if end is not None:
+                        alone |= k == at + 1
+                        if here + end[1] < weight[k]:
+                            weight[k], back[k], last[k] = here + end[1], at, end[0]
+                    state, k = arcs[state].get(text[k]) if k < n else None, k + 1
+                if not alone and here + self.strange < weight[at + 1]:
+                    weight[at + 1], back[at + 1], last[at + 1] = here + self.strange, at, -1
+            yield self._written(text, last, back)
+
+    def _written(self, text: str, last: list[int], back: list[int]) -> list[int]:
+        """The ids on the path that ends at the text's end; -1 stands for a character that is no piece."""
+        out: list[int] = []
+        at, strange = len(text), False
+        while at:
+            piece, start = last[at], back[at]
+            if piece >= 0:
+                out.append(piece)
+            elif self.bytes is not None:
+                out.extend(self.bytes[b] for b in reversed(text[start:at].encode("utf-8", "surrogatepass")))
+            elif not strange:  # a run of unknown characters is one piece
+                out.append(self.unknown)
+            strange = piece < 0
+            at = start
+        out.reverse()
+        return out
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges make of a short string: the best-scored pair of neighbours first, leftmost on ties."""
@@ -177,20 +312,29 @@ class Transducer:
                 last.append(best)
                 back.append(start)
             previous = text
-            out: list[int] = []
-            at = n
-            while at:
-                piece, start = last[at], back[at]
-                if piece >= 0:
-                    out.append(piece)
-                else:
-                    out.extend(self.bytes[b] for b in reversed(text[start:at].encode("utf-8", "surrogatepass")))
-                at = start
-            out.reverse()
-            yield out
+            yield self._written(text, last, back)
 
     def shortest(self, text: str) -> list[int]:
-        return next(self.paths([text]))
+        """The best path of one normalised text; around user-defined pieces, which merges leave alone, it is put together from parts."""
+        if self.unigram:
+            return next(self.lightest([text]))
+        if not self.users:
+            return next(self.paths([text]))
+        out: list[int] = []
+        at = start = 0
+        while at <= len(text):
+            mine = next((n for n in self.normaliser.own if text.startswith(n, at)), None) if at < len(text) else ""
+            if mine is None:
+                at += 1
+                continue
+            if start < at:
+                found = next(self.paths([text[start:at]]))
+                out += found[1:] if self.bytes is None and out and out[-1] == self.unknown == found[0] else found
+            if not mine:
+                break
+            out.append(self.users[mine])
+            at = start = at + len(mine)
+        return out
 
     def _cut(self, text: str) -> list[str]:
         """The text's parts: '\n' begins a part without a blank before it; other parts have one blank left off."""
@@ -217,12 +361,12 @@ class Transducer:
     def _learn(self, fresh: set[str]) -> None:
         ordered = sorted(fresh)
         whole = [w if w.startswith("\n") else BLANK + w for w in ordered]
-        for w, ids in zip(ordered, self.paths(whole), strict=True):
+        for w, ids in zip(ordered, (self.lightest if self.unigram else self.paths)(whole), strict=True):
             self.parts[w] = array("i", ids).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        if not (self.cuts and self.prefix):
-            return [np.array(self.shortest((BLANK if self.prefix and t else "") + t.replace(" ", BLANK)) if t else [], np.int32) for t in texts]
+        if not (self.cuts and self.prefix and self.normaliser.identity):
+            return [np.array(self.shortest(self.normaliser.apply(t)) if t else [], np.int32) for t in texts]
         cut = [None if BLANK in t else self._cut(t) if t else [] for t in texts]
         if len(self.parts) > REMEMBERED:
             self.parts, self.older = {}, self.parts

@@ -609,6 +609,56 @@ def test_pieces_are_the_library_s():
         assert machine.decode(ids) == t.replace("▁", " ")
 
 
+def model_file(pieces_, kind, normaliser=b"", byte_pieces=True):
+    """A model in the library's format.  pieces_: (text, score, type)."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    block = lambda field, raw: varint(field << 3 | 2) + varint(len(raw)) + raw
+    number = lambda field, n: varint(field << 3) + varint(n)
+    every = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if byte_pieces else []), *pieces_]
+    made = b"".join(block(1, block(1, n.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + number(3, k)) for n, s, k in every)
+    return made + block(2, number(3, kind) + number(35, int(byte_pieces))) + block(3, normaliser)
+
+
+@pytest.mark.parametrize("kind", ["unigram", "bpe"])
+@pytest.mark.parametrize("byte_pieces", [True, False])
+@pytest.mark.parametrize("spec", ["plain", "squeezed", "table"])
+def test_small_models_against_the_library(kind, byte_pieces, spec):
+    """Models with scores as weights, user-defined pieces, a normaliser's table, and with or without byte fallback."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    r = random.Random(8)
+    alphabet = ["a", "b", "c", pieces.BLANK, "é"]
+    names = dict.fromkeys(alphabet)
+    while len(names) < 120:  # every longer piece is made of two before it, as in a merge-based model
+        known = list(names)
+        new = r.choice(known) + r.choice(known)
+        if len(new) < 7 and pieces.BLANK not in new[1:]:
+            names[new] = None
+    if kind == "unigram":
+        scored = [(n, -r.randrange(64, 64 * 12) / 64 - 1 / (2 + i), 1) for i, n in enumerate(names)]
+    else:
+        scored = [(n, -float(i), 1) for i, n in enumerate(names)]
+    number = lambda field, n: bytes([field << 3, n])
+    own = [("<x>", 0.0, 4), ("cab", 0.0, 4)] if spec != "plain" or kind == "bpe" else []
+    scored = [x for x in scored if x[0] not in {n for n, _, _ in own}]
+    normaliser = {"plain": number(3, 1) + number(4, 0), "squeezed": number(3, 1) + number(4, 1), "table": b""}[spec]
+    if spec == "table":
+        found = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+        normaliser = next(v for f, v in pieces._fields(found) if f == 3)
+    raw = model_file(scored + own, 1 if kind == "unigram" else 2, normaliser, byte_pieces)
+    machine, library = pieces.Transducer(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    bits = [*"abc", "ab", "é", " ", "  ", "<x>", "cab", "Z", "日", "\n", "ﬁ", "①", "e\u0301", "\u3000", "\u200b", "ｶﾞ"]
+    texts = ["", " ", "a", *["".join(r.choice(bits) for _ in range(r.randint(1, 20))) for _ in range(600)]]
+    for t, ids in zip(texts, machine.encode_all(texts), strict=True):
+        assert ids.tolist() == library.encode(t), repr(t)
+
+
 def test_forgetting_does_not_change_pieces(monkeypatch):
     with open(pieces.MODEL, "rb") as f:
         raw = f.read()
