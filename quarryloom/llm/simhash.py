@@ -22,10 +22,11 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryloom.llm.common import cut, join_hot
+from quarryloom.llm.common import cut, fresh_dir, join_hot
 from quarryloom.sources.tables import spread
 
 SHINGLE = 3
@@ -315,7 +316,7 @@ PAIRS = 1 << 21
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, side, node, size, place, root) come sorted by task.  Gives the pairs of a task that may reach 4/5."""
+    """Rows (task, side, node, at, root) come sorted by task.  Gives the pairs of a task that may reach 4/5."""
     held: list[np.ndarray] = []
     waiting = 0
 
@@ -332,7 +333,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.repeat(np.arange(at, to), n)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
             at = to
-            side, size, place, root = (x[k] for k in (1, 3, 4, 5))
+            side, size, place, root = x[1], x[3] >> 32, x[3] & 0xFFFFFFFF, x[4]
             can = ((side[i] != side[j]) | (crossed[i] == 0)) & (root[i] != root[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
             i, j = i[can], j[can]
             can = 9 * np.minimum(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])
@@ -343,7 +344,8 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("task", "side", "node", "size", "place", "root")]))
+        root = pc.coalesce(batch.column("root"), batch.column("node"))
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (*(batch.column(n) for n in ("task", "side", "node", "at")), root)]))
         waiting += batch.num_rows
         if waiting >= ROWS:
             x = np.concatenate(held, 1)
@@ -356,15 +358,16 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sharing(keyed: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
-    """keyed: key, node, size, place, root.  Columns a, b: distinct pairs of different roots that share a key and may reach 4/5 by size and place.
+    """keyed: key, node, at (size and place of the key, in one number), root (null where it is the node itself).
+    Columns a, b: distinct pairs of different roots that share a key and may reach 4/5 by size and place.
 
     A key of more than `bucket` nodes is dealt into cells, and each pair of cells is a task of its own.
     """
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = keyed.join(counts, "key").withColumn("cells", F.when(F.col("n") <= bucket, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / bucket)).cast("int"))
     celled = found.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(1)), F.col("cells")).cast("int"))
     dealt = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    tasks = dealt.select(F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("task"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "node", "size", "place", "root")
+    tasks = dealt.select(F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("task"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "node", "at", "root")
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_paired, "a long, b long").distinct()
 
@@ -381,7 +384,10 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataF
 
     def verified(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
-        texts = docs.select("mark", "text").join(named, "mark").dropDuplicates(["node"])
+        where = fresh_dir(docs.sparkSession, "named")
+        named.write.parquet(where)
+        # the names are broadcast if their file's size is under Spark's threshold; then only their texts are moved
+        texts = docs.select("mark", "text").join(docs.sparkSession.read.schema(named.schema).parquet(where), "mark").dropDuplicates(["node"])
         side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         return cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle), "a long, b long"))
 
@@ -394,9 +400,11 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataF
     close = verified(tried)
     roots = components(close)
 
-    sets = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
-    rooted = cut(sets.join(roots, "node", "left").select("node", "size", "keys", F.coalesce("root", "node").alias("root")))
-    keyed = rooted.select("node", "size", "root", F.posexplode("keys").alias("place", "key"))
+    # the size goes with the keys, so that both readers of this grouping need the same columns, and one exchange
+    sets = prints.groupBy("node").agg(F.first(F.concat(F.array("size"), "keys")).alias("keys"))
+    rooted = sets.join(roots, "node", "left").select("node", "keys", F.nullif("root", "node").alias("root"))
+    placed = rooted.select("node", "root", F.element_at("keys", 1).alias("size"), F.posexplode(F.slice("keys", 2, F.size("keys"))).alias("place", "key"))
+    keyed = placed.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("at"), "root")
     rest = cut(sharing(keyed).join(tried, ["a", "b"], "left_anti"))
     found = components(close.unionByName(verified(rest)))
     named = cut(nodes.join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
