@@ -59,9 +59,9 @@ def counts(text: str | None, piece: int = PIECE) -> np.ndarray:
     """Bytes by kind, then words, their bytes, distinct words, repeats of the word before, distinct pairs, short words, words that end in an odd byte, lines, distinct lines."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     out = np.zeros(COUNTS)
-    types: set[bytes] = set()
-    pairs: set[tuple[bytes, bytes]] = set()
-    at, last = 0, []
+    types: dict[bytes, int] = {}
+    pairs = [np.zeros(0, np.int64)]
+    at, last = 0, np.zeros(0, np.int64)
     while at < len(raw):
         found = _BLANK.search(raw, at + piece) if at + piece < len(raw) else None
         to = found.start() if found else len(raw)
@@ -69,15 +69,14 @@ def counts(text: str | None, piece: int = PIECE) -> np.ndarray:
         at = to
         out[:KINDS] += np.bincount(_KIND[np.frombuffer(part, np.uint8)], minlength=KINDS)
         words = part.split()
-        led = last + words  # with the word before
-        same = sum(map(bytes.__eq__, led, led[1:]))
+        led = np.concatenate((last, np.array([types.setdefault(w, len(types)) for w in words], np.int64)))  # with the word before
+        same = (led[1:] == led[:-1]).sum()
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        types.update(words)
-        pairs.update(zip(led, led[1:], strict=False))
+        pairs.append(np.unique(led[:-1] << 32 | led[1:]))
         out[[KINDS, KINDS + 1, KINDS + 3, KINDS + 5, KINDS + 6]] += [len(words), lengths.sum(), same, (lengths <= 3).sum(), sum(w[-1] in _ODD for w in words)]
         last = led[-1:]
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    out[[KINDS + 2, KINDS + 4, KINDS + 7, KINDS + 8]] = [len(types), len(pairs), len(lines), len(set(lines))]
+    out[[KINDS + 2, KINDS + 4, KINDS + 7, KINDS + 8]] = [len(types), len(np.unique(np.concatenate(pairs))), len(lines), len(set(lines))]
     return out
 
 

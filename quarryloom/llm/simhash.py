@@ -246,11 +246,20 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.frombuffer(made, ">u8").astype(np.uint64))
 
 
+#: Keys that similar sets of many shingles share at least.
+SHARED = 4
+
+
+def _least_shared(size):
+    """How many of their keys two similar sets, of which the smaller has this size, share at least."""
+    return np.minimum(1 + size // 16, SHARED)
+
+
 def shingle_prints(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, common: np.ndarray | None = None) -> DataFrame:
     """docs: doc_id, text, mark.  Columns: doc_id, mark, node (equal sets of shingles have one), fp (of the set), size, keys.
 
     keys are a set's first shingles in one order for all sets, those of `common` (sorted by frequency) last.  They are so
-    many that two sets of similarity 4/5 or more share one.
+    many that two sets of similarity 4/5 or more share `_least_shared` of them.
     """
     order = np.argsort(common) if common is not None and len(common) else None
     known = common[order] if order is not None else None
@@ -271,7 +280,7 @@ def shingle_prints(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, common: np.
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     # the most frequent ones have the lowest place in `common`, and come last
                     x = x[np.argsort(np.where(known[at] == x, len(known) - order[at], 0), kind="stable")]
-                keys.append(x[: n - (4 * n + 4) // 5 + 1] if n else x)
+                keys.append(x[: n - (4 * n + 4) // 5 + int(_least_shared(n))] if n else x)
             longs = [pa.array(np.array(c, np.uint64).astype(np.int64)) for c in (nodes, fps, sizes)]
             ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.int64)))
@@ -312,7 +321,7 @@ def _similar(shingle: int):
 
 
 #: Pairs of rows of whole tasks that are looked at together.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,10 +345,13 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             side, size, place, root = x[1], x[3] >> 32, x[3] & 0xFFFFFFFF, x[4]
             can = ((side[i] != side[j]) | (crossed[i] == 0)) & (root[i] != root[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
             i, j = i[can], j[can]
-            can = 9 * np.minimum(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j])
-            a, b = x[2][i[can]], x[2][j[can]]
-            both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            # what a pair can share is no more than the keys before this one and what follows; it must hold for the first SHARED
+            can = 9 * (np.minimum(size[i] - place[i], size[j] - place[j]) + SHARED - 1) >= 4 * (size[i] + size[j])
+            i, j = i[can], j[can]
+            a, b = x[2][i], x[2][j]
+            need = _least_shared(np.minimum(size[i], size[j]))
+            both, count = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b), need)), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, both), pa.array(count)], ["a", "b", "need", "n"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -359,7 +371,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sharing(keyed: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     """keyed: key, node, at (size and place of the key, in one number), root (null where it is the node itself).
-    Columns a, b: distinct pairs of different roots that share a key and may reach 4/5 by size and place.
+    Columns a, b: distinct pairs of different roots that share as many keys as similar sets do and may reach 4/5 by size and place.
 
     A key of more than `bucket` nodes is dealt into cells, and each pair of cells is a task of its own.
     """
@@ -369,7 +381,8 @@ def sharing(keyed: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     dealt = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     tasks = dealt.select(F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("task"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "node", "at", "root")
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_paired, "a long, b long").distinct()
+    found = tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_paired, "a long, b long, need long, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
 
 
 def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataFrame:
@@ -406,6 +419,12 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataF
     placed = rooted.select("node", "root", F.element_at("keys", 1).alias("size"), F.posexplode(F.slice("keys", 2, F.size("keys"))).alias("place", "key"))
     keyed = placed.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("at"), "root")
     rest = cut(sharing(keyed).join(tried, ["a", "b"], "left_anti"))
+    # first each node with one other, the smallest: most similar ones are in one component after that, and their other pairs need no look
+    star = cut(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    close = cut(close.unionByName(verified(star)))
+    roots = components(close)
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rest = cut(rest.join(star, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
     found = components(close.unionByName(verified(rest)))
     named = cut(nodes.join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
     return join_hot(prints.select("doc_id", "mark", "node"), named, "node", "n").select("doc_id", "mark", "root")
