@@ -36,13 +36,18 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     one stays.  Null texts count as empty; texts without words are one component.  Rows are told apart by id and text,
     so different texts under one id, or without one, are different documents.  An empty table stays empty.
     """
+    key, name = lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), m), free_name(docs, "row_key")
     found = simhash.similar_documents(docs)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s"))
-    key, name = lambda i, m: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), m), free_name(docs, "row_key")
     stay = first.select(key(F.col("s.doc_id"), F.col("s.mark")).alias(name))
+    rows = found.groupBy(key(F.col("doc_id"), F.col("mark")).alias(name)).agg(F.count(F.lit(1)).alias("n")).join(stay.withColumn("stays", F.lit(True)), name, "left")
+    where = fresh_dir(spark, "rows")
+    rows.where("stays is null or n > 1").write.parquet(where)
+    # of what is left out or repeated; broadcast if its file's size is under Spark's threshold, then no other text is moved
+    odd = spark.read.schema(f"{name} string, n long, stays boolean").parquet(where)
     marked = docs.withColumn(name, key(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit("")))))
-    # the texts are moved once: the join leaves them dealt and sorted by the key, as dropping repeated rows needs them
-    return marked.join(stay, name, "left_semi").dropDuplicates([name]).select(docs.columns)
+    once = marked.join(odd.where("stays").select(name), name, "left_semi").dropDuplicates([name])
+    return marked.join(odd.select(name), name, "left_anti").unionByName(once).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
