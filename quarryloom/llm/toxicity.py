@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryloom.llm.common import fold, fresh_dir
+from quarryloom.llm.common import fold
 from quarryloom.sources.tables import spread
 
 ORDER = 5
 DISCOUNT = 0.9
 #: Labelled rows of each class that the calibration sees at most.
 CALIBRATION_ROWS = 4000
+#: Labels that are broadcast at most (about 20 bytes each), so that texts need not be moved to meet them.
+BROADCAST_LABELS = 1_000_000
 #: The share of labelled rows (in sixteenths) that the models do not see, but the calibration.
 HELD_BACK = 4
 #: A word counts as toxic by what its log-likelihood ratio exceeds this.
@@ -206,13 +208,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     count = {r.label: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = count.get(1, 0) / max(1, sum(count.values()))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    where = fresh_dir(docs.sparkSession, "learnable")
-    known.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(16))).write.parquet(where)
-    # read again, for Spark then knows its size and, if that is under its threshold, broadcasts it instead of moving the texts
-    parted = docs.sparkSession.read.parquet(where)
+    parted = known.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(16)))
     few = lambda y: parted.where((F.col("part") < HELD_BACK) & (F.col("label") == y)).orderBy(F.xxhash64("id"), "id").limit(rows)
     drawn = F.broadcast(few(0).unionByName(few(1)))  # 2 * rows rows at most
-    counts = texts.join(parted.where(F.col("part") >= HELD_BACK), "id").select("text", "label").mapInArrow(_count, "key long, toxic long, ordinary long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
+    learnt = parted.where(F.col("part") >= HELD_BACK)
+    if sum(count.values()) <= BROADCAST_LABELS:  # counted above; beyond it the texts are moved
+        learnt = F.broadcast(learnt)
+    counts = texts.join(learnt, "id").select("text", "label").mapInArrow(_count, "key long, toxic long, ordinary long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
     if not len(counts) or not counts.toxic.any() or not counts.ordinary.any():
         return share
     counts = counts.sort_values("key")
