@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def filed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder: a join broadcasts them if their files' size is under Spark's threshold."""
+    where = fresh_dir(df.sparkSession, "filed")
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def fold(id_column: str, mod: int) -> F.Column:
     """crc32 of the id's decimal text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % F.lit(mod)

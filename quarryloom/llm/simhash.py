@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryloom.llm.common import cut, fresh_dir, join_hot
+from quarryloom.llm.common import cut, filed, join_hot
 from quarryloom.sources.tables import spread
 
 SHINGLE = 3
@@ -248,6 +248,8 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
 
 #: Keys that similar sets of many shingles share at least.
 SHARED = 4
+#: Nodes of a key above which it takes part in the stars, and turns of them.  They only spare pairs: any numbers find the same components.
+STAR, TURNS = 3, 2
 
 
 def _least_shared(size):
@@ -369,18 +371,43 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from made(np.concatenate(held, 1))
 
 
-def sharing(keyed: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
-    """keyed: key, node, at (size and place of the key, in one number), root (null where it is the node itself).
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows (key, node, at) of keys that several nodes have, with n, the number of their nodes."""
+    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+
+
+def stars(shared: DataFrame, roots: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
+    """Columns a, b: for each node at most one other of a different root, a hub of keys that it has, with which it shares enough of them.
+
+    Only keys of more than STAR nodes count; other keys have few pairs.  On the first turn a key's hub is the node most of
+    whose keys are such ones (copies that were changed have keys of their own, what they were made from has fewer), and
+    then one by hash.  A hub is a maximum, so a key of any size is combined before it is moved, and its rows meet the hub alone.
+    """
+    hot = shared.where(F.col("n") > STAR)
+    share = hot.groupBy("node").agg((F.count(F.lit(1)) / (F.first(F.shiftright("at", 32)) + 20)).alias("rank")) if turn == 0 else None
+    ranked = hot.join(filed(share), "node") if turn == 0 else hot.withColumn("rank", F.xxhash64("node", F.lit(turn)))
+    size = F.shiftright("at", 32)
+    rooted = ranked.join(roots, "node", "left").select("key", "node", "rank", size.alias("size"), F.coalesce("root", "node").alias("root"))
+    hubs = rooted.groupBy("key").agg(F.max(F.struct("rank", "node", "size", "root")).alias("hub"), F.count(F.lit(1)).alias("n"))
+    met = join_hot(rooted, cut(hubs), "key", "n").where("root != hub.root and 5 * least(size, hub.size) >= 4 * greatest(size, hub.size)")
+    pairs = met.groupBy("node", F.col("hub.node").alias("other")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("size", "hub.size")).alias("size"))
+    enough = pairs.where(F.col("n") >= F.least(1 + F.floor(F.col("size") / 16), F.lit(SHARED)))
+    best = enough.groupBy("node").agg(F.max(F.struct("n", "other")).alias("best"))
+    named = best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+    return named.join(tried, ["a", "b"], "left_anti")
+
+
+def sharing(shared: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
+    """shared: key, node, at (size and place of the key, in one number), root (null where it is the node itself), n.
     Columns a, b: distinct pairs of different roots that share as many keys as similar sets do and may reach 4/5 by size and place.
 
     A key of more than `bucket` nodes is dealt into cells, and each pair of cells is a task of its own.
     """
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = keyed.join(counts, "key").withColumn("cells", F.when(F.col("n") <= bucket, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / bucket)).cast("int"))
+    found = shared.withColumn("cells", F.when(F.col("n") <= bucket, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / bucket)).cast("int"))
     celled = found.withColumn("cell", F.pmod(F.xxhash64("node", F.lit(1)), F.col("cells")).cast("int"))
     dealt = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     tasks = dealt.select(F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other")).alias("task"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "node", "at", "root")
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_paired, "a long, b long, need long, n long")
     return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
 
@@ -397,10 +424,8 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataF
 
     def verified(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
-        where = fresh_dir(docs.sparkSession, "named")
-        named.write.parquet(where)
-        # the names are broadcast if their file's size is under Spark's threshold; then only their texts are moved
-        texts = docs.select("mark", "text").join(docs.sparkSession.read.schema(named.schema).parquet(where), "mark").dropDuplicates(["node"])
+        # then only their texts are moved
+        texts = docs.select("mark", "text").join(filed(named), "mark").dropDuplicates(["node"])
         side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         return cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle), "a long, b long"))
 
@@ -415,14 +440,19 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataF
 
     # the size goes with the keys, so that both readers of this grouping need the same columns, and one exchange
     sets = prints.groupBy("node").agg(F.first(F.concat(F.array("size"), "keys")).alias("keys"))
-    rooted = sets.join(roots, "node", "left").select("node", "keys", F.nullif("root", "node").alias("root"))
-    placed = rooted.select("node", "root", F.element_at("keys", 1).alias("size"), F.posexplode(F.slice("keys", 2, F.size("keys"))).alias("place", "key"))
-    keyed = placed.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("at"), "root")
-    rest = cut(sharing(keyed).join(tried, ["a", "b"], "left_anti"))
-    # first each node with one other, the smallest: most similar ones are in one component after that, and their other pairs need no look
+    placed = sets.select("node", F.element_at("keys", 1).alias("size"), F.posexplode(F.slice("keys", 2, F.size("keys"))).alias("place", "key"))
+    shared = cut(shared_keys(placed.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("at"))))
+    # each node with one other first: most similar ones are in one component after that, and their other pairs are never listed
+    for turn in range(TURNS):
+        star = cut(stars(shared, filed(roots), tried, turn))
+        tried, close = tried.unionByName(star), cut(close.unionByName(verified(star)))
+        roots = components(close)
+
+    rooted = shared.join(filed(roots), "node", "left").withColumn("root", F.nullif("root", "node"))
+    rest = cut(sharing(rooted).join(tried, ["a", "b"], "left_anti"))
     star = cut(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     close = cut(close.unionByName(verified(star)))
-    roots = components(close)
+    roots = filed(components(close))
     root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     rest = cut(rest.join(star, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
     found = components(close.unionByName(verified(rest)))
