@@ -438,9 +438,11 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataF
     close = verified(tried)
     roots = components(close)
 
-    # the size goes with the keys, so that both readers of this grouping need the same columns, and one exchange
-    sets = prints.groupBy("node").agg(F.first(F.concat(F.array("size"), "keys")).alias("keys"))
-    placed = sets.select("node", F.element_at("keys", 1).alias("size"), F.posexplode(F.slice("keys", 2, F.size("keys"))).alias("place", "key"))
+    # of rows with equal sets the first one gives the keys; only the nodes of several rows are named, so that keys are not grouped
+    numbered = prints.withColumn("row", F.monotonically_increasing_id())
+    several = numbered.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "first")
+    sets = numbered.join(filed(several), "node", "left").where("first is null or first = row")
+    placed = sets.select("node", "size", F.posexplode("keys").alias("place", "key"))
     shared = cut(shared_keys(placed.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("at"))))
     # each node with one other first: most similar ones are in one component after that, and their other pairs are never listed
     for turn in range(TURNS):
