@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from quarryloom.llm.chroma import op8_chroma
+from quarryloom.llm.codes import OP11_SQL, op11_codes
 from quarryloom.llm.decontaminate import OP5_SQL, op5_decontaminate
+from quarryloom.llm.personal import op12_personal
 from quarryloom.llm.pieces import op4_sentencepiece
 from quarryloom.llm.quality import op3_quality
+from quarryloom.llm.resampling import op13_resampling
 from quarryloom.llm.secrets import op2_secrets
 from quarryloom.llm.sharding import op7_sharding
 from quarryloom.llm.simhash import op9_simhash
@@ -24,10 +27,14 @@ QUERIES = {
     "op8_chroma": op8_chroma,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_codes": op11_codes,
+    "op12_personal": op12_personal,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op5_decontaminate": OP5_SQL,
     "op6_substrings": OP6_SQL,
+    "op11_codes": OP11_SQL,
 }
