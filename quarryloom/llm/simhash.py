@@ -248,8 +248,10 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
 
 #: Keys that similar sets of many shingles share at least.
 SHARED = 4
-#: Nodes of a key above which it takes part in the stars, and turns of them.  They only spare pairs: any numbers find the same components.
-STAR, TURNS = 3, 2
+#: Nodes of a key above which they meet in a group, and are not listed in pairs.
+HOT = 32
+#: Nodes and shingles of a group that one task compares; bits of a sketch.
+CELL, HELD, SKETCH = 1024, 2_000_000, 4096
 
 
 def _least_shared(size):
@@ -305,23 +307,6 @@ def common_shingles(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> np.ndar
     return found.toPandas().h.to_numpy(np.int64).astype(np.uint64)
 
 
-def _similar(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose sets of shingles have a similarity of 4/5 or more."""
-        last, x = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            near = []
-            for a, t, u in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                if a != last:
-                    last, x = a, hashes(t.as_py(), shingle)
-                y = hashes(u.as_py(), shingle)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(5 * both >= 4 * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return run
-
-
 #: Pairs of rows of whole tasks that are looked at together.
 PAIRS = 1 << 19
 
@@ -376,27 +361,6 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
 
 
-def stars(shared: DataFrame, roots: DataFrame, tried: DataFrame, turn: int) -> DataFrame:
-    """Columns a, b: for each node at most one other of a different root, a hub of keys that it has, with which it shares enough of them.
-
-    Only keys of more than STAR nodes count; other keys have few pairs.  On the first turn a key's hub is the node most of
-    whose keys are such ones (copies that were changed have keys of their own, what they were made from has fewer), and
-    then one by hash.  A hub is a maximum, so a key of any size is combined before it is moved, and its rows meet the hub alone.
-    """
-    hot = shared.where(F.col("n") > STAR)
-    share = hot.groupBy("node").agg((F.count(F.lit(1)) / (F.first(F.shiftright("at", 32)) + 20)).alias("rank")) if turn == 0 else None
-    ranked = hot.join(filed(share), "node") if turn == 0 else hot.withColumn("rank", F.xxhash64("node", F.lit(turn)))
-    size = F.shiftright("at", 32)
-    rooted = ranked.join(roots, "node", "left").select("key", "node", "rank", size.alias("size"), F.coalesce("root", "node").alias("root"))
-    hubs = rooted.groupBy("key").agg(F.max(F.struct("rank", "node", "size", "root")).alias("hub"), F.count(F.lit(1)).alias("n"))
-    met = join_hot(rooted, cut(hubs), "key", "n").where("root != hub.root and 5 * least(size, hub.size) >= 4 * greatest(size, hub.size)")
-    pairs = met.groupBy("node", F.col("hub.node").alias("other")).agg(F.count(F.lit(1)).alias("n"), F.first(F.least("size", "hub.size")).alias("size"))
-    enough = pairs.where(F.col("n") >= F.least(1 + F.floor(F.col("size") / 16), F.lit(SHARED)))
-    best = enough.groupBy("node").agg(F.max(F.struct("n", "other")).alias("best"))
-    named = best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
-    return named.join(tried, ["a", "b"], "left_anti")
-
-
 def sharing(shared: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     """shared: key, node, at (size and place of the key, in one number), root (null where it is the node itself), n.
     Columns a, b: distinct pairs of different roots that share as many keys as similar sets do and may reach 4/5 by size and place.
@@ -412,52 +376,109 @@ def sharing(shared: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
 
 
-def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> DataFrame:
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """For each of SKETCH buckets whether it has an odd number of hashes: two sketches differ in no more bits than their sets in hashes."""
+    return np.packbits((np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def united(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of pairs of similarity 4/5 or more, which joins all rows of different roots that such pairs join; of two sides, pairs across only.
+
+    Similar sets differ in a ninth of their sizes' sum at most; sketches that differ in more bits are passed over, others are compared whole.
+    """
+    size = np.array([len(x) for x in sets])
+    sketch = np.stack([odd_sketch(x) for x in sets])
+    label = np.unique(root, return_inverse=True)[1]
+    crossed, out = bool(side.any()), []
+    for i in range(len(sets) - 1):
+        can = (label[i + 1 :] != label[i]) & (5 * np.minimum(size[i], size[i + 1 :]) >= 4 * np.maximum(size[i], size[i + 1 :]))
+        if crossed:
+            can &= side[i + 1 :] != side[i]
+        j = np.flatnonzero(can) + i + 1
+        j = j[9 * np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64) <= size[i] + size[j]]
+        for k in j.tolist():
+            if label[k] != label[i]:
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 9 * both >= 4 * (size[i] + size[k]):
+                    out.append((i, k))
+                    label[label == label[k]] = label[i]
+    return out
+
+
+def _united(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (task, side, node, root, text) come sorted by task; one task's sets are held."""
+        task, rows = None, []
+
+        def made() -> pa.RecordBatch:
+            nodes = np.array([r[1] for r in rows], np.int64)
+            pairs = united([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[0] for r in rows])) if len(rows) > 1 else []
+            at = np.array(pairs, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[at[:, 0]]), pa.array(nodes[at[:, 1]])], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("task", "side", "node", "root")]
+            for t, side, node, root, text in zip(*columns, batch.column("text"), strict=True):
+                if t != task:
+                    if rows:
+                        yield made()
+                    task, rows = t, []
+                rows.append((side, node, root, hashes(text.as_py(), shingle)))
+        if rows:
+            yield made()
+
+    return run
+
+
+def unite(groups: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingle: int = STAGE_SHINGLE, cell: int = CELL, most: int = HELD) -> DataFrame:
+    """groups: group, node.  nodes: node, mark, size, root.  Columns a, b: forests that join what pairs of similarity 4/5 or more within a group join.
+
+    A group of more than `cell` nodes, or `most` shingles, is dealt into cells, and each pair of cells is a task of its own, to which
+    each text goes once: pairs are neither listed nor moved.
+    """
+    members = cut(groups.distinct().join(nodes.drop("mark"), "node"))
+    facts = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("root").alias("low"), F.max("root").alias("high"))
+    share = F.greatest(F.col("n") * 2 / cell, F.col("total") * 2 / most)
+    apart = cut(facts.where("low < high").select("group", "n", F.when((F.col("n") <= cell) & (F.col("total") <= most), F.lit(1)).otherwise(F.ceil(share)).cast("int").alias("cells")))
+    celled = join_hot(members, apart, "group", "n").withColumn("cell", F.pmod(F.xxhash64("node", F.lit(1)), F.col("cells")).cast("int"))
+    dealt = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    tasks = dealt.select(F.xxhash64("group", F.least("cell", "other"), F.greatest("cell", "other")).alias("task"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "node", "root")
+    wanted = filed(members.join(apart.select("group"), "group", "left_semi").select("node").distinct().join(nodes.select("node", "mark"), "node"))
+    texts = docs.select("mark", "text").join(wanted, "mark").dropDuplicates(["node"]).select("node", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(tasks.join(texts, "node").repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_united(shingle), "a long, b long"))
+
+
+def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, hot: int = HOT, cell: int = CELL) -> DataFrame:
     """Columns: doc_id, mark (MD5 of the text, a null one as empty), root.  Components of all pairs whose sets of shingles have a Jaccard similarity of 4/5 or more.
 
-    Pairs that fingerprints find are compared first, as a forest of them is few rows however large a group; then every
-    pair of different components that shares a key and can reach 4/5 by its sizes and the key's places, so none is lost.
+    Groups in which similar sets meet: first components of fingerprints within the error budget, each compared by its sets.  Then, of sets
+    that are still apart, every similar pair shares some of its keys.  If one of them is a key of more than `hot` nodes, both are in the
+    group of that key's hub (one node for each key, so that the many keys of one large group make few groups); if none is, the
+    pair shares so many of the other keys that it is counted as a candidate, and components of candidates are groups.  So no pair is lost.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
-    prints = cut(shingle_prints(docs, shingle=shingle, common=common_shingles(docs, shingle=shingle)))
-    nodes = prints.groupBy("node").agg(F.min("mark").alias("mark"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "mark"), "node")
-        # then only their texts are moved
-        texts = docs.select("mark", "text").join(filed(named), "mark").dropDuplicates(["node"])
-        side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        return cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle), "a long, b long"))
-
-    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    ends = links(first.select("fp"))
-    named = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}"))
-    across = ends.join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
-    within = nodes.join(first, "fp").select(F.col("node").alias("x"), F.col("first").alias("y"))
-    tried = cut(across.unionByName(within).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    close = verified(tried)
-    roots = components(close)
+    prints = cut(shingle_prints(docs, shingle=shingle, common=common_shingles(docs, shingle=shingle)).withColumn("row", F.monotonically_increasing_id()))
+    nodes = cut(prints.groupBy("node").agg(F.min("mark").alias("mark"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("row").alias("first"), F.count(F.lit(1)).alias("n")))
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        return nodes.select("node", "mark", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    prints_of = nodes.join(components(links(nodes.select("fp").distinct())).withColumnRenamed("node", "fp"), "fp", "left")
+    close = unite(prints_of.select(F.coalesce("root", "fp").alias("group"), "node"), nodes.select("node", "mark", "size", F.col("node").alias("root")), docs, shingle=shingle, cell=cell)
+    known = filed(rooted(components(close)))
 
     # of rows with equal sets the first one gives the keys; only the nodes of several rows are named, so that keys are not grouped
-    numbered = prints.withColumn("row", F.monotonically_increasing_id())
-    several = numbered.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "first")
-    sets = numbered.join(filed(several), "node", "left").where("first is null or first = row")
+    sets = prints.join(filed(nodes.where("n > 1").select("node", "first")), "node", "left").where("first is null or first = row")
     placed = sets.select("node", "size", F.posexplode("keys").alias("place", "key"))
     shared = cut(shared_keys(placed.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("at"))))
-    # each node with one other first: most similar ones are in one component after that, and their other pairs are never listed
-    for turn in range(TURNS):
-        star = cut(stars(shared, filed(roots), tried, turn))
-        tried, close = tried.unionByName(star), cut(close.unionByName(verified(star)))
-        roots = components(close)
-
-    rooted = shared.join(filed(roots), "node", "left").withColumn("root", F.nullif("root", "node"))
-    rest = cut(sharing(rooted).join(tried, ["a", "b"], "left_anti"))
-    star = cut(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    close = cut(close.unionByName(verified(star)))
-    roots = filed(components(close))
-    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    rest = cut(rest.join(star, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    found = components(close.unionByName(verified(rest)))
+    many = shared.where(F.col("n") > hot).select("key", "node")
+    hubs = filed(many.groupBy("key").agg(F.max(F.struct(F.xxhash64("node").alias("rank"), "node")).alias("hub"), F.count(F.lit(1)).alias("n")).select("key", F.col("hub.node").alias("group"), "n"))
+    few = shared.where(F.col("n") <= hot).join(known.select("node", F.nullif("root", "node").alias("root")), "node", "left")
+    candidates = components(sharing(few, bucket=hot))
+    groups = join_hot(many, hubs, "key", "n").select("group", "node").unionByName(candidates.select(F.col("root").alias("group"), "node")).unionByName(candidates.select(F.col("root").alias("group"), F.col("root").alias("node")))
+    more = unite(groups, known, docs, shingle=shingle, cell=cell)
+    found = components(close.unionByName(more))
     named = cut(nodes.join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
     return join_hot(prints.select("doc_id", "mark", "node"), named, "node", "n").select("doc_id", "mark", "root")
 
