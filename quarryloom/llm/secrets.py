@@ -15,10 +15,11 @@ p-values are made continuous by a number from the token's own hash, so they are
 20 characters on.  The least of the three, as of three independent ones, is the token's p-value.
 
 False discoveries.  A token is reported as random if its p-value is over a threshold of its stratum of length.  Random
-tokens have uniform p-values, ordinary ones small ones: from the count of p-values over LEVEL the number of random tokens is
-estimated (with its standard error added, as a missed secret is worse than a false alarm), and so is, for each threshold,
-the share of reported tokens that are not random.  The lowest threshold is
-taken at which, as at all higher ones, that share is at most FALSE_RATE.  It comes from counts of p-values in fine
+tokens have uniform p-values, ordinary ones crowd towards zero.  From the count of p-values over LEVEL, less the ordinary
+ones that the band below 0.1 lets expect there and less a standard error, the number of random tokens is estimated, and
+from it, for each threshold, the share of reported tokens that are not random; where many tokens show no ordinary one in the band,
+all p-values above it count instead.  The lowest threshold is taken at which, as at all higher ones, that share is at most
+FALSE_RATE; where it is more even over LEVEL (few random tokens among many), nothing is reported.  It comes from counts of p-values in fine
 bins, so the driver sees one row a stratum and no task sees more than the bins.
 
 Base spans stay whatever their verdict; tokens outside them that are reported are added as spans of the kind `random`.
@@ -52,6 +53,11 @@ FALSE_RATE = 0.05
 #: Bins of the logarithm of p: their width, their number, and those whose p-values are nearly all of random tokens (p over LEVEL).
 BIN, BINS, SURE = 0.05, 1200, 14
 LEVEL = math.exp(-BIN * SURE)
+#: Of random tokens the share over LEVEL is up to EVEN of an even one, as p-values are discrete.  Ordinary tokens over LEVEL are taken to be TAIL of
+#: those in the bins of BAND (p from 0.05 to 0.1) at most: their p-values crowd towards zero.
+EVEN, BAND, TAIL = 0.94, (46, 59), 0.16
+#: Tokens above the band from which it can be called empty of ordinary ones, and the share of the rate that is used then.
+ENOUGH, CLEAN = 30, 0.4
 BLOCK = 256
 MASK = "[REDACTED]"
 
@@ -196,12 +202,23 @@ def acceptance(found: DataFrame, rate: float = FALSE_RATE, tokens: str = "tokens
     """For each stratum of length the last bin (of p over exp(-(bin + 1) * BIN)) whose tokens are reported as random."""
     counts = found.select(F.explode(tokens).alias("t")).groupBy("t.stratum", "t.bin").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("stratum")
-    share = 1 - F.exp(-(F.col("bin") + 1) * BIN)
-    ranked = counts.select("stratum", "bin", F.sum(F.when(F.col("bin") < SURE, F.col("n")).otherwise(0)).over(by).alias("sure"), F.sum("n").over(by.orderBy("bin")).alias("reported"))
-    ranked = ranked.withColumn("random", (F.col("sure") + F.sqrt(F.col("sure") * LEVEL)) / (1 - LEVEL))
-    judged = ranked.withColumn("false", (F.col("bin") >= SURE) & (1 - F.col("random") * share / F.col("reported") > rate))
+    within = lambda low, high: F.sum(F.when(F.col("bin").between(low, high), F.col("n")).otherwise(0)).over(by)
+    share = lambda b: 1 - F.exp(-(b + 1) * BIN)
+    seen = counts.select("stratum", "bin", within(0, SURE - 1).alias("sure"), within(*BAND).alias("band"), within(0, BAND[0] - 1).alias("wide"), F.sum("n").over(by.orderBy("bin")).alias("reported"))
+    width = lambda low, high: math.exp(-low * BIN) - math.exp(-(high + 1) * BIN)
+    due = F.col("sure") / (1 - LEVEL) * width(*BAND)
+    # ordinary tokens among the sure ones: so many at most for each in the band beyond the random ones there
+    first = seen.withColumn("ordinary", F.greatest(F.lit(0.0), F.col("band") - EVEN * due) * TAIL)
+    # where the band shows none of them, all p-values above it count; otherwise those over LEVEL do, less a standard error
+    first = first.withColumn("clean", (F.col("wide") >= ENOUGH) & (F.col("band") <= due + 2 * F.sqrt(due)))
+    careful = (EVEN * F.greatest(F.lit(0.0), F.col("sure") - F.col("ordinary")) - F.sqrt(F.col("sure") * LEVEL)) / (1 - LEVEL)
+    ranked = first.withColumn("random", F.when(F.col("clean"), F.col("wide") / width(0, BAND[0] - 1)).otherwise(careful))
+    beyond = F.col("reported") - F.col("random") * share(F.col("bin"))
+    # below SURE all or none are reported, by what holds for all of them
+    strict = F.when(F.col("bin") < SURE, F.col("ordinary") > rate * F.col("sure")).otherwise(F.greatest("ordinary", beyond) > rate * F.col("reported"))
+    judged = ranked.withColumn("false", F.when(F.col("clean"), (F.col("bin") >= BAND[0]) & (beyond > rate * CLEAN * F.col("reported"))).otherwise(strict))
     upto = judged.withColumn("bad", F.max("false").over(by.orderBy("bin")))
-    return {r.stratum: r.bin for r in upto.where("not bad and random > 0").groupBy("stratum").agg(F.max("bin").alias("bin")).collect()}
+    return {r.stratum: r.bin for r in upto.where("not bad and sure > 0").groupBy("stratum").agg(F.max("bin").alias("bin")).collect()}
 
 
 def random_by(thresholds: dict[int, int], token: Column) -> Column:

@@ -157,9 +157,9 @@ def _mover(root: str):
         for batch in batches:
             for a, name in zip(batch.column("temporary").to_pylist(), batch.column("final").to_pylist(), strict=True):
                 b = f"{base}/{name}"
-                if there(a):
-                    if there(b):
-                        files.delete_file(b)
+                if there(a) and there(b):
+                    files.delete_file(a)
+                elif there(a):
                     files.move(a, b)
                 elif not there(b):
                     raise FileNotFoundError(a)
@@ -219,11 +219,22 @@ def write_archive(df: DataFrame, root: str, *, id_column: str = "page_id", url_c
     ranged = both.withColumn("range", _range(splitters).cast("int"))
     placed = ranged.repartitionById(len(splitters) + 1, "range").sortWithinPartitions("range", F.col("id").asc_nulls_first(), "digest", F.col("rep").asc_nulls_last(), "url")
     pending = f"{root}/_pending-{uuid.uuid4().hex}"
-    placed.mapInArrow(_writer(root, roll_bytes), MANIFEST).write.json(pending)
-    spark.read.schema(MANIFEST).json(pending).mapInArrow(_mover(root), "final string").write.mode("overwrite").format("noop").save()
-    if system.exists(path(f"{root}/_manifest")) or not system.rename(path(pending), path(f"{root}/_manifest")):
+    placed.mapInArrow(_writer(root, roll_bytes), MANIFEST).write.json(f"{pending}/written")
+    # the files' folder is named by what they hold: writers of other records use others, and those of the same records the same files
+    written = spark.read.schema(MANIFEST).json(f"{pending}/written")
+    mark = written.agg(F.sum(F.xxhash64("final", "sha256").cast("decimal(38,0)"))).first()[0] or 0
+    folder = f"data-{int(mark) & (1 << 64) - 1:016x}"
+    named = written.withColumn("final", F.concat(F.lit(f"{folder}/"), "final"))
+    if not system.exists(path(f"{root}/_manifest")):
+        system.mkdirs(path(f"{root}/{folder}"))
+        named.mapInArrow(_mover(root), "final string").write.mode("overwrite").format("noop").save()
+        named.write.json(f"{pending}/manifest")
+    if system.exists(path(f"{root}/_manifest")) or not system.rename(path(f"{pending}/manifest"), path(f"{root}/_manifest")):
         raise FileExistsError(f"{root} was committed by another run")
-    system.delete(path(f"{root}/_temporary"), True)
+    # what dead runs, and those that come too late, have left
+    for left in system.listStatus(path(root)):
+        if left.getPath().getName() not in (folder, "_manifest"):
+            system.delete(left.getPath(), True)
     return root
 
 
