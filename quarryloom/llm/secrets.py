@@ -56,8 +56,8 @@ LEVEL = math.exp(-BIN * SURE)
 #: Of random tokens the share over LEVEL is up to EVEN of an even one, as p-values are discrete.  Ordinary tokens over LEVEL are taken to be TAIL of
 #: those in the bins of BAND (p from 0.05 to 0.1) at most: their p-values crowd towards zero.
 EVEN, BAND, TAIL = 0.94, (46, 59), 0.16
-#: Tokens above the band from which it can be called empty of ordinary ones, and the share of the rate that is used then.
-ENOUGH, CLEAN = 30, 0.4
+#: Tokens above the band from which it can be called empty of ordinary ones, and the shares of the rate that are used then, and else for thresholds under LEVEL: the best of many is taken.
+ENOUGH, CLEAN, FURTHER = 30, 0.4, 0.8
 BLOCK = 256
 MASK = "[REDACTED]"
 
@@ -215,7 +215,7 @@ def acceptance(found: DataFrame, rate: float = FALSE_RATE, tokens: str = "tokens
     ranked = first.withColumn("random", F.when(F.col("clean"), F.col("wide") / width(0, BAND[0] - 1)).otherwise(careful))
     beyond = F.col("reported") - F.col("random") * share(F.col("bin"))
     # below SURE all or none are reported, by what holds for all of them
-    strict = F.when(F.col("bin") < SURE, F.col("ordinary") > rate * F.col("sure")).otherwise(F.greatest("ordinary", beyond) > rate * F.col("reported"))
+    strict = F.when(F.col("bin") < SURE, F.col("ordinary") > rate * F.col("sure")).otherwise(F.greatest("ordinary", beyond) > rate * FURTHER * F.col("reported"))
     judged = ranked.withColumn("false", F.when(F.col("clean"), (F.col("bin") >= BAND[0]) & (beyond > rate * CLEAN * F.col("reported"))).otherwise(strict))
     upto = judged.withColumn("bad", F.max("false").over(by.orderBy("bin")))
     return {r.stratum: r.bin for r in upto.where("not bad and sure > 0").groupBy("stratum").agg(F.max("bin").alias("bin")).collect()}
