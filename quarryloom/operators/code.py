@@ -1,7 +1,7 @@
 """Syntax-aware chunks, class models and field references.
 
-Python sources are parsed by the standard library's `ast`; other languages, and sources that do not parse, are chunked
-as text.  One row in, several out: Arrow batches, as no built-in function parses.
+Python sources are parsed by the standard library's `ast`, five other languages by `syntax`; others, and sources that cannot be read, are
+chunked as text.  One row in, several out: Arrow batches, as no built-in function parses.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryloom.operators import syntax
 from quarryloom.operators.chunking import MOST, OVERLAP
 
 #: Breaks that str.splitlines knows beyond \n, as the text chunker cuts lines there too.
@@ -65,10 +66,10 @@ def _definitions(body: list[ast.stmt], owner: str | None) -> Iterator[tuple[ast.
                 yield from _definitions(handler.body, owner)
 
 
-def python_chunks(source: str, most: int = MOST) -> list[tuple] | None:
+def python_rows(source: str) -> list[tuple] | None:
     """Rows of (content, start, end, kind, function, class, docstring, strategy), or None if the source does not parse or defines nothing.
 
-    A class with definitions in it gives its head and then each of them; others are whole.  What is longer than `most` is cut as text.
+    A class with definitions in it gives its head and then each of them; others are whole.
     """
     try:
         tree = ast.parse(source)
@@ -94,8 +95,11 @@ def python_chunks(source: str, most: int = MOST) -> list[tuple] | None:
 
     for node, owner in _definitions(tree.body, None):
         add(node, owner)
-    if not rows:
-        return None
+    return rows or None
+
+
+def split_long(rows: list[tuple], most: int = MOST) -> list[tuple]:
+    """What is longer than `most` is cut as text, each part with the names of the whole; in order of lines."""
     cut: list[tuple] = []
     for row in rows:
         if len(row[0]) <= most:
@@ -105,11 +109,22 @@ def python_chunks(source: str, most: int = MOST) -> list[tuple] | None:
     return sorted(cut, key=lambda r: (r[1], r[2]))
 
 
+def python_chunks(source: str, most: int = MOST) -> list[tuple] | None:
+    rows = python_rows(source)
+    return split_long(rows, most) if rows else None
+
+
+#: Names of languages as they may come.
+ALIASES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "golang": "go", "rs": "rust"}
+
+
 def source_chunks(source: str | None, language: str | None, most: int = MOST) -> list[tuple]:
     if not source or not source.strip():
         return []
-    found = python_chunks(source, most) if language == "python" else None
-    return found if found is not None else [(t, a, b, "text", None, None, None, "text") for t, a, b in pack_lines(source, most)]
+    name = (language or "").strip().lower().removeprefix(".")
+    name = ALIASES.get(name, name)
+    found = python_rows(source) if name == "python" else syntax.definition_rows(source, name) if name in syntax.LANGUAGES else None
+    return split_long(found, most) if found else [(t, a, b, "text", None, None, None, "text") for t, a, b in pack_lines(source, most)]
 
 
 def chunk_sources(files: DataFrame, *, content: str = "content", language: str = "language", most: int = MOST) -> DataFrame:
@@ -186,11 +201,19 @@ def class_models(chunks: DataFrame, *, key: str, content: str = "content") -> Da
     return chunks.select(F.col(key).alias("key"), F.col(content).alias("content")).mapInArrow(run, f"key {kind}, class_name string, member string, kind string, line int").withColumnRenamed("key", key)
 
 
+#: Arguments that map a field to a name.
+MAPPED = ("attribute", "alias", "source")
+
+
 def schema_references(chunks: DataFrame, *, key: str, content: str = "content", field: str | None = None) -> DataFrame:
     """Columns: key, line, kind, name, target.  Fields mapped to another name, and accesses to a field, by line."""
     lines = chunks.select(key, F.posexplode(F.split(content, "\r?\n")).alias("i", "text")).select(key, (F.col("i") + 1).alias("line"), F.trim("text").alias("text"))
-    mapping = r"""([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(?:fields\.[A-Za-z]+|Field)\([^)]*(?:attribute|alias|source)=["']([A-Za-z0-9_]+)["']"""
-    mapped = lines.where(F.col("text").rlike(mapping)).select(key, "line", F.lit("mapping").alias("kind"), F.regexp_extract("text", mapping, 1).alias("name"), F.regexp_extract("text", mapping, 2).alias("target"))
+    # name = call(arguments): the arguments are split, and the last one with one of MAPPED and a quoted word names the target
+    parts = lines.select(key, "line", F.trim(F.substring_index("text", "=", 1)).alias("name"), F.trim(F.regexp_extract("text", r"=([^(]*)\(", 1)).alias("call"), F.split(F.regexp_extract("text", r"\(([^)]*)", 1), ",").alias("arguments"))
+    called = parts.where((F.startswith("call", F.lit("fields.")) | (F.col("call") == "Field")) & F.col("name").rlike(r"^\w+$"))
+    value = lambda a: F.trim(F.substring_index(a, "=", -1))
+    named = F.filter("arguments", lambda a: F.trim(F.substring_index(a, "=", 1)).isin(*MAPPED) & value(a).rlike(r"^[\"']\w+[\"']$"))
+    mapped = called.select(key, "line", F.lit("mapping").alias("kind"), "name", value(F.try_element_at(named, F.lit(-1))).alias("target")).where("target is not null").withColumn("target", F.expr("substring(target, 2, length(target) - 2)"))
     if field is None:
         return mapped
     access = rf"(?<![\p{{L}}\p{{N}}_])([A-Za-z_][A-Za-z0-9_]*)\.{re.escape(field)}(?![\p{{L}}\p{{N}}_])"
