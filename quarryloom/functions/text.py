@@ -226,7 +226,11 @@ def simple_tokens(text: Column) -> Column:
 
 def search_terms(query: Column, most: int = 12) -> Column:
     """Distinct tokens of identifiers, keywords and the query itself, in that order."""
-    texts = F.concat(identifiers(query), keywords(query), F.array(query))
+    return terms_of(identifiers(query), keywords(query), query, most)
+
+
+def terms_of(identifiers: Column, keywords: Column, query: Column, most: int = 12) -> Column:
+    texts = F.concat(identifiers, keywords, F.array(query))
     return F.slice(F.array_distinct(F.flatten(F.transform(texts, code_tokens))), 1, most)
 
 
