@@ -122,8 +122,13 @@ QUERIES = {
 }
 
 from quarryloom.plans.search_queries import CORPUS_SQL  # noqa: E402
+from quarryloom.plans.text_queries import ORACLE_SQL as TEXT_SQL  # noqa: E402
+
+_PARTS = lambda c: f"CASE WHEN {c} = '' THEN 0 ELSE len(string_split({c}, '|')) END"
 
 ORACLE_SQL = {
+    "understand": f"""SELECT coalesce(intent, 'none') AS intent, count(*) AS n, CAST(sum({_PARTS('identifiers')}) AS BIGINT) AS identifiers, CAST(sum({_PARTS('paths')}) AS BIGINT) AS paths
+        FROM ({TEXT_SQL['fn_intent_fallback']}) i JOIN ({TEXT_SQL['fn_identifiers']}) USING (query_id) JOIN ({TEXT_SQL['fn_file_paths']}) USING (query_id) GROUP BY 1""",
     "src_git_tree": f"WITH {fx.FILES_SQL} SELECT file_path, sha1(content) AS blob_sha, CASE WHEN doc_id % 4 <> 0 THEN length(content) ELSE 0 END AS size FROM files WHERE doc_id % 6 <> 0",
     "flt_zip_path": "SELECT p_partkey FROM part WHERE p_partkey % 7 IN (0, 5, 6)",
     "flt_binary": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN strlen(text) < 8192 WHEN 1 THEN TRUE ELSE FALSE END AS is_binary FROM documents",
