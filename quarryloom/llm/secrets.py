@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryloom.llm.common import cut, free_name
+from quarryloom.llm.common import cut, filed, free_name
 from quarryloom.sources.tables import spread
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -245,9 +245,11 @@ def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | N
     """The rows with every span in their texts replaced by MASK, and the texts' lengths counted anew."""
     prefix = free_name(docs, "scanned_assign").removesuffix("assign")
     text = F.coalesce(F.col(text_column), F.lit(""))
-    thresholds = acceptance(_scanned(docs.select(text_column), text, prefix), tokens=f"{prefix}tokens")
+    # scanned once: the rows with what was found in them are written, and read again for the thresholds and for the masks
+    scanned = filed(_scanned(docs, text, prefix))
+    thresholds = acceptance(scanned, tokens=f"{prefix}tokens")
     spans = free_name(docs, "scanned_spans")
-    found = _scanned(docs, text, prefix).withColumn(spans, _spans(thresholds, prefix))
+    found = scanned.withColumn(spans, _spans(thresholds, prefix))
     hit = F.size(spans) > 0
     out = found.withColumn(text_column, F.when(hit, masked(text, F.col(spans))).otherwise(F.col(text_column)))
     if length_column in docs.columns:

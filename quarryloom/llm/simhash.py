@@ -249,7 +249,7 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
 #: Keys that similar sets of many shingles share at least.
 SHARED = 4
 #: Nodes of a key above which they meet in a group, and are not listed in pairs.
-HOT = 32
+HOT = 16
 #: Nodes and shingles of a group that one task compares; bits of a sketch.
 CELL, HELD, SKETCH = 1024, 2_000_000, 4096
 
@@ -303,7 +303,7 @@ def common_shingles(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> np.ndar
 
     share = docs.count() // COMMON_ROWS + 1
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(share)) == 0).select("text")
-    found = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(COMMON)
+    found = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").orderBy(F.desc("n"), "h").limit(COMMON)
     return found.toPandas().h.to_numpy(np.int64).astype(np.uint64)
 
 
