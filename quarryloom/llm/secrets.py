@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryloom.llm.common import cut, filed, free_name
+from quarryloom.llm.common import cut, free_name
 from quarryloom.sources.tables import spread
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -246,7 +246,7 @@ def redact(docs: DataFrame, *, text_column: str = "text", length_column: str | N
     prefix = free_name(docs, "scanned_assign").removesuffix("assign")
     text = F.coalesce(F.col(text_column), F.lit(""))
     # scanned once: the rows with what was found in them are written, and read again for the thresholds and for the masks
-    scanned = filed(_scanned(docs, text, prefix))
+    scanned = cut(_scanned(docs, text, prefix))
     thresholds = acceptance(scanned, tokens=f"{prefix}tokens")
     spans = free_name(docs, "scanned_spans")
     found = scanned.withColumn(spans, _spans(thresholds, prefix))
