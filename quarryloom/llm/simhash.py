@@ -249,7 +249,7 @@ def hashes(text: str | None, shingle: int) -> np.ndarray:
 #: Keys that similar sets of many shingles share at least.
 SHARED = 4
 #: Nodes of a key above which they meet in a group, and are not listed in pairs.
-HOT = 16
+HOT = 24
 #: Nodes and shingles of a group that one task compares; bits of a sketch.
 CELL, HELD, SKETCH = 1024, 2_000_000, 4096
 
@@ -454,7 +454,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, hot: int
 
     Groups in which similar sets meet: first components of fingerprints within the error budget, each compared by its sets.  Then, of sets
     that are still apart, every similar pair shares some of its keys.  If one of them is a key of more than `hot` nodes, both are in the
-    group of that key's hub (one node for each key, so that the many keys of one large group make few groups); if none is, the
+    group of that key's hub (the component of one node of the key, so that the many keys of one large group make few groups); if none is, the
     pair shares so many of the other keys that it is counted as a candidate, and components of candidates are groups.  So no pair is lost.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
@@ -473,7 +473,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, hot: int
     placed = sets.select("node", "size", F.posexplode("keys").alias("place", "key"))
     shared = cut(shared_keys(placed.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("at"))))
     many = shared.where(F.col("n") > hot).select("key", "node")
-    hubs = filed(many.groupBy("key").agg(F.max(F.struct(F.xxhash64("node").alias("rank"), "node")).alias("hub"), F.count(F.lit(1)).alias("n")).select("key", F.col("hub.node").alias("group"), "n"))
+    hubs = filed(many.groupBy("key").agg(F.max(F.struct(F.xxhash64("node").alias("rank"), "node")).alias("hub"), F.count(F.lit(1)).alias("n")).select("key", F.col("hub.node").alias("node"), "n").join(known.select("node", F.col("root").alias("group")), "node").drop("node"))
     few = shared.where(F.col("n") <= hot).join(known.select("node", F.nullif("root", "node").alias("root")), "node", "left")
     candidates = components(sharing(few, bucket=hot))
     groups = join_hot(many, hubs, "key", "n").select("group", "node").unionByName(candidates.select(F.col("root").alias("group"), "node")).unionByName(candidates.select(F.col("root").alias("group"), F.col("root").alias("node")))
