@@ -41,8 +41,8 @@ ROWS = 50_000
 PIECE = 1 << 16
 #: Words of a shingle where documents are compared by similarity (`similar_documents`).
 STAGE_SHINGLE = 5
-#: Documents of the sample that orders keys by frequency, at most about, and shingles that it names, at most.
-COMMON_ROWS, COMMON = 20_000, 200_000
+#: One in so many documents, by hash, is in the sample that orders keys by frequency; shingles that it names, at most.
+SHARE, COMMON = 8, 200_000
 
 _BOUNDS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 
@@ -301,10 +301,17 @@ def common_shingles(docs: DataFrame, *, shingle: int = STAGE_SHINGLE) -> np.ndar
             found = np.concatenate([np.zeros(0, np.uint64), *(hashes(t.as_py(), shingle) for t in batch.column("text"))])
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], ["h"])
 
-    share = docs.count() // COMMON_ROWS + 1
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(share)) == 0).select("text")
-    found = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").orderBy(F.desc("n"), "h").limit(COMMON)
-    return found.toPandas().h.to_numpy(np.int64).astype(np.uint64)
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SHARE)) == 0).select("text")
+    found = cut(drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3"))
+    # the least count of which no more than COMMON shingles are, from the numbers of each count
+    least, named = 0, 0
+    for r in sorted(found.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect(), key=lambda r: -r.n):
+        named += r.m
+        if named > COMMON:
+            break
+        least = r.n
+    rows = found.where(F.col("n") >= least).toPandas().sort_values(["n", "h"], ascending=[False, True]) if least else None
+    return rows.h.to_numpy(np.int64).astype(np.uint64) if rows is not None else np.zeros(0, np.uint64)
 
 
 #: Pairs of rows of whole tasks that are looked at together.
