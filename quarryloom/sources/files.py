@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Limits of an archive.
 MOST_FILES, MOST_BYTES, MOST_FILE_BYTES = 10_000, 500 << 20, 50 << 20
+#: Bytes of members that leave a task at once.
+AT_ONCE = 8 << 20
 
 
 def local_tree(spark: SparkSession, root: str, *, content: bool = False) -> DataFrame:
@@ -47,8 +50,11 @@ def _unsafe(name: str) -> bool:
 
 
 def archive_entries(data: bytes, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES, most_file_bytes: int = MOST_FILE_BYTES) -> Iterator[tuple[str, int, bytes]]:
-    """(path, size, content) of a zip archive.  Too many files, too many bytes in all or an unsafe path is an error; a file that is too large is left out, but counted."""
-    total = 0
+    """(path, size, content) of a zip archive, one member at a time.
+
+    Too many files, too many bytes in all or an unsafe path is an error before anything is inflated; a file that is too
+    large is left out, but counted; one that inflates to more than it says is an error.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         entries = [e for e in z.infolist() if not e.is_dir()]
         if len(entries) > most_files:
@@ -56,27 +62,57 @@ def archive_entries(data: bytes, most_files: int = MOST_FILES, most_bytes: int =
         for e in entries:
             if _unsafe(e.filename):
                 raise ValueError(f"unsafe path in the archive: {e.filename!r}")
-            total += e.file_size
-            if total > most_bytes:
-                raise ValueError(f"the archive holds more than {most_bytes} bytes")
+        if sum(e.file_size for e in entries) > most_bytes:
+            raise ValueError(f"the archive holds more than {most_bytes} bytes")
+        for e in entries:
             if e.file_size <= most_file_bytes:
-                yield e.filename, e.file_size, z.read(e)
+                with z.open(e) as member:
+                    content = member.read(e.file_size + 1)
+                if len(content) != e.file_size:
+                    raise ValueError(f"{e.filename!r} has not the size that the archive says")
+                yield e.filename, e.file_size, content
 
 
-def read_archives(spark: SparkSession, path: str, **limits: int) -> DataFrame:
-    """Columns: archive, commit_id, file_path, size, content, error.  An archive that breaks a rule gives one row with the error."""
+MEMBERS = "commit_id string, file_path string, size long, content binary, error string"
+
+
+def archive_members(archives: DataFrame, *, key: str = "archive", **limits: int) -> DataFrame:
+    """archives: key, content.  Columns: key, commit_id, file_path, size, content, error.
+
+    An archive that breaks a rule, is damaged or holds no file gives a row with the error; if the damage shows only on
+    inflating, earlier members come too, so drop what has an error by key.  Null content is damaged.  Members leave the
+    task as they are inflated, a few megabytes at a time; the archive itself must fit in memory.
+    """
     from quarryloom.functions.hashing import archive_commit
 
-    found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), archive_commit(F.col("content")).alias("commit_id"), "content")
+    kind = archives.schema[key].dataType.simpleString()
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, commit, data in zip(*(batch.column(c).to_pylist() for c in ("archive", "commit_id", "content")), strict=True):
-                try:
-                    rows = [(archive, commit, n, s, c, None) for n, s, c in archive_entries(data, **limits)]
-                except (ValueError, zipfile.BadZipFile) as e:
-                    rows = [(archive, commit, None, None, None, str(e))]
-                kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["archive", "commit_id", "file_path", "size", "content", "error"])
-
-    return found.mapInArrow(run, "archive string, commit_id string, file_path string, size long, content binary, error string")
+            for n, (commit, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for rows in _rows(commit, data):
+                    name = pa.array([batch.column(0)[n].as_py()] * len(rows), batch.column(0).type)
+                    yield pa.RecordBatch.from_arrays([name, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [key, *(c.split()[0] for c in MEMBERS.split(", "))])
+
+    def _rows(commit: str | None, data: bytes | None) -> Iterator[list[tuple]]:
+        rows, held, any_file = [], 0, False
+        try:
+            for path, size, content in archive_entries(data or b"", **limits):
+                rows.append((commit, path, size, content, None))
+                held, any_file = held + size, True
+                if held >= AT_ONCE:
+                    yield rows
+                    rows, held = [], 0
+            if not any_file:
+                rows.append((commit, None, None, None, "the archive holds no file"))
+        except (ValueError, NotImplementedError, RuntimeError, EOFError, zipfile.BadZipFile, zlib.error) as e:
+            rows.append((commit, None, None, None, str(e) or type(e).__name__))
+        yield rows
+
+    return archives.select(key, archive_commit(F.col("content")).alias("commit_id"), "content").mapInArrow(members, f"`{key}` {kind}, {MEMBERS}")
+
+
+def read_archives(spark: SparkSession, path: str, **limits: int) -> DataFrame:
+    """The members of the archives in a folder, by their names; see archive_members."""
+    return archive_members(spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content"), **limits)
