@@ -258,7 +258,7 @@ def test_engine(spark, tmp_path):
     from quarryloom.api import run_search
 
     got = {r.query_id: r for r in run_search(queries, points.withColumn("collection", F.lit("repo_local_" + collection.removeprefix("repo_")))).collect()}
-    assert got[1].early_exit is None and got[1].top_file == "src/users.py" and got[1].intent == "RETRIEVE" and "get_user_name" in got[1].context and got[1].confidence == "medium"
+    assert got[1].early_exit is None and got[1].top_file == "src/users.py" and got[1].intent == "RETRIEVE" and got[1].context.startswith("[3]{file,lines,function}:\n  src/users.py,1-2,get_user_name\n") and "[1] PRIMARY CODE src/users.py" in got[1].context and "get_user_name" in got[1].context and got[1].confidence == "medium"
     assert (got[2].early_exit, got[3].early_exit, got[4].early_exit) == ("blank query", "EARLY_EXIT_A", "missing source")
     events = spark.createDataFrame([(1, None, "push", 5, "refs/heads/main", "{}"), (1, None, "push", 5, "refs/heads/main", "{}"), (2, None, "ping", 5, None, "{}"), (3, None, "star", 5, None, "{}")], deliveries.SCHEMA)
     assert {r.delivery_id: r.outcome for r in engine.receive(events).collect()} == {1: "accepted", 2: "ok", 3: "ignored"}
