@@ -58,6 +58,13 @@ def resolved_versions(direct: DataFrame, lock_packages: DataFrame, lock_dependen
     return direct.join(a, [key, "package"], "left").join(b, [key, "package"], "left").select(key, "package", F.when(first == F.col("version"), F.coalesce("v2", first)).otherwise(first).alias("version"))
 
 
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value.  `try_parse_json` reads the first value alone, so the text is read inside a list and inside an
+    object: more than one value, or a bracket too many, breaks at least one of them."""
+    whole = lambda before, after: F.try_parse_json(F.concat(F.lit(before), text, F.lit(after))).isNotNull()
+    return whole("[", "\n]") & whole('{"":', "\n}")
+
+
 def rebuild(chunks: DataFrame, *, key: str = "file_path") -> DataFrame:
     """chunks: key, start_line, ord, content.  Files from chunks that may overlap: of each line the first chunk's text; complete if no line is missing."""
     lines = chunks.select(key, "start_line", "ord", F.posexplode(F.split(F.regexp_replace("content", "\n$", ""), "\n")).alias("i", "line"))
@@ -65,7 +72,7 @@ def rebuild(chunks: DataFrame, *, key: str = "file_path") -> DataFrame:
     first = numbered.groupBy(key, "n").agg(F.min_by("line", F.struct("start_line", "ord")).alias("line"))
     joined = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("l"), F.max("n").alias("last"), F.count(F.lit(1)).alias("lines"))
     text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    return joined.select(key, text.alias("content"), (F.col("lines") == F.col("last")).alias("is_complete")).withColumn("is_json", F.try_parse_json("content").isNotNull())
+    return joined.select(key, text.alias("content"), (F.col("lines") == F.col("last")).alias("is_complete")).withColumn("is_json", is_json(F.col("content")))
 
 
 def bump(manifests: DataFrame, fixes: DataFrame, *, key: str = "audit_id") -> DataFrame:
