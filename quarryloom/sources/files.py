@@ -52,11 +52,13 @@ def _unsafe(name: str) -> bool:
 def archive_entries(data: bytes, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES, most_file_bytes: int = MOST_FILE_BYTES) -> Iterator[tuple[str, int, bytes]]:
     """(path, size, content) of a zip archive, one member at a time.
 
-    Too many files, too many bytes in all or an unsafe path is an error before anything is inflated; a file that is too
-    large is left out, but counted; one that inflates to more than it says is an error.
+    No file, too many files, too many bytes in all or an unsafe path is an error before anything is inflated; a file that is
+    too large is left out, but counted; one that inflates to more than it says is an error.
     """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         entries = [e for e in z.infolist() if not e.is_dir()]
+        if not entries:
+            raise ValueError("the archive holds no file")
         if len(entries) > most_files:
             raise ValueError(f"{len(entries)} files in the archive; {most_files} are allowed")
         for e in entries:
@@ -79,7 +81,8 @@ MEMBERS = "commit_id string, file_path string, size long, content binary, error
 def archive_members(archives: DataFrame, *, key: str = "archive", **limits: int) -> DataFrame:
     """archives: key, content.  Columns: key, commit_id, file_path, size, content, error.
 
-    An archive that breaks a rule, is damaged or holds no file gives a row with the error; if the damage shows only on
+    An archive that breaks a rule, is damaged or holds no file gives a row with the error, one whose files are all too large
+    gives none; if the damage shows only on
     inflating, earlier members come too, so drop what has an error by key.  Null content is damaged.  Members leave the
     task as they are inflated, a few megabytes at a time; the archive itself must fit in memory.
     """
@@ -96,16 +99,14 @@ def archive_members(archives: DataFrame, *, key: str = "archive", **limits: int)
                     yield pa.RecordBatch.from_arrays([name, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [key, *(c.split()[0] for c in MEMBERS.split(", "))])
 
     def _rows(commit: str | None, data: bytes | None) -> Iterator[list[tuple]]:
-        rows, held, any_file = [], 0, False
+        rows, held = [], 0
         try:
             for path, size, content in archive_entries(data or b"", **limits):
                 rows.append((commit, path, size, content, None))
-                held, any_file = held + size, True
+                held += size
                 if held >= AT_ONCE:
                     yield rows
                     rows, held = [], 0
-            if not any_file:
-                rows.append((commit, None, None, None, "the archive holds no file"))
         except (ValueError, NotImplementedError, RuntimeError, EOFError, zipfile.BadZipFile, zlib.error) as e:
             rows.append((commit, None, None, None, str(e) or type(e).__name__))
         yield rows
