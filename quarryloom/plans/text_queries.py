@@ -83,7 +83,7 @@ def fn_intent_fallback(spark, sf):
 
 def fn_tokenize_code(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.code_tokens(F.col("text")).alias("t"))
-    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("digest"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.sort_array("t"), " ")).alias("digest"))
 
 
 def fn_tokenize_simple(spark, sf):
