@@ -7,15 +7,17 @@ chunked as text.  One row in, several out: Arrow batches, as no built-in functio
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryloom.operators import syntax
 from quarryloom.operators.chunking import MOST, OVERLAP
+from quarryloom.sources.staging import staged
 
 #: Breaks that str.splitlines knows beyond \n, as the text chunker cuts lines there too.
 _CHUNK = [("chunk_ord", pa.int32()), ("content", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("kind", pa.string()), ("function_name", pa.string()), ("class_name", pa.string()), ("docstring", pa.string()), ("strategy", pa.string())]
@@ -148,18 +150,80 @@ def chunk_sources(files: DataFrame, *, content: str = "content", language: str =
     return files.mapInArrow(run, schema)
 
 
+_NAME = rf"(?!(?:{'|'.join([*keyword.kwlist, '__debug__'])})\b)[A-Za-z_]\w*"
+_DOTTED = rf"{_NAME}(?:\.{_NAME})*+"
+_VALUE = rf"""(?:(?:None|True|False)\b|{_DOTTED}|(?:0|[1-9][0-9]{{0,8}})\b|"[^"\n]*"|'[^'\n]*')"""
+_CALL = rf"{_DOTTED}\((?:{_VALUE}(?:, {_VALUE}(?!=))*+(?:, {_NAME}={_VALUE})*+|{_NAME}={_VALUE}(?:, {_NAME}={_VALUE})*+)?\)"
+_SIMPLE = rf"(?:{_NAME}: {_DOTTED}(?: = (?:{_CALL}|{_VALUE}))?|{_NAME} = (?:{_CALL}|{_VALUE})|{_CALL})"
+#: Lines one below the other, of one indent, each of which is a statement of a plain form by itself.
+_RUN = re.compile(rf"^( *+)(?:{_SIMPLE})$(?:\n\1(?:{_SIMPLE})$)*+", re.M | re.A)
+_SET = re.compile(r"^ *(\w+)(:| =)", re.M | re.A)
+#: Where lines may not be statements by themselves, or cannot be told to be without more rules: such sources are parsed as they are.
+_WOVEN = ('"""', "'''", "\\", "\r", "\t", "\f", "\0")
+_FORMATTED = re.compile(r"""[fFtT][rR]?["']|[rR][fFtT]["']""")
+_QUOTED = re.compile(r"""\"[^"\n]*"|'[^'\n]*'|#[^\n]*""")
+
+
+def _parsed(source: str) -> tuple[ast.Module, dict[int, str]]:
+    """The source's tree, in which a run of plain statements may be one number; and those runs by their first line.
+
+    A tree costs a hundred times its text, and most lines of models and schemas are of a few plain forms.  A run becomes a
+    number and empty lines, if no line begins or ends within brackets or a string; so what does not parse still does not, and all lines keep their numbers.
+    """
+    if any(w in source for w in _WOVEN):
+        return ast.parse(source), {}
+    runs: dict[int, str] = {}
+    parts, at, line = [], 0, 1
+    for m in _RUN.finditer(source):
+        between = source[at : m.start()]
+        parts.append(between)
+        line += between.count("\n")
+        below = m[0].count("\n")
+        runs[line] = m[0]
+        parts.append(m[1] + "0" + "\n" * below)
+        line += below
+        at = m.end()
+    parts.append(source[at:])
+    masked = "".join(parts)
+    if _FORMATTED.search(masked):
+        return ast.parse(source), {}
+    for row in filter(None, _QUOTED.sub("", masked).split("\n")):
+        if '"' in row or "'" in row or sum(map(row.count, "([{")) != sum(map(row.count, ")]}")):
+            return ast.parse(source), {}
+    return ast.parse(masked), runs
+
+
+def _classes(tree: ast.Module) -> Iterator[ast.ClassDef]:
+    """All classes, level by level as `ast.walk` comes to them; classes are in statements alone, so expressions are passed over."""
+    level: list[ast.AST] = [tree]
+    while level:
+        below: list[ast.AST] = []
+        for node in level:
+            if isinstance(node, ast.ClassDef):
+                yield node
+            for name in node._fields:
+                inner = getattr(node, name, None)
+                if isinstance(inner, list):
+                    below += [x for x in inner if isinstance(x, ast.stmt | ast.excepthandler | ast.match_case)]
+        level = below
+
+
 def class_members(source: str) -> list[tuple[str, str, str, int | None]]:
     """(class, member, kind, line): annotated fields, assigned columns, properties, methods, and what __init__ sets on self.
     A source that does not parse is read line by line."""
     out: dict[tuple[str, str, str], int | None] = {}
     try:
-        tree = ast.parse(source)
+        tree, runs = _parsed(source)
     except (SyntaxError, ValueError):
         return _loose_members(source)
-    for cls in (n for n in ast.walk(tree) if isinstance(n, ast.ClassDef)):
+    for cls in _classes(tree):
         put = lambda name, kind, line: out.setdefault((cls.name, name, kind), line)  # noqa: B023, E731
         for item in cls.body:
             match item:
+                case ast.Expr(lineno=first) if first in runs:
+                    for k, row in enumerate(runs[first].split("\n")):
+                        if m := _SET.match(row):
+                            out.setdefault((cls.name, m[1], "field" if m[2] == ":" else "column"), first + k)
                 case ast.AnnAssign(target=ast.Name(id=name)):
                     put(name, "field", item.lineno)
                 case ast.Assign(targets=targets):
@@ -188,17 +252,26 @@ def _loose_members(source: str) -> list[tuple[str, str, str, int | None]]:
     return out
 
 
-def class_models(chunks: DataFrame, *, key: str, content: str = "content") -> DataFrame:
-    """Columns: key, class_name, member, kind, line."""
+#: Sources that are read at once: their members leave a task in as many parts.
+SOURCES = 256
+
+
+def class_models(chunks: DataFrame, *, key: str, content: str = "content", named: str | None = None) -> DataFrame:
+    """Columns: key, class_name, member, kind, line.  With `named`, sources that cannot hold a class of that name, in any case, are not parsed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, *m) for i, text in enumerate(batch.column("content").to_pylist()) for m in class_members(text or "")]
-            kept = batch.column("key").take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept, *[pa.array([r[k] for r in rows], t) for k, t in ((1, pa.string()), (2, pa.string()), (3, pa.string()), (4, pa.int32()))]], ["key", "class_name", "member", "kind", "line"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SOURCES):
+                batch = whole.slice(at, SOURCES)
+                rows = [(i, *m) for i, text in enumerate(batch.column("content").to_pylist()) for m in class_members(text or "")]
+                kept = batch.column("key").take(pa.array([r[0] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept, *[pa.array([r[k] for r in rows], t) for k, t in ((1, pa.string()), (2, pa.string()), (3, pa.string()), (4, pa.int32()))]], ["key", "class_name", "member", "kind", "line"])
 
     kind = chunks.schema[key].dataType.simpleString()
-    return chunks.select(F.col(key).alias("key"), F.col(content).alias("content")).mapInArrow(run, f"key {kind}, class_name string, member string, kind string, line int").withColumnRenamed("key", key)
+    rows = chunks.select(F.col(key).alias("key"), F.col(content).alias("content"))
+    if named is not None and named.isascii():  # other letters may be read as ASCII ones
+        rows = rows.where(F.lower("content").contains(named.lower()) | F.col("content").rlike(r"[^\x00-\x7F]"))
+    return rows.mapInArrow(run, f"key {kind}, class_name string, member string, kind string, line int").withColumnRenamed("key", key)
 
 
 #: Arguments that map a field to a name.
@@ -207,30 +280,43 @@ MAPPED = ("attribute", "alias", "source")
 
 def schema_references(chunks: DataFrame, *, key: str, content: str = "content", field: str | None = None) -> DataFrame:
     """Columns: key, line, kind, name, target.  Fields mapped to another name, and accesses to a field, by line."""
-    lines = chunks.select(key, F.posexplode(F.split(content, "\r?\n")).alias("i", "text")).select(key, (F.col("i") + 1).alias("line"), F.trim("text").alias("text"))
     # name = call(arguments): the arguments are split, and the last one with one of MAPPED and a quoted word names the target
-    parts = lines.select(key, "line", F.trim(F.substring_index("text", "=", 1)).alias("name"), F.trim(F.regexp_extract("text", r"=([^(]*)\(", 1)).alias("call"), F.split(F.regexp_extract("text", r"\(([^)]*)", 1), ",").alias("arguments"))
-    called = parts.where((F.startswith("call", F.lit("fields.")) | (F.col("call") == "Field")) & F.col("name").rlike(r"^\w+$"))
-    value = lambda a: F.trim(F.substring_index(a, "=", -1))
-    named = F.filter("arguments", lambda a: F.trim(F.substring_index(a, "=", 1)).isin(*MAPPED) & value(a).rlike(r"^[\"']\w+[\"']$"))
-    mapped = called.select(key, "line", F.lit("mapping").alias("kind"), "name", value(F.try_element_at(named, F.lit(-1))).alias("target")).where("target is not null").withColumn("target", F.expr("substring(target, 2, length(target) - 2)"))
-    if field is None:
-        return mapped
-    access = rf"(?<![\p{{L}}\p{{N}}_])([A-Za-z_][A-Za-z0-9_]*)\.{re.escape(field)}(?![\p{{L}}\p{{N}}_])"
-    used = lines.select(key, "line", F.explode(F.regexp_extract_all("text", F.lit(access), F.lit(1))).alias("name")).select(key, "line", F.lit("field_access").alias("kind"), "name", F.lit(field).alias("target"))
-    return mapped.unionByName(used)
+    lines = chunks.select(key, F.posexplode(F.split(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n")).alias("i", "text"))
+    may = F.contains("text", F.lit("=")) & F.contains("text", F.lit("(")) & (F.contains("text", F.lit("fields.")) | F.contains("text", F.lit("Field")))
+    has = F.lit(False) if field is None else F.contains("text", F.lit(f".{field}"))  # both are cheap, and most lines are neither
+    likely = lines.where(may | has).select(key, (F.col("i") + 1).alias("line"), F.trim("text").alias("text"), may.alias("may"), has.alias("has"))
+
+    def mapping(b: Column) -> Column:
+        good = (F.startswith(b["call"], F.lit("fields.")) | (b["call"] == "Field")) & b["name"].rlike(r"^\w+$")
+        value = lambda a: F.trim(F.substring_index(a, "=", -1))
+        named = F.transform(F.filter(b["arguments"], lambda a: F.trim(F.substring_index(a, "=", 1)).isin(*MAPPED) & value(a).rlike(r"^[\"']\w+[\"']$")), value)
+        target = F.transform(F.slice(F.reverse(named), 1, 1), lambda t: F.struct(F.lit("mapping").alias("kind"), b["name"].alias("name"), F.substring(t, F.lit(2), F.length(t) - 2).alias("target")))
+        return F.when(good, target)
+
+    parts = F.struct(F.trim(F.substring_index("text", "=", 1)).alias("name"), F.trim(F.regexp_extract("text", r"=([^(]*)\(", 1)).alias("call"), F.split(F.regexp_extract("text", r"\(([^)]*)", 1), ",").alias("arguments"))
+    none = F.expr("cast(array() as array<struct<kind: string, name: string, target: string>>)")
+    found = F.when(F.col("may"), F.coalesce(F.element_at(F.transform(F.array(parts), mapping), 1), none)).otherwise(none)
+    if field is not None:
+        access = rf"(?<![\p{{L}}\p{{N}}_])([A-Za-z_][A-Za-z0-9_]*)\.{re.escape(field)}(?![\p{{L}}\p{{N}}_])"
+        used = F.transform(F.regexp_extract_all("text", F.lit(access), F.lit(1)), lambda x: F.struct(F.lit("field_access").alias("kind"), x.alias("name"), F.lit(field).alias("target")))
+        found = F.concat(found, F.when(F.col("has"), used).otherwise(none))
+    return likely.select(key, "line", F.explode(found).alias("f")).select(key, "line", "f.kind", "f.name", "f.target")
 
 
 def contract(models: DataFrame, references: DataFrame, *, key: str, class_name: str, field: str) -> DataFrame:
     """What is wrong between a model and its users for a field, one row: AMBIGUOUS (several classes of the name),
     INSUFFICIENT (no class, or no use), MODEL_FIELD_MISSING, FIELD_MAPPING_MISMATCH (a mapping to an unknown member), WRONG_FIELD_REFERENCE, NONE."""
-    m = models.where(F.lower("class_name") == class_name.lower())
-    facts = m.agg(F.countDistinct(key, "class_name").alias("classes"), F.coalesce(F.max((F.col("member") == field).cast("int")), F.lit(0)).alias("has"), F.collect_set(F.when(~F.col("kind").isin("method"), F.col("member"))).alias("members"))
-    uses = references.agg(F.count_if((F.col("kind") == "field_access") & (F.col("target") == field)).alias("uses"), F.collect_set(F.when(F.col("kind") == "mapping", F.col("target"))).alias("targets"))
-    near = F.exists("members", lambda x: x.contains(field) | F.lit(field).contains(x))
+    m = staged(models.where(F.lower("class_name") == class_name.lower()))
+    near = F.col("member").contains(field) | F.lit(field).contains(F.col("member"))
+    is_data = ~F.col("kind").isin("method")
+    facts = m.agg(F.countDistinct(key, "class_name").alias("classes"), F.coalesce(F.max((F.col("member") == field).cast("int")), F.lit(0)).alias("has"), F.coalesce(F.max(F.when(is_data, near)), F.lit(False)).alias("near"))
+    members = m.where(is_data).select(F.col("member").alias("target"), F.lit(True).alias("known")).distinct()
+    # counted row by row: neither the members nor the targets are gathered
+    mapped = F.col("kind") == "mapping"
+    uses = references.join(members, "target", "left").agg(F.count_if((F.col("kind") == "field_access") & (F.col("target") == field)).alias("uses"), F.count_if(mapped).alias("mappings"), F.count_if(mapped & F.col("known").isNull()).alias("strange"))
     issue = (
-        F.when(F.col("classes") > 1, "AMBIGUOUS").when((F.col("classes") == 0) | ((F.col("uses") == 0) & (F.size("targets") == 0)), "INSUFFICIENT")
-        .when(F.exists("targets", lambda t: ~F.array_contains("members", t)), "FIELD_MAPPING_MISMATCH").when(F.col("has") == 1, "NONE").when(near, "WRONG_FIELD_REFERENCE").otherwise("MODEL_FIELD_MISSING")
+        F.when(F.col("classes") > 1, "AMBIGUOUS").when((F.col("classes") == 0) | ((F.col("uses") == 0) & (F.col("mappings") == 0)), "INSUFFICIENT")
+        .when(F.col("strange") > 0, "FIELD_MAPPING_MISMATCH").when(F.col("has") == 1, "NONE").when(F.col("near"), "WRONG_FIELD_REFERENCE").otherwise("MODEL_FIELD_MISSING")
     )
     return facts.crossJoin(uses).select(F.lit(class_name).alias("class_name"), F.lit(field).alias("field"), issue.alias("issue"), "classes", "uses")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryloom.operators import code as K
 from quarryloom.plans import fixtures as fx
-from quarryloom.sources.tables import table
+from quarryloom.sources.tables import spread, table
 from quarryloom.streaming import deliveries as L
 
 
@@ -70,11 +70,13 @@ def tf_chunk_ast(spark, sf):
 
 def _modules(spark, sf):
     """A Python module for each document, made of its words: a class with a member for each, and a mapping or a use for each."""
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{4,}"), F.lit(0))))
-    member = F.transform(words, lambda w: F.concat(F.lit("    f_"), w, F.when(F.length(w) % 2 == 0, ": str\n").otherwise(" = Column(Integer)\n")))
-    use = F.transform(words, lambda w: F.when(F.length(w) % 3 == 0, F.concat(F.lit("m_"), w, F.lit(" = fields.Str(required=True, attribute=\"f_"), w, F.lit("\")\n"))).otherwise(F.concat(F.lit("print("), F.lit("r_"), w, F.lit(".phone_number)\n"))))
-    parts = F.concat(F.array(F.concat(F.lit("class Model"), F.col("doc_id").cast("string"), F.lit("(Base):\n"))), member, F.array(F.lit("    @property\n    def label(self):\n        return self.name\n\n")), use)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(parts, "").alias("content"))
+    member = lambda w: F.concat(F.lit("    f_"), w, F.when(F.length(w) % 2 == 0, ": str\n").otherwise(" = Column(Integer)\n"))
+    use = lambda w: F.when(F.length(w) % 3 == 0, F.concat(F.lit("m_"), w, F.lit(" = fields.Str(required=True, attribute=\"f_"), w, F.lit("\")\n"))).otherwise(F.concat(F.lit("print("), F.lit("r_"), w, F.lit(".phone_number)\n")))
+    head = F.array(F.concat(F.lit("class Model"), F.col("doc_id").cast("string"), F.lit("(Base):\n")))
+    module = lambda words: F.array_join(F.concat(head, F.transform(words, member), F.array(F.lit("    @property\n    def label(self):\n        return self.name\n\n")), F.transform(words, use)), "")
+    words = F.sort_array(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{4,}"), F.lit(0))))
+    # the words are bound once through a one-element array
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.element_at(F.transform(F.array(words), module), 1).alias("content"))
 
 
 def tf_class_models(spark, sf):
@@ -87,7 +89,7 @@ def tf_schema_refs(spark, sf):
 
 def srch_contract(spark, sf):
     s = _modules(spark, sf)
-    return K.contract(K.class_models(s, key="doc_id"), K.schema_references(s, key="doc_id", field="phone_number"), key="doc_id", class_name="Model7", field="phone_number").select("class_name", "field", "issue", F.col("classes").cast("long").alias("classes"), "uses")
+    return K.contract(K.class_models(s, key="doc_id", named="Model7"), K.schema_references(s, key="doc_id", field="phone_number"), key="doc_id", class_name="Model7", field="phone_number").select("class_name", "field", "issue", F.col("classes").cast("long").alias("classes"), "uses")
 
 
 def stream_deliveries(spark, sf):
