@@ -23,13 +23,16 @@ def advisories(audits: DataFrame, direct: DataFrame, *, key: str = "audit_id", r
     parsed = audits.select(key, F.from_json(report, _REPORT).alias("r")).select(key, F.explode("r.vulnerabilities").alias("package", "v"))
     objects = F.transform(F.filter(F.coalesce("v.via", F.array().cast("array<string>")), lambda x: F.ltrim(x).startswith("{")), lambda x: F.from_json(x, _ADVISORY))
     one = F.when(F.size(objects) > 0, objects).otherwise(F.array(F.lit(None).cast(_ADVISORY)))
-    rows = parsed.select(key, "package", "v", F.posexplode(one).alias("nth", "a")).join(direct.select(key, "package", F.col("version").alias("spec")), [key, "package"], "left")
     patched = F.nullif(F.trim(F.get_json_object("v.fixAvailable", "$.version")), F.lit(""))
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    return rows.select(
-        key, "package", "nth", F.coalesce("spec", F.lit("unknown")).alias("current_version"), F.coalesce(blank("a.severity"), blank("v.severity"), F.lit("unknown")).alias("severity"),
-        F.coalesce(blank("a.range"), blank("v.range"), F.lit("unknown")).alias("vulnerable_range"), patched.alias("patched_version"), (F.coalesce("v.isDirect", F.lit(False)) | F.col("spec").isNotNull()).alias("is_direct"),
-        F.coalesce(blank("a.title"), F.concat("package", F.lit(" vulnerability"))).alias("title"), F.col("a.url").alias("url"), F.col("a.source").alias("advisory_id"),
+    rows = parsed.select(key, "package", "v", F.posexplode(one).alias("nth", "a")).select(
+        key, "package", "nth", F.coalesce(blank("a.severity"), blank("v.severity"), F.lit("unknown")).alias("severity"), F.coalesce(blank("a.range"), blank("v.range"), F.lit("unknown")).alias("vulnerable_range"),
+        patched.alias("patched_version"), F.coalesce("v.isDirect", F.lit(False)).alias("flagged"), F.coalesce(blank("a.title"), F.concat("package", F.lit(" vulnerability"))).alias("title"), F.col("a.url").alias("url"), F.col("a.source").alias("advisory_id"),
+    )
+    # advisories pass by a table of the direct dependencies, few and short, and are not sorted: a task holds none of them
+    named = direct.select(key, "package", F.col("version").alias("spec")).hint("shuffle_hash")
+    return rows.join(named, [key, "package"], "left").select(
+        key, "package", "nth", F.coalesce("spec", F.lit("unknown")).alias("current_version"), "severity", "vulnerable_range", "patched_version", (F.col("flagged") | F.col("spec").isNotNull()).alias("is_direct"), "title", "url", "advisory_id",
     )
 
 
