@@ -7,14 +7,18 @@ frame becomes a packed 32-bit integer.
 
 Alignment.  A recording's keys are its runs of packed integers (shortened, repeats left out) with their place: every run
 of RUN, and, as those are shared by chance in a large corpus, runs of LONG_RUN, of which those with the least hash among
-LONG_WINDOW neighbours are taken and which count as two.  For each key the recording with the smallest fingerprint hash
-that has it is its reference; each recording is compared with the references of its keys: votes for each difference of
-places make an offset histogram, and at its peak, if it has VOTES votes or the two overlap by less than FEW integers
-there, the differing bits of the overlapping integers are counted.  Pairs with at most ERRORS of the bits differing over at
-least OVERLAP integers are links; classes are their components.  (Unrelated recordings differ in about three bits of
-ten; over fewer integers than OVERLAP some come under ERRORS by chance.)  Equal fingerprints are one node from the
-start.  As each key adds at most one pair a recording, work and rows grow with the number of keys, however many
-recordings share one.
+LONG_WINDOW neighbours are taken and which count as two.  Any two recordings that share a key are compared: votes for each
+difference of places make an offset histogram, and at its peak, if it has VOTES votes or the two overlap by less than FEW
+integers there, the differing bits of the overlapping integers are counted.  Pairs with at most ERRORS of the bits
+differing over at least OVERLAP integers are links; classes are their components.  (Unrelated recordings differ in about
+three bits of ten; over fewer integers than OVERLAP some come under ERRORS by chance.)  Equal fingerprints are one node
+from the start.
+
+Fingerprints are dealt into cells of about CELL bytes, and each pair of cells is a task of its own that makes the keys,
+histograms and comparisons of its pairs, a few recordings at once; so a task's memory is bounded, no pair moves, and no key,
+however many recordings share it, is cut short.  A task returns a row for each recording: its number of links, its best
+one and its root in a forest of the task's links.  Each fingerprint moves once for each cell, so moved bytes and comparisons
+of keys that are shared by chance grow with the square of the recordings.
 
 The tables at hand hold no audio, so the query renders each turn of `conversations` as a melody, a tone for each
 word; `fingerprint` itself takes WAV bytes, or any loader of samples.
@@ -33,7 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryloom.llm.common import cut, fresh_dir, join_hot
@@ -54,6 +58,10 @@ ERRORS, OVERLAP = 0.15, 24
 VOTES, FEW = 2, 64
 #: Frames transformed at once.
 BLOCK = 512
+#: Bytes of a cell, with APIECE more for each recording; cells at least, so that a small corpus has tasks to deal.
+CELL, APIECE, CELLS = 16 << 20, 256, 6
+#: Shared keys of pairs, and integers of pairs, that a task looks at together.
+PAIRS, COMPARED = 1 << 21, 1 << 22
 
 #: Kind, first pitch class, pitch classes, frames.  1: halves by pitch, 2: halves by time, 3: quarters crosswise, 4: thirds by pitch, 5: thirds by time.
 FILTERS = [(kind := 1 + k % 5, 5 * k % 7, 3 if kind == 4 else 3 + k % 3, (6, 9, 12, 15)[k % 4] if kind == 5 else (4, 8, 12, 16)[k % 4]) for k in range(16)]
@@ -165,40 +173,35 @@ def fingerprint(df: DataFrame, *, first_id: str, second_id: str, media_column: s
     return df.select(F.col(first_id).cast("long").alias("a"), F.col(second_id).cast("long").alias("b"), F.col(media_column).alias("media")).mapInArrow(run, "a long, b long, fp binary, mark long")
 
 
-def recording_keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a recording's packed integers the keys, their first places, and their votes."""
-    v = x.astype(np.uint64) >> np.uint64(DROPPED)
-    at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, int)
-    v = v[at]
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+def recording_keys(line: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of recordings of so many packed integers each, one after another in a line: recordings, keys, their first places, and their votes, by recording."""
+    of, begin = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    v = line.astype(np.uint64) >> np.uint64(DROPPED)
+    at = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (of[1:] != of[:-1])))) if len(v) else np.zeros(0, int)
+    v, of = v[at], of[at]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for run, window, votes in ((RUN, 1, 1), (LONG_RUN, LONG_WINDOW, 2)):
-        n = len(v) - run + 1
-        if n <= 0:
+        if len(v) < run:
             continue
-        h = np.full(n, run, np.uint64)
+        whole = np.flatnonzero(of[: len(of) - run + 1] == of[run - 1 :])  # runs that do not leave their recording
+        h = np.full(len(v) - run + 1, run, np.uint64)
         for j in range(run):
-            h = (h ^ v[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ v[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        kept = np.arange(n)
-        if window > 1 and n > window:
-            views = np.lib.stride_tricks.sliding_window_view(h, window)
-            kept = np.unique(np.arange(len(views)) + views.argmin(1))
-        h, first = np.unique(h[kept], return_index=True)  # a key's first place in the recording
-        out.append((h.astype(np.int64), at[kept[first]], np.full(len(h), votes)))
-    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True))
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """at: place, number of integers in the recording and whether the key is a long one, in one number, as there are many rows."""
-    for batch in batches:
-        made: list[tuple[np.ndarray, ...]] = []
-        for node, fp in zip(batch.column("node").to_pylist(), batch.column("fp"), strict=True):
-            x = np.frombuffer(fp.as_py(), "<u4")
-            key, place, votes = recording_keys(x)
-            if len(key):
-                made.append((np.full(len(key), node, np.int64), key, (place << 32) | (len(x) << 1) | (votes - 1)))
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made, strict=True)], ["node", "key", "at"])
+        h, rec, place = h[whole], of[whole], at[whole]
+        if window > 1 and len(h) >= window:
+            inside = np.flatnonzero(rec[: len(rec) - window + 1] == rec[window - 1 :])
+            least = inside + np.lib.stride_tricks.sliding_window_view(h, window)[inside].argmin(1)
+            few = np.flatnonzero(np.bincount(rec, minlength=len(size))[rec] <= window)
+            kept = np.unique(np.concatenate((least, few)))
+            h, rec, place = h[kept], rec[kept], place[kept]
+        order = np.lexsort((h, rec))
+        h, rec, place = h[order], rec[order], place[order]
+        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (rec[1:] != rec[:-1])))) if len(h) else order  # a key's first place in the recording
+        out.append((rec[first], h[first].astype(np.int64), place[first] - begin[rec[first]], np.full(len(first), votes)))
+    made = [np.concatenate(c) for c in zip(*out, strict=True)]
+    order = np.argsort(made[0], kind="stable")
+    return tuple(x[order] for x in made)
 
 
 def differing(x: bytes, y: bytes, offset: int) -> tuple[int, int]:
@@ -210,42 +213,132 @@ def differing(x: bytes, y: bytes, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[start + offset : end + offset] ^ b[start:end]).sum()), end - start
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """x and y: the overlapping integers of both recordings, as many of each."""
-    for batch in batches:
-        if not batch.num_rows:
+def _peaks(node: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, offset: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs (a, b) of recordings with an offset for each shared key: the larger node, the smaller one, peak offset, its votes, overlap; those worth comparing."""
+    near, width = 1 << 32, len(node)
+    first, span = int(a.min()), 2 * int(np.abs(offset).max()) + 1
+    # a pair, its offset and whether the key counts as two in one number, which sorts fast
+    x = np.sort(((((a - first) * width + b) * span + offset + span // 2) << 1) | (votes - 1))
+    heads = np.flatnonzero(np.concatenate(([True], (x[1:] >> 1) != (x[:-1] >> 1))))
+    total = np.diff(np.append(heads, len(x))) + np.add.reduceat(x & 1, heads)
+    pair, offset = np.divmod(x[heads] >> 1, span)
+    offset -= span // 2
+    starts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    # most votes, then the least distance, then the later offset
+    best = np.maximum.reduceat((total << 34) | ((near - np.abs(offset)) << 1) | (offset > 0), starts)
+    far = near - ((best >> 1) & ((1 << 33) - 1))
+    offset, votes, pair = np.where(best & 1, far, -far), best >> 34, pair[starts]
+    a, b = pair // width + first, pair % width
+    i, j = np.where(node[a] > node[b], a, b), np.where(node[a] > node[b], b, a)
+    overlap = np.minimum(size[j], size[i] - offset) - np.maximum(0, -offset)
+    tried = (overlap >= OVERLAP) & ((votes >= VOTES) | (overlap < FEW))
+    return i[tried], j[tried], offset[tried], votes[tried], overlap[tried]
+
+
+def _errors(line: np.ndarray, x: np.ndarray, y: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Differing bits of the overlapping integers that begin at x and at y of the line."""
+    out, upto, at = np.zeros(len(x), np.int64), np.cumsum(overlap), 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + COMPARED, "right")))
+        n = overlap[at:to]
+        heads = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(heads, n)
+        bits = np.bitwise_count(line[np.repeat(x[at:to], n) + step] ^ line[np.repeat(y[at:to], n) + step])
+        out[at:to] = np.add.reduceat(bits, heads, dtype=np.int64)
+        at = to
+    return out
+
+
+def block_links(node: np.ndarray, side: np.ndarray, fps: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Links between two sides, or, if there is one, within it, in parts: places of the larger and the smaller node, offset, votes, errors, overlap."""
+    ints = [np.frombuffer(f, "<u4") for f in fps]
+    size = np.array([len(x) for x in ints], np.int64)
+    line, base = np.concatenate(ints), np.cumsum(size) - size
+    rec, key, place, votes = recording_keys(line, size)
+    crossed = bool(side.any())
+    mine = np.flatnonzero(side[rec] == 0)
+    other = np.flatnonzero(side[rec] == 1) if crossed else mine
+    other = other[np.argsort(key[other], kind="stable")]
+    low = np.searchsorted(key[other], key[mine])
+    n = np.searchsorted(key[other], key[mine], "right") - low
+    last = np.flatnonzero(np.concatenate((rec[mine][1:] != rec[mine][:-1], [True])))[: len(mine)]  # of each recording's keys
+    upto = np.cumsum(n)[last]
+    at = done = 0
+    while at < len(last):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        rows = slice(done, int(last[to - 1]) + 1)
+        at, done, m = to, rows.stop, n[rows]
+        i = np.repeat(mine[rows], m)
+        j = other[np.repeat(low[rows], m) + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)]
+        if not crossed:
+            later = rec[i] < rec[j]
+            i, j = i[later], j[later]
+        if not len(i):
             continue
-        joined = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4")  # noqa: E731, B023
-        size = batch.column("overlap").to_numpy(zero_copy_only=False).astype(np.int64)
-        sums = np.concatenate(([0], np.cumsum(np.bitwise_count(joined("x") ^ joined("y")), dtype=np.int64)))
-        ends = np.cumsum(size)
-        names = ["node", "ref", "offset", "votes", "overlap"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sums[ends] - sums[ends - size])], [*names, "errors"])
-
-
-def aligned(nodes: DataFrame) -> DataFrame:
-    """nodes: node, fp.  Columns: node, ref, offset, votes, overlap, errors: the links."""
-    keys = nodes.mapInArrow(_keys, "node long, key long, at long")
-    # rows move once for this; a recording has a key once, so a key holds no more than one row for each recording, of all its keys'
-    met = keys.withColumn("r", F.min(F.struct("node", "at")).over(Window.partitionBy("key"))).where(F.col("node") != F.col("r.node"))
-    place, size = lambda at: F.shiftright(at, 32), lambda at: F.shiftright(at.bitwiseAND(F.lit((1 << 32) - 1)), 1)
-    votes = met.select("node", F.col("r.node").alias("ref"), (place(F.col("at")) - place(F.col("r.at"))).cast("int").alias("offset"), (F.col("at").bitwiseAND(F.lit(1)) + 1).alias("votes"), size(F.col("at")).cast("int").alias("size"), size(F.col("r.at")).cast("int").alias("ref_size"))
-    # both groupings need only this one exchange
+        a, b = rec[i], rec[j]
+        offset = np.where(node[a] > node[b], place[i] - place[j], place[j] - place[i])
+        a, b, offset, agreed, overlap = _peaks(node, size, a, b, offset, votes[i])
+        start = np.maximum(0, -offset)
+        errors = _errors(line, base[a] + start + offset, base[b] + start, overlap)
+        near = errors <= ERRORS * 32 * overlap
+        yield a[near], b[near], offset[near], agreed[near], errors[near], overlap[near]
+
+
+LINKS = "node long, links long, root long, ref long, offset int, votes long, errors long, overlap int"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, side, node, fp) come sorted by task; one task's fingerprints are held."""
+    from quarryloom.llm.simhash import forest
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        node, side = (np.array([r[k] for r in rows], np.int64) for k in (1, 0))
+        order = np.argsort(node)  # so that the smallest place of a component is its smallest node
+        node, side = node[order], side[order]
+        label, links = np.arange(len(node)), np.zeros(len(node), np.int64)
+        best = np.full((5, len(node)), -1, np.int64)  # place of the reference, offset, votes, errors, overlap
+        for a, b, *facts in block_links(node, side, [rows[k][2] for k in order]):
+            links += np.bincount(a, minlength=len(node)) + np.bincount(b, minlength=len(node))
+            label = forest(len(node), np.concatenate((a, np.arange(len(node)))), np.concatenate((b, label)))
+            found = np.stack((b, *facts))
+            held = np.flatnonzero(best[0] >= 0)
+            of, found = np.concatenate((a, held)), np.concatenate((found, best[:, held]), 1)
+            order_of = np.lexsort((found[0], -found[3], found[2], of))
+            tops = order_of[np.flatnonzero(np.concatenate((of[order_of][1:] != of[order_of][:-1], [True])))[: len(of)]]
+            best[:, of[tops]] = found[:, tops]
+        has = np.flatnonzero(links)
+        best, none = best[:, has], best[0, has] < 0
+        columns = [pa.array(node[has]), pa.array(links[has]), pa.array(node[label[has]]), pa.array(node[best[0]], mask=none)]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(x, kind, mask=none) for x, kind in zip(best[1:], kinds, strict=True))], ["node", "links", "root", "ref", "offset", "votes", "errors", "overlap"])
+
+    task, rows = None, []
+    for batch in batches:
+        for t, side, node, fp in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "fp")), strict=True):
+            if t != task:
+                if len(rows) > 1:
+                    yield made(rows)
+                task, rows = t, []
+            rows.append((side, node, fp))
+    if len(rows) > 1:
+        yield made(rows)
+
+
+def aligned(nodes: DataFrame, *, cell: int = CELL) -> DataFrame:
+    """nodes: node, fp.  For each task and each node with a link in it: links (how many), root (of the task's forest), and as LINKS the best link with a smaller node."""
+    cost = nodes.agg(F.sum(F.octet_length("fp") + APIECE)).first()[0] or 0
+    cells = max(CELLS, -(-cost // cell))
+    celled = nodes.select("node", "fp", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(cells)).cast("int").alias("cell"))
+    dealt = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    # a number of partitions is given, as rows are few bytes but much work, and would be coalesced
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    histogram = votes.repartition(parts, "node", "ref").groupBy("node", "ref", "offset").agg(F.sum("votes").alias("votes"), F.first("size").alias("size"), F.first("ref_size").alias("ref_size"))
-    peaks = histogram.groupBy("node", "ref").agg(F.max_by(F.struct("offset", "votes", "size", "ref_size"), F.struct(F.col("votes"), -F.abs("offset"), F.col("offset"))).alias("p")).select("node", "ref", "p.*")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    placed = peaks.withColumn("start", start).withColumn("overlap", F.least(F.col("ref_size"), F.col("size") - F.col("offset")) - F.col("start"))
-    tried = placed.where((F.col("overlap") >= OVERLAP) & ((F.col("votes") >= VOTES) | (F.col("overlap") < FEW))).drop("size", "ref_size")
-    part = lambda at: F.expr(f"substring(fp, cast(4 * ({at}) + 1 as int), cast(4 * overlap as int))")
-    one = tried.join(nodes, "node").withColumn("x", part("start + offset")).drop("fp")
-    both = one.join(nodes.select(F.col("node").alias("ref"), "fp"), "ref").withColumn("y", part("start")).drop("fp", "start")
-    compared = both.mapInArrow(_compare, "node long, ref long, offset int, votes long, overlap int, errors long")
-    return compared.where(F.col("errors") <= ERRORS * 32 * F.col("overlap"))
+    task = F.least("cell", "other") * cells + F.greatest("cell", "other")
+    tasks = dealt.select(task.alias("task"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "node", "fp")
+    return tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_blocks, LINKS)
 
 
 def align(prints: DataFrame) -> DataFrame:
-    """prints: a, b, fp, mark.  Columns: a, b, n_items, fp_sha256, class_a, class_b, and for a recording with a link its best one: ref_a, ref_b, offset, votes, errors, overlap."""
+    """prints: a, b, fp, mark.  Columns: a, b, n_items, fp_sha256, class_a, class_b, links (how many other fingerprints it aligns with), and of those with a smaller hash the best one: ref_a, ref_b, offset, votes, errors, overlap."""
     from quarryloom.llm.simhash import components
 
     spark = prints.sparkSession
@@ -254,17 +347,18 @@ def align(prints: DataFrame) -> DataFrame:
     prints.withColumn("node", F.when(F.octet_length("fp") > 0, F.xxhash64("fp")).when(F.col("mark").isNotNull(), F.xxhash64("mark")).otherwise(alone)).drop("mark").write.parquet(where)
     rows = spark.read.parquet(where)
     nodes = rows.groupBy("node").agg(F.min(F.struct("a", "b")).alias("least"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
-    links = cut(aligned(nodes.select("node", "fp")))
-    roots = components(links.select(F.col("node").alias("a"), F.col("ref").alias("b")))
-    best = links.groupBy("node").agg(F.max_by(F.struct("ref", "offset", "votes", "errors", "overlap"), F.struct(F.col("votes"), -F.col("errors"), F.col("ref"))).alias("l"))
+    links = cut(aligned(nodes.where(F.octet_length("fp") > 0).select("node", "fp")))
+    roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    facts = F.max_by(F.when(F.col("ref").isNotNull(), F.struct("ref", "offset", "votes", "errors", "overlap")), F.when(F.col("ref").isNotNull(), F.struct(F.col("votes"), -F.col("errors"), F.col("ref"))))
+    best = cut(links.groupBy("node").agg(facts.alias("l"), F.sum("links").alias("links")))
     small = nodes.select("node", "least", "n")
     rooted = small.join(roots, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
     classes = join_hot(rooted, rooted.groupBy("root").agg(F.min("least").alias("class"), F.count(F.lit(1)).alias("m")), "root", "m").select("node", "class", "n")
     # references are named before the outer join, so that recordings without one do not meet under a null key
-    named = best.join(small.select(F.col("node").alias("m"), F.col("least").alias("ref_row")), F.col("l.ref") == F.col("m")).select("node", "l", "ref_row")
-    known = cut(classes.join(named, "node", "left"))
+    named = best.where("l is not null").join(small.select(F.col("node").alias("m"), F.col("least").alias("ref_row")), F.col("l.ref") == F.col("m")).select("node", "l", "ref_row")
+    known = cut(classes.join(named, "node", "left").join(best.select("node", "links"), "node", "left"))
     return join_hot(rows, known, "node", "n").select(
-        "a", "b", (F.octet_length("fp") / 4).cast("long").alias("n_items"), F.sha2("fp", 256).alias("fp_sha256"), F.col("class.a").alias("class_a"), F.col("class.b").alias("class_b"),
+        "a", "b", (F.octet_length("fp") / 4).cast("long").alias("n_items"), F.sha2("fp", 256).alias("fp_sha256"), F.col("class.a").alias("class_a"), F.col("class.b").alias("class_b"), F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         F.col("ref_row.a").alias("ref_a"), F.col("ref_row.b").alias("ref_b"), F.col("l.offset").alias("offset"), F.col("l.votes").alias("votes"), F.col("l.errors").alias("errors"), F.col("l.overlap").alias("overlap"),
     )
 

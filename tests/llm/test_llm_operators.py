@@ -805,6 +805,53 @@ def test_alignment_against_all_pairs(spark):
     assert true >= 290 and found >= 0.9 * true and false == 0, (true, found, false)
 
 
+def test_recordings_that_share_keys_with_others_lose_no_link(spark):
+    """Every run of two integers of a song and its copies also occurs, scattered, in many recordings that align with nothing."""
+    from collections import Counter
+
+    r = np.random.default_rng(6)
+    song = r.integers(0, 1 << 32, 80, dtype=np.uint32)
+    # a copy differs from the song at every fifth place, so that copies share no longer runs
+    rows = [(k, 0, (song ^ np.where(np.arange(80) % 5 == k % 5, 1 << 10 + k, 0).astype(np.uint32))[3 * k :].astype("<u4").tobytes()) for k in range(6)]
+    for k in range(40):
+        chunks = [song[i : i + 2] for i in range(0, 79)]
+        rows.append((100 + k, 0, np.concatenate([x for i in r.permutation(79) for x in (chunks[i], r.integers(0, 1 << 32, 1, dtype=np.uint32))]).astype("<u4").tobytes()))
+    keys = [dict(zip(k.tolist(), zip(p.tolist(), v.tolist(), strict=True), strict=True)) for _, k, p, v in (chroma.recording_keys(x, np.array([len(x)])) for x in (np.frombuffer(f, "<u4") for _, _, f in rows))]
+    links, n = Counter(), np.arange(len(rows))
+    node = [x.node for x in spark.createDataFrame([(i, bytearray(f)) for i, (_, _, f) in enumerate(rows)], "i int, fp binary").selectExpr("i", "xxhash64(fp) AS node").orderBy("i").collect()]
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = (i, j) if node[i] > node[j] else (j, i)
+            votes = Counter()
+            for k in keys[a].keys() & keys[b].keys():
+                votes[keys[a][k][0] - keys[b][k][0]] += keys[a][k][1]
+            if votes:
+                offset, v = max(votes.items(), key=lambda x: (x[1], -abs(x[0]), x[0]))
+                errors, overlap = chroma.differing(rows[a][2], rows[b][2], offset)
+                if overlap >= chroma.OVERLAP and (v >= chroma.VOTES or overlap < chroma.FEW) and errors <= chroma.ERRORS * 32 * overlap:
+                    links.update((i, j))
+                    n[n == n[i]] = n[j]
+    df = spark.createDataFrame([(a, b, bytearray(f), 7) for a, b, f in rows], "a long, b long, fp binary, mark long")
+    got = {g.a: (g.links, g.class_a) for g in chroma.align(df).collect()}
+    assert got == {a: (links[i], min(rows[j][0] for j in range(len(rows)) if n[j] == n[i])) for i, (a, _, _) in enumerate(rows)}
+    assert all(got[k] == (5, 0) for k in range(6))
+
+
+def test_a_block_looked_at_in_parts_gives_the_same_links(monkeypatch):
+    rows = changed_recordings(6, 5)
+    node, fps = np.random.default_rng(1).permutation(len(rows)), [f for _, _, f in rows]
+
+    def found(side):
+        return sorted(zip(*(np.concatenate(c).tolist() for c in zip(*chroma.block_links(node, side, fps), strict=True)), strict=True))
+
+    one, two = np.zeros(len(rows), int), np.arange(len(rows)) % 2
+    whole = found(one), found(two)
+    assert whole[0] and [x for x in whole[0] if (x[0] - x[1]) % 2] == whole[1]
+    monkeypatch.setattr(chroma, "PAIRS", 50)
+    monkeypatch.setattr(chroma, "COMPARED", 100)
+    assert (found(one), found(two)) == whole
+
+
 def test_integral_image_areas():
     image = np.random.default_rng(0).random((40, 12))
     assert len(chroma.packed(image)) == 40 - chroma.WIDEST + 1
