@@ -43,6 +43,8 @@ PIECE = 1 << 16
 STAGE_SHINGLE = 5
 #: One in so many documents, by hash, is in the sample that orders keys by frequency; shingles that it names, at most.
 SHARE, COMMON = 8, 200_000
+#: Edges of a task where components are made, and tasks at least.
+EDGES, LEAST_TASKS = 100_000, 8
 
 _BOUNDS = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 
@@ -209,13 +211,16 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(p.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     state = measure(pairs)
+    # every task of a shuffle writes files, so few edges lie in few tasks, as many as their number asks for
+    tasks = max(LEAST_TASKS, -(-state[0] // EDGES))
     while state[0]:
+        pairs = pairs.coalesce(tasks)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
-        lowest = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(lowest, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
-        pairs = cut(small)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks)
+        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").coalesce(tasks).distinct().coalesce(tasks)
+        lowest = large.groupBy("v").agg(F.min("u").alias("m")).coalesce(tasks)
+        small = large.join(lowest, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").coalesce(tasks).distinct()
+        pairs = cut(small.coalesce(tasks))
         after = measure(pairs)
         if after == state:
             break
@@ -252,6 +257,8 @@ SHARED = 4
 HOT = 24
 #: Nodes and shingles of a group that one task compares; bits of a sketch.
 CELL, HELD, SKETCH = 1024, 2_000_000, 4096
+#: Bits of a bitmap for each text that is looked for, and bits at most.
+SPARE, MOST_BITS = 16, 1 << 28
 
 
 def _least_shared(size):
@@ -437,6 +444,20 @@ def _united(shingle: int):
     return run
 
 
+def named_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted, and at most a few in a hundred others: a bitmap of the wanted keys' hashes is broadcast, so that the rows need not move.
+
+    It has SPARE bits for each wanted key, MOST_BITS (32 MB) at most; with more keys more others stay, none is lost.
+    """
+    n = wanted.count()
+    bits = min(MOST_BITS, 1 << max(15, (SPARE * n).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1  # the functions on bitmaps count from 1
+    marks = wanted.select(F.bitmap_bucket_number(place).alias("_of"), F.bitmap_bit_position(place).alias("_at")).groupBy("_of").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    bit = F.expr("shiftright(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) & 1")
+    found = rows.withColumn("_of", F.bitmap_bucket_number(place)).withColumn("_at", F.bitmap_bit_position(place)).join(F.broadcast(marks), "_of")
+    return found.where(bit == 1).drop("_of", "_at", "_bits")
+
+
 def unite(groups: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingle: int = STAGE_SHINGLE, cell: int = CELL, most: int = HELD) -> DataFrame:
     """groups: group, node.  nodes: node, mark, size, root.  Columns a, b: forests that join what pairs of similarity 4/5 or more within a group join.
 
@@ -451,9 +472,10 @@ def unite(groups: DataFrame, nodes: DataFrame, docs: DataFrame, *, shingle: int
     dealt = celled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     tasks = dealt.select(F.xxhash64("group", F.least("cell", "other"), F.greatest("cell", "other")).alias("task"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "node", "root")
     wanted = filed(members.join(apart.select("group"), "group", "left_semi").select("node").distinct().join(nodes.select("node", "mark"), "node"))
-    texts = docs.select("mark", "text").join(wanted, "mark").dropDuplicates(["node"]).select("node", "text")
+    # of a text one row is kept before it meets its tasks, by the same exchange
+    texts = named_rows(docs.select("mark", "text"), wanted, "mark").groupBy("mark").agg(F.first("text").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(tasks.join(texts, "node").repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_united(shingle), "a long, b long"))
+    return cut(tasks.join(wanted, "node").join(texts, "mark").select("task", "side", "node", "root", "text").repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_united(shingle), "a long, b long"))
 
 
 def similar_documents(docs: DataFrame, *, shingle: int = STAGE_SHINGLE, hot: int = HOT, cell: int = CELL) -> DataFrame:

@@ -150,6 +150,14 @@ def test_near_dedup_by_groups_and_cells(spark, hot, cell):
     assert len(found) == len(rows) and {min(v) for v in by_root.values()} == firsts(rows)
 
 
+def test_texts_that_are_not_looked_for_do_not_move(spark):
+    docs = spark.range(4000).selectExpr("md5(cast(id AS string)) AS mark", "id")
+    wanted = docs.where("id % 40 = 0").select("mark")
+    found = {r.id for r in simhash.named_rows(docs, wanted, "mark").collect()}
+    assert {*range(0, 4000, 40)} <= found and len(found) < 1000
+    assert simhash.named_rows(docs, wanted.limit(0), "mark").count() == 0
+
+
 def test_sketches_never_pass_over_a_similar_pair():
     import numpy as np
 
