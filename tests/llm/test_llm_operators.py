@@ -859,3 +859,50 @@ def test_integral_image_areas():
     part, whole = image[3 : 3 + width, y : y + height // 2].sum(), image[3 : 3 + width, y : y + height].sum()
     want = np.digitize(np.log((1e-3 + part) / (1e-3 + whole - part)), chroma.LEVELS)
     assert kind == 1 and chroma.packed(image)[3] >> np.uint32(30) == [0, 1, 3, 2][want]
+
+
+def test_alignment_moves_no_fingerprints_and_holds_two_blocks(spark):
+    def moved():
+        context = spark.sparkContext
+        jvm = context._jvm
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    r = np.random.default_rng(3)
+    songs = changed_recordings(5, 12) + [(2000 + k, 0, r.integers(0, 1 << 32, 1000, dtype=np.uint32).tobytes()) for k in range(150)]
+    songs += [(3000 + k, 0, songs[k][2]) for k in range(0, 60, 7)]  # equal ones are one node, wherever they lie
+    df = spark.createDataFrame([(a, b, bytearray(f), 7) for a, b, f in songs], "a long, b long, fp binary, mark long").repartition(5)
+    before = moved()
+    whole = sorted(map(tuple, chroma.align(df).collect()), key=str)
+    # a round robin of the rows that the test itself asks for, and no more of their bytes
+    assert moved() - before < 1.6 * sum(len(f) for _, _, f in songs)
+    assert sum(x[6] for x in whole) > 40 and len(whole) == len(songs)
+    assert sorted(map(tuple, chroma.align(df, block=6000).collect()), key=str) == whole
+    assert max(len(s.node) * chroma.APIECE + s.size.sum() * 4 for s in _sides(spark, df, 6000)) <= 6000
+
+
+def _sides(spark, df, block):
+    where = chroma.fresh_dir(spark, "sides")
+    df.selectExpr("xxhash64(fp) AS node", "fp", "0 AS cell").write.partitionBy("cell").parquet(where)
+    found = list(chroma._blocks(where, 0, block))
+    assert sum(len(s.node) for s in found) == df.select("fp").distinct().count()
+    assert [s.node.tolist() for s in chroma._blocks(where, 0, block, 2)] == [s.node.tolist() for s in found[2:]]
+    return found
+
+
+def test_images_packed_together_are_those_packed_alone():
+    r = np.random.default_rng(2)
+    images = [r.random((n, 12)) for n in (40, 0, 15, 16, 17, 300)]
+    assert all((x == y).all() and len(x) == max(0, len(i) - chroma.WIDEST + 1) for x, y, i in zip(chroma.packed_all(images), map(chroma.packed, images), images, strict=True))
+
+
+def test_a_comparison_ends_with_too_many_errors():
+    r = np.random.default_rng(4)
+    lines = [r.integers(0, 1 << 32, n, dtype=np.uint32) for n in (24, 31, 48, 80, 200)]
+    noisy = [x ^ (r.integers(0, 1 << 32, len(x), dtype=np.uint32) & np.where(r.random(len(x)) < p, 0xFFFFFFFF, 0).astype(np.uint32)) for x, p in zip(lines, (0.1, 0.9, 0.25, 0.4, 0.2), strict=True)]
+    one, two = (chroma.Side(np.arange(5), [x.tobytes() for x in xs]) for xs in (lines, noisy))
+    overlap = one.size - 0
+    want = [int(np.bitwise_count(x ^ y).sum()) for x, y in zip(lines, noisy, strict=True)]
+    kept, errors = chroma._errors(one, two, one.base, two.base, overlap, np.floor(chroma.ERRORS * 32 * overlap).astype(np.int64))
+    near = [k for k in range(5) if want[k] <= chroma.ERRORS * 32 * overlap[k]]
+    assert sorted(zip(kept.tolist(), errors.tolist(), strict=True)) == [(k, want[k]) for k in near] and 0 < len(near) < 5
